@@ -6,6 +6,8 @@ the pivotal method: two fractions meet, mass goes at random from one to the othe
 them is 0 or 1, and the other goes on. Mass is counted in words (fraction times size), and the
 direction is drawn so that each document's expected mass stays. So the words of a source are kept
 at every step, and what a source takes differs from its target by part of one document at most.
+Documents that are more than 1/512 of their source (so fewer than 512) go first: each meets the
+rest of its source as a whole, which makes up for it; that document is then a small one.
 
 The meetings form a reduction tree. Documents are dealt to small blocks of one source and similar
 size; a block folds its members in order of size and sends at most one residual up; 64 residuals
@@ -34,6 +36,7 @@ from weftline.llm.common import cut
 UNIT = 1 << 14  #: masses are whole numbers of 1/UNIT words
 DRAW = 1 << 17  #: random numbers are 0 to DRAW - 1; words * UNIT * 2 * DRAW stays below 2**63
 FAN_IN = 64  #: children of a node of the reduction tree
+GIANT = 1 / 512  #: the part of its source from which a document is settled before the others
 CLASSES_PER_OCTAVE = 4  #: size classes between a size and its double
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,7 +76,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: float) -> Da
 
 
 def _fold(members: Column, seed: int) -> Column:
-    """Pivotal rounding along an array of struct(pos, mass, room, h), where 0 < mass < room or mass = 0.
+    """Pivotal rounding along an array of struct(pos, mass, room, h), where 0 <= mass <= room.
 
     Returns struct(at, mass, room, h, taken): the member left with a fraction (at -1: none) and the
     members that were filled up to a whole copy.
@@ -101,6 +104,10 @@ def _fold(members: Column, seed: int) -> Column:
         x_open = (x_mass > 0) & (x_mass < x["room"])
         return (
             F.when(x["mass"] == 0, acc)
+            .when(
+                x["mass"] == x["room"],
+                state(acc["at"], acc["mass"], acc["room"], acc["h"], F.concat(acc["taken"], F.array(x["pos"]))),
+            )
             .when(acc["mass"] == 0, state(x["pos"], x["mass"], x["room"], x["h"], acc["taken"]))
             .when(acc_open, state(acc["at"], acc_mass, acc["room"], acc["h"], taken))
             .when(x_open, state(x["pos"], x_mass, x["room"], x["h"], taken))
@@ -136,6 +143,7 @@ def _settle(blocks: DataFrame, keys: list[str], outcome: DataFrame | None, carry
         left = (F.pmod(F.xxhash64("end.h", F.lit(seed), F.lit("root")), F.lit(DRAW)) * F.col("end.room") < F.col("end.mass") * DRAW).cast("int")
         blocks = blocks.withColumn("left_got", left)
     else:
+        outcome = outcome.select(*keys, "got")
         blocks = blocks.join(outcome.withColumnRenamed("got", "left_got"), keys, "left")
     got = F.when(F.col("pos") == F.col("end.at"), F.coalesce("left_got", F.lit(0))).otherwise(
         F.array_contains("end.taken", F.col("pos")).cast("int")
@@ -145,6 +153,47 @@ def _settle(blocks: DataFrame, keys: list[str], outcome: DataFrame | None, carry
     )
 
 
+def _settle_giants(giants: DataFrame, carry: list[str], seed: int) -> DataFrame:
+    """Documents that are a large part of their source, one after the other, the largest first.
+
+    Such a document meets all the rest of its source at once, which takes or gives the mass in
+    proportion; so the smaller documents make up for the larger ones. giants: sid, pool_mass and
+    pool_room (of the whole source), room, h and the columns to carry; at most 1 / GIANT rows a
+    source. One row a source: its giants, those taken, and the mass and room of the rest.
+    """
+    zero = F.lit(0).cast("long")
+
+    def meet(acc: Column, x: Column) -> Column:
+        own = F.when(acc["room"] > 0, F.floor(x["room"] * (acc["mass"] / acc["room"]))).otherwise(zero)
+        own = F.least(own.cast("long"), x["room"], acc["mass"])
+        rest_mass, rest_room = acc["mass"] - own, acc["room"] - x["room"]
+        # rounding may leave the rest a little more mass than it has room for
+        over = F.greatest(zero, rest_mass - rest_room)
+        own, rest_mass = own + over, rest_mass - over
+        up = F.least(x["room"] - own, rest_mass)
+        down = F.least(rest_room - rest_mass, own)
+        r = F.pmod(F.xxhash64(x["h"], F.lit(seed), F.lit("giant")), F.lit(DRAW))
+        gets = r * (up + down) < down * F.lit(DRAW)
+        mass = F.when(gets, own + up).otherwise(own - down)
+        # if the rest ran out first, the document is rounded by itself
+        alone = F.pmod(F.xxhash64(x["h"], F.lit(seed), F.lit("alone")), F.lit(DRAW)) * x["room"] < mass * F.lit(DRAW)
+        return F.struct(
+            F.when(gets, rest_mass - up).otherwise(rest_mass + down).alias("mass"),
+            rest_room.alias("room"),
+            F.concat(acc["taken"], F.array(alone.cast("int"))).alias("taken"),
+        )
+
+    members = F.array_sort(F.collect_list(F.struct((-F.col("room")).alias("first"), "h", "room", *carry)))
+    start = F.struct(
+        F.col("pool_mass").alias("mass"), F.col("pool_room").alias("room"), F.array().cast("array<int>").alias("taken")
+    )
+    return (
+        giants.groupBy("sid", "pool_mass", "pool_room")
+        .agg(members.alias("members"))
+        .withColumn("end", F.aggregate("members", start, meet))
+    )
+
+
 def plan_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -162,50 +211,56 @@ def plan_mix(
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         ).withColumn("h", F.xxhash64("doc_id", "size", "source", F.lit(seed)))
     )
-    targets = cut(source_targets(sized, weights, cap))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    docs2 = (
-        sized.join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
-        .withColumn("rate", F.least(rate, F.lit(float(cap))))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap))))
+    targets = cut(
+        source_targets(sized, weights, cap)
+        .withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+        .withColumn("whole", F.floor("rate"))
+        .withColumn("pool_room", F.col("source_size") * UNIT)
+        .withColumn("pool_mass", F.round((F.col("rate") - F.col("whole")) * F.col("pool_room")).cast("long"))
+        .withColumnRenamed("source", "source_")
+    )
+    known = (
+        sized.join(targets, F.col("source").eqNullSafe(F.col("source_")))
         .withColumn("room", F.col("size") * UNIT)
-        .withColumn("units", F.round(F.col("rate") * F.col("room")).cast("long"))
-        .withColumn("whole", F.when(F.col("room") > 0, F.expr("units div room")).otherwise(0))
-        .withColumn("mass", F.col("units") - F.col("whole") * F.col("room"))
         .withColumn("cls", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-        .drop("source_")
+        .withColumn("giant", (F.col("size") > 0) & (F.col("size") >= F.col("source_size") * GIANT))
     )
-    classes = (
-        sized.join(
-            targets.select(F.col("source").alias("source_"), "sid"), F.col("source").eqNullSafe(F.col("source_"))
-        )
-        .withColumn("cls", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
+    carry = ["size", "doc_id", "source", "source_size", "target", "whole"]
+    giants = cut(_settle_giants(known.where("giant"), carry, seed))
+    settled = giants.select(F.posexplode("members").alias("pos", "m"), "end").select(
+        *[f"m.{c}" for c in carry], F.get("end.taken", F.col("pos")).alias("got")
+    )
+    rests = giants.select("sid", F.col("end.mass").alias("rest_mass"), F.col("end.room").alias("rest_room"))
+    share = F.coalesce(F.col("rest_mass") / F.col("rest_room"), F.col("pool_mass") / F.col("pool_room"), F.lit(0.0))
+    small = (
+        known.where("not giant")
+        .join(rests, "sid", "left")
+        .withColumn("mass", F.least(F.round(F.col("room") * share).cast("long"), F.col("room")))
+    )
+    classes = cut(
+        known.where("not giant")
         .groupBy("sid", "cls")
         .agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(FAN_IN * 0.75)))).cast("int").alias("bits"))
     )
-    classes = cut(classes)
     deepest = classes.agg(F.max("bits")).first()[0] or 0
-    leaves = docs2.join(classes, ["sid", "cls"]).withColumn(
+    leaves = small.join(classes, ["sid", "cls"]).withColumn(
         "sub", F.expr("shiftrightunsigned(h, 1) & (shiftleft(1L, bits) - 1)")
     )
     keys = ["sid", "cls", "sub"]
-    carry = ["size", "doc_id", "source", "source_size", "target", "whole"]
+    end = [F.col(f"end.{c}").alias(c) for c in ("mass", "room", "h")]
     blocks = [(cut(_block(leaves, keys, carry, seed)), keys, carry)]
     for level in range(1, math.ceil(deepest / 6) + 1):
-        kids = blocks[-1][0].where("end.at >= 0").select(
-            *keys, F.col("sub").alias("child"), F.col("end.mass").alias("mass"), F.col("end.room").alias("room"), F.col("end.h").alias("h")
-        )
+        kids = blocks[-1][0].where("end.at >= 0").select(*keys, F.col("sub").alias("child"), *end)
         kids = kids.withColumn("sub", F.shiftright("sub", 6))
         blocks.append((cut(_block(kids, keys, ["child"], seed + level)), keys, ["child"]))
-    kids = blocks[-1][0].where("end.at >= 0").select(
-        *keys, F.col("end.mass").alias("mass"), F.col("end.room").alias("room"), F.col("end.h").alias("h")
-    )
-    root = _block(kids, ["sid"], ["cls", "sub"], seed - 1)
-    outcome = _settle(root, ["sid"], None, ["cls", "sub"], seed)
+    kids = blocks[-1][0].where("end.at >= 0").select(*keys, *end)
+    outcome = _settle(_block(kids, ["sid"], ["cls", "sub"], seed - 1), ["sid"], None, ["cls", "sub"], seed)
     for rows, own, carried in reversed(blocks[1:]):
         # what happened to the children of this level, keyed as the level below keys its blocks
         outcome = _settle(rows, own, outcome, carried, seed).drop("sub").withColumnRenamed("child", "sub")
     rows, own, carried = blocks[0]
-    out = _settle(rows, own, outcome, carried, seed)
+    out = _settle(rows, own, outcome, carried, seed).drop(*keys).unionByName(settled)
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("got")).alias("copies")
     )

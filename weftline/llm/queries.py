@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.ann import search
 from weftline.llm.license_scan import scan_licenses
 from weftline.llm.media import media_features, texts_to_media
 from weftline.llm.mixing import plan_mix
@@ -45,9 +46,13 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing)
+    for f in (op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
 }
 
 _SHARD_SQL = f"""

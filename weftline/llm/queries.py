@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.ann import search
+from weftline.llm.chat_format import format_windows, read_back
 from weftline.llm.license_scan import scan_licenses
 from weftline.llm.media import media_features, texts_to_media
 from weftline.llm.mixing import plan_mix
@@ -24,6 +25,13 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return read_back(format_windows(turns.unionByName(own), tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -52,7 +60,7 @@ def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
+    for f in (op1_budgeted_windows, op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
 }
 
 _SHARD_SQL = f"""

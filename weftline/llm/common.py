@@ -17,10 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     share, so a lost executor costs nothing that was computed before. Only where the setting is
     missing, as in tests on one machine, a folder of this process is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -48,3 +45,23 @@ def map_columns(
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     """A session setting as a number."""
     return int(spark.conf.get(key, str(default)))
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; one of this process only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="weftline-"))
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A place for a table that lives as long as an operator runs."""
+    return f"{_folder(spark)}/{name}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table from whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -10,8 +10,11 @@ from weftline.llm.chat_format import format_windows, read_back
 from weftline.llm.license_scan import scan_licenses
 from weftline.llm.media import media_features, texts_to_media
 from weftline.llm.mixing import plan_mix
+from weftline.llm.near_dedup import near_classes
 from weftline.llm.packing import pack
+from weftline.llm.quality import score_documents, train
 from weftline.llm.sharding import assign_shards
+from weftline.llm.suffix_dedup import repeat_digests
 from weftline.sources import read_table
 
 SHARD_BYTES = 16 << 20
@@ -32,6 +35,19 @@ def op1_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(turns.unionByName(own), tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read_table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -60,7 +76,7 @@ def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_budgeted_windows, op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
+    for f in (op1_budgeted_windows, op2_cotrained_quality, op3_probminhash, op4_suffix_groups, op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
 }
 
 _SHARD_SQL = f"""

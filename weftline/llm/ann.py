@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
 
-BLOCK = 4096  #: distinct vectors, or distinct query vectors, that meet in one task
+BLOCK = 16_384  #: distinct vectors that one task scans
+QUERIES = 512  #: distinct query vectors that one task answers
 
 
 @dataclass
@@ -152,7 +153,7 @@ def search(
     vector_col: str = "embedding",
     rows_a_partition: int = 400,
     coverage: float = 0.97,
-    rerank: int = 60,
+    rerank: int = 200,
     sample_rows: int = 20_000,
 ) -> DataFrame:
     """For each row that `queries` (a condition on the id, named vec_id) selects: its k nearest other rows.
@@ -201,40 +202,49 @@ def search(
                 names=["part", "codes", "v", "ids"],
             )
 
+    groups = 1 + n_entries // BLOCK  # whole partitions share a task
     coded = cut(entries.mapInArrow(index_rows, "part int, codes binary, v array<double>, ids array<bigint>"))
-    sizes = coded.groupBy("part").agg(F.count("*").alias("n"))
+    coded = coded.withColumn("g", F.expr(f"cast(part % {groups} AS int)"))
+    sizes = coded.groupBy("g").agg(F.count("*").alias("n"))
 
     def probe(batches):
         for batch in batches:
             q = _even(_matrix(batch.column("v"), dims))
-            near = np.argsort(-(q @ index.value.centres.T), axis=1, kind="stable")[:, :probes]
-            rows = np.repeat(np.arange(len(q)), near.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int32)), *[c.take(pa.array(rows)) for c in batch.columns]],
-                names=["part", "qid", "v"],
-            )
+            near = np.argsort(-(q @ index.value.centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            for g in range(groups):
+                own = [row[row % groups == g] for row in near]
+                some = pa.array([i for i, row in enumerate(own) if len(row)], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(some), g, np.int32)),
+                        *[c.take(some) for c in batch.columns],
+                        pa.array([row.tolist() for row in own if len(row)], pa.list_(pa.int32())),
+                    ],
+                    names=["g", "qid", "v", "probes"],
+                )
 
     asked = raw.where(queries)
     # one search for each distinct query vector, under the smallest id that asks it
     leaders = cut(asked.withColumn("qid", F.min("vec_id").over(Window.partitionBy("v"))))
-    probed = leaders.where("qid = vec_id").select("qid", "v").mapInArrow(probe, "part int, qid bigint, v array<double>")
-    n_asked = probed.groupBy("part").agg(F.count("*").alias("asked"))
-    blocks = sizes.join(n_asked, "part").select(
-        "part",
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("rows_b"),
-        F.ceil(F.col("asked") / BLOCK).cast("int").alias("asked_b"),
+    probed = (
+        leaders.where("qid = vec_id")
+        .select("qid", "v")
+        .mapInArrow(probe, "g int, qid bigint, v array<double>, probes array<int>")
     )
-    left = coded.join(blocks, "part").select(
-        "part",
-        F.expr("pmod(hash(v), rows_b)").alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.col("asked_b") - 1)).alias("qb"),
-        "codes", "v", "ids",
+    n_asked = leaders.where("qid = vec_id").count()
+    asked_blocks = 1 + n_asked // QUERIES
+    blocks = sizes.select("g", F.ceil(F.col("n") / (2 * BLOCK)).cast("int").alias("rows_b"))
+    left = coded.join(blocks, "g").select(
+        "g",
+        F.expr("cast(pmod(hash(v), rows_b) AS int)").alias("rb"),
+        F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"),
+        "part", "codes", "v", "ids",
     )
-    right = probed.join(blocks, "part").select(
-        "part",
+    right = probed.join(blocks, "g").select(
+        "g",
         F.explode(F.sequence(F.lit(0), F.col("rows_b") - 1)).alias("rb"),
-        F.expr("cast(pmod(qid, asked_b) AS int)").alias("qb"),
-        "qid", "v",
+        F.expr(f"cast(pmod(hash(qid), {asked_blocks}) AS int)").alias("qb"),
+        "qid", "v", "probes",
     )
 
     def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
@@ -244,28 +254,35 @@ def search(
             subs = len(index.value.books)
             codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(rows.num_rows, -1)[:, :subs]
             x, q = _matrix(rows["v"], dims), _matrix(asks["v"], dims)
-            qids = asks["qid"].to_numpy()
-            centre = index.value.centres[rows["part"][0].as_py()]
+            qids, part, probing = asks["qid"].to_numpy(), rows["part"].to_numpy(), asks["probes"].to_pylist()
+            by_part = {p: np.flatnonzero(part == p) for p in np.unique(part).tolist()}
             keep = min(rerank, len(x))
-            for a in range(0, len(q), 512):
-                rough = scan(index.value, centre, codes, _even(q[a : a + 512]))
+            for a in range(0, len(q), 256):
+                some = q[a : a + 256]
+                rough = np.full((len(some), len(x)), -np.inf, np.float32)
+                for p, at in by_part.items():
+                    who = np.array([p in own for own in probing[a : a + 256]])
+                    if who.any():
+                        rough[np.ix_(who, at)] = scan(index.value, index.value.centres[p], codes[at], _even(some[who]))
                 top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                exact = np.einsum("qd,qkd->qk", q[a : a + 512], x[top])
+                exact = np.einsum("qd,qkd->qk", some, x[top])
+                exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
                 best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-                out_q.append(np.repeat(qids[a : a + 512], best.shape[1]))
-                out_rows.append(np.take_along_axis(top, best, 1).ravel())
-                out_s.append(np.take_along_axis(exact, best, 1).ravel())
-        empty = np.zeros(0, np.int64)
-        at = pa.array(np.concatenate([empty, *out_rows]))
+                score = np.take_along_axis(exact, best, 1)
+                real = score > -np.inf
+                out_q.append(np.repeat(qids[a : a + 256], real.sum(1)))
+                out_rows.append(np.take_along_axis(top, best, 1)[real])
+                out_s.append(score[real])
+        at = pa.array(np.concatenate([np.zeros(0, np.int64), *out_rows]))
         return pa.table(
             {
-                "qid": pa.array(np.concatenate([empty, *out_q]), pa.int64()),
+                "qid": pa.array(np.concatenate([np.zeros(0, np.int64), *out_q]), pa.int64()),
                 "score": pa.array(np.concatenate([np.zeros(0), *out_s]), pa.float64()),
                 "ids": rows["ids"].combine_chunks().take(at),
             }
         )
 
-    keys = ["part", "rb", "qb"]
+    keys = ["g", "rb", "qb"]
     met = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))

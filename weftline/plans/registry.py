@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from weftline.plans import io, relational, scalar, streams, udf
+
+    return [relational, scalar, udf, io, streams]
 
 
 def queries() -> dict[str, Query]:

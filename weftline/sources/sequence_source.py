@@ -1,0 +1,36 @@
+"""A Python data source: numbers and their squares, in partitions that executors make by themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Span(InputPartition):
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+
+class SquaresReader(DataSourceReader):
+    def __init__(self, n: int, parts: int):
+        self.n, self.parts = n, parts
+
+    def partitions(self) -> list[Span]:
+        return [Span(k * self.n // self.parts, (k + 1) * self.n // self.parts) for k in range(self.parts)]
+
+    def read(self, span: Span):
+        for k in range(span.start, span.end):
+            yield k, k * k
+
+
+class Squares(DataSource):
+    """spark.read.format("squares").option("n", 100).option("parts", 4).load()"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "squares"
+
+    def schema(self) -> str:
+        return "k long, square long"
+
+    def reader(self, schema) -> SquaresReader:
+        return SquaresReader(int(self.options.get("n", 10)), int(self.options.get("parts", 2)))

@@ -1,0 +1 @@
+"""Structured Streaming over the events table."""

@@ -232,7 +232,9 @@ def plan_mix(
         *[f"m.{c}" for c in carry], F.get("end.taken", F.col("pos")).alias("got")
     )
     rests = giants.select("sid", F.col("end.mass").alias("rest_mass"), F.col("end.room").alias("rest_room"))
-    share = F.coalesce(F.col("rest_mass") / F.col("rest_room"), F.col("pool_mass") / F.col("pool_room"), F.lit(0.0))
+    share = F.coalesce(
+        F.try_divide("rest_mass", "rest_room"), F.try_divide("pool_mass", "pool_room"), F.lit(0.0)
+    )
     small = (
         known.where("not giant")
         .join(rests, "sid", "left")

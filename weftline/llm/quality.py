@@ -83,14 +83,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> Linear:
-    """Newton steps on the penalised likelihood, both classes with the same total weight."""
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, balanced: bool = True, rounds: int = 15) -> Linear:
+    """Newton steps on the penalised likelihood; balanced: both classes have the same total weight."""
     x = x.astype(np.float64)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-6] = 1.0
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    importance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    importance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if balanced else np.ones(len(y))
     w = np.zeros(z.shape[1])
     ridge = np.full(len(w), penalty)
     ridge[0] = 1e-6
@@ -125,11 +125,20 @@ class CoTrained:
         return sigmoid(np.column_stack([*margins, both]))
 
 
+def sure_beyond(margin: np.ndarray, hit: np.ndarray, sure: float, least: int = 8) -> float:
+    """The lowest margin from which on a share of `sure` of the held-back rows is right (inf if there is none)."""
+    order = np.argsort(-margin, kind="stable")
+    right = np.cumsum(hit[order]) / np.arange(1, len(hit) + 1)
+    ok = np.flatnonzero((right >= sure) & (np.arange(1, len(hit) + 1) >= least))
+    return float(margin[order][ok[-1]]) if len(ok) else np.inf
+
+
 def co_train(
-    x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.9
+    x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.99
 ) -> CoTrained:
     """x, y: labelled rows in random order; pool: unlabelled rows. Each round a view hands over at most
-    `share` of the pool for each class, and only rows it gives a probability of `sure` or more."""
+    `share` of the pool for each class, and only rows beyond the margin from which on it is right on a
+    share of `sure` of the labelled rows that were held back."""
     if len(y) == 0 or y.min() == y.max():
         return CoTrained(float(y.mean()) if len(y) else 0.5)
     held = np.arange(len(y)) % 4 == 0
@@ -149,19 +158,20 @@ def co_train(
     most = int(share * len(pool))
     for _ in range(rounds if most else 0):
         for view in (0, 1):
-            p = sigmoid(views[view].margin(pool[:, parts[view]]))
-            order = np.argsort(p, kind="stable")
+            own, seen = (views[view].margin(part[:, parts[view]]) for part in (pool, cal_x))
+            order = np.argsort(own, kind="stable")
             other = given[1 - view]
-            for label, rows in ((0, order), (1, order[::-1])):
-                fresh = [r for r in rows if r not in other and (p[r] if label else 1 - p[r]) >= sure][:most]
+            for label, rows, sign in ((0, order, -1), (1, order[::-1], 1)):
+                beyond = sure_beyond(sign * seen, cal_y == label, sure)
+                fresh = [r for r in rows if r not in other and sign * own[r] >= beyond][:most]
                 other.update({int(r): label for r in fresh})
         views = [fit(0), fit(1)]
     calibrated, margins = [], []
     for view in (0, 1):
         m = views[view].margin(cal_x[:, parts[view]])[:, None]
-        calibrated.append(fit_linear(m, cal_y, penalty=0.1))
+        calibrated.append(fit_linear(m, cal_y, penalty=0.1, balanced=False))
         margins.append(calibrated[-1].margin(m))
-    combined = fit_linear(np.clip(np.column_stack(margins), -20, 20), cal_y, penalty=0.1)
+    combined = fit_linear(np.clip(np.column_stack(margins), -20, 20), cal_y, penalty=0.1, balanced=False)
     return CoTrained(float(y.mean()), tuple(views), tuple(calibrated), combined)
 
 

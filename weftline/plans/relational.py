@@ -440,6 +440,6 @@ QUERIES.same_sql(
 for _op in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"):
     QUERIES.same_sql(
         "u_" + _op.lower().replace(" ", "_"),
-        f"SELECT c_custkey AS k FROM customer {_op} SELECT o_custkey AS k FROM orders WHERE o_totalprice > 200000",
+        f"SELECT c_custkey AS k FROM customer {_op} SELECT o_custkey AS k FROM orders WHERE o_custkey % 2 = 0",
     )
 QUERIES.same_sql("io_values", "SELECT a, b FROM VALUES (1, 'x'), (2, 'y'), (3, NULL) t(a, b)", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) t(a, b)")

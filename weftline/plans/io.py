@@ -38,8 +38,9 @@ def io_partitioned(t: Tables) -> DataFrame:
 @QUERIES.add("SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def io_bucketed_join(t: Tables) -> DataFrame:
     """Two tables with buckets of the join key: the join reads them without a shuffle."""
-    orders = formats.bucketed(t.orders.withColumnRenamed("o_custkey", "c_custkey"), "weftline_orders_by_customer", 8, "c_custkey")
-    customers = formats.bucketed(t.customer, "weftline_customers", 8, "c_custkey")
+    keyed = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    orders = formats.bucketed(keyed, "weftline_orders", 8, "c_custkey", shared_folder(t.spark, "orders"))
+    customers = formats.bucketed(t.customer, "weftline_customers", 8, "c_custkey", shared_folder(t.spark, "customers"))
     return customers.hint("merge").join(orders, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 

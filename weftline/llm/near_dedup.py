@@ -8,11 +8,10 @@ which is the plain Jaccard similarity where no shingle repeats.
 
 Texts that have the same words are one vertex. Vertices that agree in a band of components meet
 in a bucket. A bucket's members are first paired with its smallest member (a star, not all
-pairs) and verified exactly; verified links are joined into classes. Buckets that still hold
-several classes are searched further: members of different classes are compared by their
-signatures, in blocks of bounded size, and each member's most similar partners that were not
-tried yet are verified. This goes on until no untried pair of different classes remains, so no
-link between different texts is lost and copies in one class are never paired with each other.
+pairs) and verified exactly; verified links are joined into classes. In buckets that still hold
+several classes, every pair of members of different classes whose signatures promise a link is
+verified as well, in blocks of bounded size, unless links of that block join them already. So no
+link between different texts is lost, and copies in one class are never paired with each other.
 
 A link needs a probability Jaccard or a plain Jaccard similarity of `similarity` or more.
 
@@ -32,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, map_columns
+from weftline.llm.common import cut, map_columns, release
 
 WORDS = 5
 BANDS, ROWS = 20, 4
 COMPONENTS = BANDS * ROWS
 BLOCK = 512  #: members of a bucket that are compared with as many others at once
-TRIES = 8  #: partners that a member tries in one round
-PROMISING = 0.55  #: the part of a signature that pairs of similarity 0.8 fail to share once in 10**8
+PROMISING = 0.6  #: the part of a signature that pairs of similarity 0.8 fail to share once in 10**5
 
 _U = np.uint64
 _WORD_BYTES = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 0x20 for c in range(256))
@@ -224,10 +222,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Untried pairs of different classes in one bucket, each member's most alike first.
+def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links between different classes of one bucket, enough of them to join what belongs together.
 
-    members: bucket, n, v, comp, sig, tried (smaller vertices that v was paired with).
+    members: bucket, n, v, comp, sig, bands, text. Every pair of members of different classes whose
+    signatures promise a link is verified where its first common band is, unless links found before
+    in the same block join the two already. Large buckets are compared block by block.
     """
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("chunks", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(v), chunks) AS int)"))
@@ -236,33 +236,37 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
         # small buckets share a task, large ones are dealt to one task for each pair of chunks
         F.when(F.col("chunks") == 1, F.pmod("bucket", F.lit(4096))).otherwise(F.col("bucket")).alias("g"),
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "bucket", "own", "v", "comp", "sig", "tried",
+        "bucket", "own", "v", "comp", "sig", "bands", "text",
     )
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = set()
-        for _, g in group.groupby("bucket"):
-            i, j = g["own"].min(), g["own"].max()
-            left, right = g[g["own"] == i], g[g["own"] == j]
-            sig = [np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, COMPONENTS) for x in (left, right)]
-            comp = [x["comp"].to_numpy() for x in (left, right)]
-            ids = [x["v"].to_numpy() for x in (left, right)]
-            tried = [{v: set(t) for v, t in zip(x["v"], x["tried"], strict=True)} for x in (left, right)]
-            every = tried[0] | tried[1]
-            for k in range(len(ids[0])):
-                alike = (sig[1] == sig[0][k]).mean(1)
-                alike[comp[1] == comp[0][k]] = 0
-                took = 0
-                for m in np.argsort(-alike, kind="stable"):
-                    if alike[m] < PROMISING or took == TRIES:
-                        break
-                    a, b = sorted((int(ids[0][k]), int(ids[1][m])))
-                    if a not in every[b]:
-                        found.add((a, b))
-                        took += 1
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("g", "i", "j").applyInPandas(search, "a long, b long").distinct()
+        found = []
+        for bucket, g in group.groupby("bucket"):
+            if g["comp"].nunique() == 1:
+                continue
+            g = g.sort_values("v")
+            ids, own = g["v"].to_numpy(), g["own"].to_numpy()
+            sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, COMPONENTS)
+            bands = np.stack(g["bands"].to_numpy())
+            band = int(np.flatnonzero(bands[0] == bucket)[0])
+            row, h, n = shingles([normal(t) for t in g["text"]])
+            edges = np.searchsorted(row, np.arange(len(g) + 1))
+            sets = [{"h": h[s:e], "n": n[s:e]} for s, e in zip(edges, edges[1:], strict=False)]
+            comp = g["comp"].to_numpy().copy()  # joined further as links are found
+            for k in range(len(ids)):
+                alike = (sig[k + 1 :] == sig[k]).mean(1)
+                maybe = (alike >= PROMISING) & (comp[k + 1 :] != comp[k])
+                if own.min() != own.max():
+                    maybe &= own[k + 1 :] != own[k]
+                for m in np.flatnonzero(maybe)[np.argsort(-alike[maybe], kind="stable")] + k + 1:
+                    if comp[m] == comp[k] or (bands[m, :band] == bands[k, :band]).any():
+                        continue
+                    if similarity_of(sets[k], sets[m]) >= similarity - 1e-12:
+                        found.append((int(ids[k]), int(ids[m])))
+                        comp[comp == comp[m]] = comp[k]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("g", "i", "j").applyInPandas(search, "a long, b long")
 
 
 def near_classes(
@@ -278,33 +282,32 @@ def near_classes(
 
     heads = light.join(exact.select(F.col("v").alias("doc_id"), F.col("key").alias("k")), "doc_id").where("key = k")
     heads = heads.select(F.col("doc_id").alias("v"), "sig", "bands").dropDuplicates(["v", "sig"])
-    held = heads.select("v", F.explode("bands").alias("bucket")).distinct()
-    buckets = held.groupBy("bucket").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut(held.join(buckets, "bucket"))
-    sigs = heads.select("v", "sig").dropDuplicates(["v"])
+    held = heads.select("v", F.posexplode("bands").alias("band", "bucket")).distinct()
+    buckets = held.groupBy("band", "bucket").agg(
+        F.min("v").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("who")
+    )
+    # of buckets with the same members one is enough, the first
+    buckets = buckets.where("n > 1").groupBy("hub", "n", "who").agg(F.min(F.struct("band", "bucket")).alias("first"))
+    buckets = buckets.select("hub", "n", F.col("first.bucket").alias("bucket"))
+    members = cut(held.drop("band").join(buckets, "bucket"))
+    sigs = heads.select("v", "sig", "bands").dropDuplicates(["v"])
     texts = docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).alias("text"))
+    release(docs.sparkSession)
 
-    pairs = members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    pairs = cut(pairs)
-    tried = pairs
+    pairs = cut(members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
     links = cut(_verify(pairs, sigs, texts, similarity).unionByName(same_id.select("a", "b")))
-    while True:
-        comps = components(links)
-        placed = members.where("n > 2").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
-        known = tried.groupBy(F.col("b").alias("v")).agg(F.collect_set("a").alias("tried"))
-        todo = (
-            placed.join(mixed.select("bucket"), "bucket")
-            .join(known, "v", "left")
-            .join(sigs, "v")
-            .withColumn("tried", F.coalesce("tried", F.array().cast("array<bigint>")))
-        )
-        pairs = cut(_cross_pairs(todo))
-        if pairs.isEmpty():
-            break
-        tried = cut(tried.unionByName(pairs))
-        fresh = cut(_verify(pairs, sigs, texts, similarity))
-        links = cut(links.unionByName(fresh)) if not fresh.isEmpty() else links
+    release(docs.sparkSession)
+    comps = components(links)
+    # buckets of two were settled by their star
+    placed = members.where("n > 2").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+    todo = cut(placed.join(mixed.select("bucket"), "bucket").select("bucket", "n", "v", "comp"))
+    needed = todo.select("v").distinct()
+    bodies = sigs.join(needed, "v").join(texts.join(needed, "v", "left_semi"), "v").dropDuplicates(["v"])
+    more = cut(_cross_links(todo.join(bodies, "v"), similarity))
+    if not more.isEmpty():
+        release(docs.sparkSession)
+        comps = components(links.unionByName(more))
     return (
         copies.join(comps, "v", "left")
         .groupBy("doc_id")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import cut, map_columns
 
 END = (0).to_bytes(4, "little")
-CACHE_ENTRIES = 250_000  #: words that a worker keeps the ids of
+CACHE_ENTRIES = 100_000  #: words that a worker keeps the ids of
 GROUP_ROWS = 20_000  #: pieces that share a hash group when ranks are dealt
 
 # Words of Latin letters with ASCII punctuation after them; all others go through the whole tokenizer.

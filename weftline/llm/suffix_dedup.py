@@ -38,12 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from weftline.llm.common import cut, shared_path, delete_path
+from weftline.llm.common import cut, delete_path, release, shared_path
 from weftline.llm.suffix_array import sort_many, sort_one
 
 SEED = 20  #: bytes of a seed; a string of `length` bytes holds length - SEED + 1 of them
 SLICE = 1 << 16  #: bytes of text in a slice
-BUCKET = 1 << 25  #: bytes of text for which one task counts seeds, or compares pieces
+COUNTED = 1 << 25  #: bytes of text for whose seeds one group of rows is counted together
+COMPARED = 1 << 23  #: bytes of text for whose pieces one group of rows is compared together
 PIECE = 64  #: strings in a piece at most
 COMMON = 20_000  #: texts above which a seed's strings are grouped without the array
 LONG = 4000  #: symbols above which a string is sorted by itself
@@ -183,53 +184,55 @@ def _count(common: int):
         flags = ((n > 1).astype(np.uint8) + (n > common))[inverse]
         edges = np.cumsum([0, *[len(b) // 4 for b in blobs]])
         out = [flags[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({"bucket": group["bucket"], "slice": group["slice"], "flags": pa.array(out, pa.binary())})
+        return pa.table(
+            {
+                "bucket": group["bucket"],
+                "slice": group["slice"],
+                "flags": pa.array(out, pa.binary()),
+                "many": pa.array([b"\x02" in f for f in out]),
+            }
+        )
 
     return run
 
 
-PIECES = (
-    "bucket int, slice long, text binary, ord binary, start binary, size binary, seed binary, data binary, common boolean"
-)
+PIECES = "bucket int, slice long, text binary, ord binary, start binary, size binary, seed binary, data binary"
 
 
-def _shared_pieces(length: int, buckets: int):
-    """Slices with their flags to the pieces that other texts may share, by bucket."""
+def _shared_pieces(length: int, counted: int, compared: int, common: bool):
+    """Slices with their flags to the pieces whose seed other texts have, by bucket; common: of very common seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             data, lengths = _slice(row)
             text, start, n, seed = pieces(data, lengths, length)
             distinct, inverse = _seeds_by_text(text, seed)
-            bucket = (distinct % _U(buckets)).astype(np.int64)
+            bucket = (distinct % _U(counted)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             flags = np.zeros(len(distinct), np.uint8)
             found = {f["bucket"]: f["flags"] for f in row["found"]}
             flags[order] = np.frombuffer(b"".join([found[b] for b in sorted(found)]), np.uint8)
-            flag, bucket = flags[inverse], bucket[inverse]
+            bucket = (seed // _U(counted) % _U(compared)).astype(np.int64)
             ords = np.asarray(row["ords"], np.int64)
             offset = np.cumsum(lengths) - lengths
-            raw = row["data"]
-            out = []
-            for common in (False, True):
-                at = np.flatnonzero(flag == 1 + common)
-                at = at[np.argsort(bucket[at], kind="stable")]
-                cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1, append=-1))
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    own = at[a:b]
-                    out.append(
-                        {
-                            "bucket": int(bucket[own[0]]),
-                            "slice": row["slice"],
-                            "text": text[own].astype(np.int32).tobytes(),
-                            "ord": ords[text[own]].tobytes(),
-                            "start": (start[own] - offset[text[own]]).astype(np.int32).tobytes(),
-                            "size": n[own].astype(np.uint8).tobytes(),
-                            "seed": seed[own].tobytes(),
-                            "data": b"".join([raw[s : s + k + length - 1] for s, k in zip(start[own], n[own], strict=True)]),
-                            "common": common,
-                        }
-                    )
+            raw, out = row["data"], []
+            at = np.flatnonzero(flags[inverse] == 1 + common)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1, append=-1))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = at[a:b]
+                out.append(
+                    {
+                        "bucket": int(bucket[own[0]]),
+                        "slice": row["slice"],
+                        "text": text[own].astype(np.int32).tobytes(),
+                        "ord": ords[text[own]].tobytes(),
+                        "start": (start[own] - offset[text[own]]).astype(np.int32).tobytes(),
+                        "size": n[own].astype(np.uint8).tobytes(),
+                        "seed": seed[own].tobytes(),
+                        "data": b"".join([raw[s : s + k + length - 1] for s, k in zip(start[own].tolist(), n[own].tolist(), strict=True)]),
+                    }
+                )
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_PIECES_ARROW)
 
@@ -237,9 +240,8 @@ def _shared_pieces(length: int, buckets: int):
 
 
 _PIECES_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("text", "ord", "start", "size", "seed", "data")],
-     ("common", pa.bool_())]
-)
+    [("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("text", "ord", "start", "size", "seed", "data")]]
+)
 RANGES = "slice long, text int, lo int, hi int"
 
 
@@ -258,6 +260,14 @@ def smallest_ids(strings: list[bytes], seeds: list[int], ids: np.ndarray, length
     sizes = np.array([len(s) for s in strings], np.int64)
     seed = np.asarray(seeds, _U)
     last = np.concatenate([seed[1:] != seed[:-1], [True]])
+    alone = last & np.concatenate([[True], last[:-1]])
+    if alone.any():  # a seed with one piece has nothing to compare
+        result = [np.full(n, i, np.int64) for n, i in zip(sizes - length + 1, ids, strict=True)]
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            for k, own in zip(rest, smallest_ids([strings[k] for k in rest], seed[rest], ids[rest], length), strict=True):
+                result[k] = own
+        return result
     # the pieces with a separator after each, symbol 1, or symbol 0 after the last of a seed
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes + 1) - 1
@@ -364,7 +374,7 @@ def _common_ranges(found: DataFrame, length: int) -> DataFrame:
                 names=["slice", "text", "ord", "lo", "string"],
             )
 
-    rows = cut(found.where("common").mapInArrow(strings, "slice long, text int, ord long, lo int, string string"))
+    rows = cut(found.mapInArrow(strings, "slice long, text int, ord long, lo int, string string"))
     least = rows.groupBy("string").agg(F.min("ord").alias("least"))
     lost = rows.join(least, "string").where("ord > least")
     return lost.select("slice", "text", "lo", (F.col("lo") + length).alias("hi"))
@@ -406,18 +416,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     distinct.mapInArrow(_make_slices, SLICES).write.option("compression", "zstd").parquet(folder)
     slices = spark.read.schema(SLICES).parquet(folder)
     total = slices.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = 1 + total // BUCKET
+    counted, compared = 1 + total // COUNTED, 1 + total // COMPARED
+    release(spark)
 
-    counted = slices.select("slice", "lengths", "data").mapInArrow(
-        _count_rows(length, buckets), "bucket int, slice long, keys binary"
+    keys = slices.select("slice", "lengths", "data").mapInArrow(
+        _count_rows(length, counted), "bucket int, slice long, keys binary"
+    )
+    flags = keys.groupBy("bucket").applyInArrow(_count(COMMON), "bucket int, slice long, flags binary, many boolean")
+    found = flags.groupBy("slice").agg(
+        F.collect_list(F.struct("bucket", "flags")).alias("found"), F.max("many").alias("many")
     )
-    flags = counted.groupBy("bucket").applyInArrow(_count(COMMON), "bucket int, slice long, flags binary")
-    found = cut(flags.groupBy("slice").agg(F.collect_list(F.struct("bucket", "flags")).alias("found")))
-    with_flags = slices.select("slice", "ords", "lengths", "data").join(found, "slice")
-    shared = with_flags.mapInArrow(_shared_pieces(length, buckets), PIECES)
-    shared = cut(shared.repartition(max(1, buckets), "bucket"))
-    by_array = shared.where("not common").groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
-    lost = by_array if shared.where("common").isEmpty() else by_array.unionByName(_common_ranges(shared, length))
+    found = cut(found)
+    release(spark)
+    flagged = slices.select("slice", "ords", "lengths", "data").join(found, "slice")
+    shared = flagged.mapInArrow(_shared_pieces(length, counted, compared, False), PIECES)
+    lost = shared.groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
+    if not found.where("many").isEmpty():
+        common = flagged.where("many").mapInArrow(_shared_pieces(length, counted, compared, True), PIECES)
+        lost = lost.unionByName(_common_ranges(common, length))
     spans = lost.groupBy("slice", "text").agg(_collected().alias("r")).select("slice", "text", _merged(F.col("r")).alias("spans"))
     texts = slices.select("slice", F.posexplode(F.arrays_zip("shas", "ords")).alias("text", "z"))
     out = cut(

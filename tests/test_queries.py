@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +35,8 @@ def test_matches_its_twin(spark, duck, name):
     theirs = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
     assert sorted(ours.column_names) == sorted(names)
     assert rows(ours.to_pylist()) == rows(theirs)
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(s) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)

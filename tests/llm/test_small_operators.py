@@ -139,6 +139,17 @@ def test_edited_notices_are_found(edits):
             assert label in {s[0] for s in license_scan.fuzzy_spans(joined)}, joined
 
 
+def test_neighbouring_notices_are_all_found():
+    notice = "licensed under the mit license"
+    texts = ["licensed under the mlt license", notice, "licnsed under the mit license"]
+    joined = "a " + " or ".join(texts) + " b"
+    found = [(s, e, k) for label, s, e, k in license_scan.fuzzy_spans(joined, ((notice, "mit", 3),))]
+    assert found == [(joined.index(t), joined.index(t) + len(t), k) for t, k in zip(texts, (1, 0, 1), strict=True)]
+    got = license_scan.scan_text(joined, license_scan.PHRASES, ((notice, "mit", 3),))
+    assert [(x["start_word"], x["n_words"], x["edits"]) for x in got["spans"]] == [(1, 5, 1), (7, 5, 0), (13, 5, 1)]
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (2, 8, 14)
+
+
 def test_clean_text_has_no_label():
     assert license_scan.scan_text(make_text(random.Random(0), 5000), license_scan.PHRASES, license_scan.NOTICES)["labels"] == ""
 

@@ -13,9 +13,9 @@ matter; long texts are scanned whole; each row has its own result.
 from __future__ import annotations
 
 import functools
-import re
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,9 +69,10 @@ def _searcher(notices: tuple[tuple[str, str, int], ...]):
     for piece, where in by_piece.items():
         machine.add_word(piece, (len(piece), tuple(where)))
     machine.make_automaton()
-    # no neighbour of a match may be part of a word
+    # no neighbour of a match may be part of a word; the first match counts, with its edits made few
+    # (a search for the best match would leave out the ones before it)
     patterns = [
-        regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])")
+        regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])")
         for notice, _, edits in notices
     ]
     return machine, patterns
@@ -100,17 +101,27 @@ def fuzzy_spans(joined: str, notices: tuple[tuple[str, str, int], ...] = NOTICES
     return found
 
 
+def words_before(joined: str, places: list[int]) -> list[int]:
+    """How many words end before each place, with one pass over the text however many places there are."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += joined.count(" ", at, place)
+        out[place], at = n, place
+    return [out[p] for p in places]
+
+
 def scan_text(text: str | None, phrases: dict[str, str], notices: tuple) -> dict:
     """What one text holds."""
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # the word k follows blanks[k]
     starts: list[int] = []
     base: set[str] = set()
     for phrase, label in phrases.items():
         needle = b" " + phrase.encode() + b" "
         at = line.find(needle)
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            starts.append(int(np.searchsorted(blanks, at)))
             base.add(label)
             at = line.find(needle, at + 1)
     joined = line[1:-1].decode("utf-8", "surrogatepass")
@@ -125,8 +136,8 @@ def scan_text(text: str | None, phrases: dict[str, str], notices: tuple) -> dict
         "labels": ",".join(sorted(base | {s[0] for s in spans})),
         "score": 1.0 if base else max(0.0, close),
         "spans": [
-            {"label": a, "start_word": joined.count(" ", 0, s), "n_words": len(re.findall(r"\S+", joined[s:e])), "edits": k}
-            for a, s, e, k in spans
+            {"label": a, "start_word": k, "n_words": len(joined[s:e].split(" ")), "edits": edits}
+            for (a, s, e, edits), k in zip(spans, words_before(joined, [x[1] for x in spans]), strict=True)
         ],
     }
 

@@ -27,13 +27,14 @@ have the same result each; an empty table gives an empty result; other columns p
 from __future__ import annotations
 
 import hashlib
-import os
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -126,10 +127,12 @@ def _make_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          ("lengths", pa.list_(pa.int32())), ("data", pa.binary())]
     )
     ords, raws, n = [], [], 0
+    # no two slices of the table that is written share a number; a task that is run again writes all of its own anew
+    numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
     def made() -> pa.RecordBatch:
         row = {
-            "slice": int.from_bytes(os.urandom(8), "little") >> 1,
+            "slice": next(numbers),
             "ords": ords,
             "shas": [hashlib.sha256(r).hexdigest() for r in raws],
             "lengths": [len(r) for r in raws],

@@ -202,7 +202,7 @@ def search(
                 names=["part", "codes", "v", "ids"],
             )
 
-    groups = 1 + n_entries // BLOCK  # whole partitions share a task
+    groups = min(len(fitted.centres), 1 + n_entries // BLOCK)  # whole partitions share a task
     coded = cut(entries.mapInArrow(index_rows, "part int, codes binary, v array<double>, ids array<bigint>"))
     coded = coded.withColumn("g", F.expr(f"cast(part % {groups} AS int)"))
     sizes = coded.groupBy("g").agg(F.count("*").alias("n"))
@@ -225,7 +225,7 @@ def search(
 
     asked = raw.where(queries)
     # one search for each distinct query vector, under the smallest id that asks it
-    leaders = cut(asked.withColumn("qid", F.min("vec_id").over(Window.partitionBy("v"))))
+    leaders = cut(asked.join(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "v"))
     probed = (
         leaders.where("qid = vec_id")
         .select("qid", "v")

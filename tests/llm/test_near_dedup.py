@@ -62,6 +62,19 @@ def test_chains_and_large_groups(spark):
     assert classes(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+def test_copies_that_differ_in_repeats(spark):
+    """Plain similarity 0.9 and more, probability Jaccard far below."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = make_text(rng, 300)
+        often = " ".join([base] + [" ".join(base.split()[a : a + 14]) for a in (20,) for _ in range(60)])
+        more = " ".join([base] + [" ".join(base.split()[150:162])] * 80)
+        rows += [(3 * k, base, "en", "s", 0), (3 * k + 1, often, "en", "s", 0), (3 * k + 2, more, "en", "s", 0)]
+    got = classes(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert got == brute(rows) and len(set(got.values())) == 12
+
+
 def test_documents_table(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     assert classes(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])

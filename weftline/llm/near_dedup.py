@@ -4,12 +4,13 @@ A document is its multiset of five-word shingles. Each shingle sends a Poisson p
 at a rate that is its count, to the components of the signature; a component keeps the shingle
 that arrives first, and a shingle stops as soon as its next arrival comes later than every
 component's first. Two documents agree in a component with their probability Jaccard similarity,
-which is the plain Jaccard similarity where no shingle repeats.
+which is the plain Jaccard similarity where no shingle repeats. A text whose shingles repeat has a
+second signature, with every count 1, for its plain similarity; for other texts the two are one.
 
-Texts that have the same words are one vertex. Vertices that agree in a band of components meet
-in a bucket. A bucket's members are first paired with its smallest member (a star, not all
+Texts that have the same words are one vertex. Vertices that agree in a band of components, of
+either signature, meet in a bucket. A bucket's members are first paired with its smallest member (a star, not all
 pairs) and verified exactly; verified links are joined into classes. In buckets that still hold
-several classes, every pair of members of different classes whose signatures promise a link is
+several classes, every pair of members of different classes of which one signature promises a link is
 verified as well, in blocks of bounded size, unless links of that block join them already. So no
 link between different texts is lost, and copies in one class are never paired with each other.
 
@@ -114,11 +115,28 @@ def signatures(n_rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.nda
     return who.reshape(-1, COMPONENTS)
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    folded = np.zeros((len(sig), BANDS), _U) + np.arange(BANDS, dtype=_U)
+    for k in range(ROWS):
+        folded = _mix(folded * _U(31) + sig[:, k::ROWS])
+    return folded.view(np.int64)
+
+
+def _both(sigs: list[bytes]) -> np.ndarray:
+    """Rows x 2 x components: the signature of the counts and the plain one, which are one where no shingle repeats."""
+    whole = 2 * COMPONENTS * np.dtype(np.uint16).itemsize
+    return np.frombuffer(b"".join(s if len(s) == whole else s * 2 for s in sigs), np.uint16).reshape(-1, 2, COMPONENTS)
+
+
 LIGHT_SCHEMA = "doc_id long, key string, bands array<long>, sig binary"
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (equal for equal words), bands (none for texts without words), sig."""
+    """doc_id, key (equal for equal words), bands (none for texts without words), sig.
+
+    bands and sig hold those of the counts and, where a shingle repeats, those of the plain set behind them.
+    """
 
     def run(columns: dict[str, list]) -> dict[str, list]:
         texts = columns["text"]
@@ -127,16 +145,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             hashlib.md5(x).hexdigest() if x else "-" + hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest()
             for x, t in zip(lines, texts, strict=True)
         ]
-        sig = signatures(len(lines), *shingles(lines))
-        folded = np.zeros((len(lines), BANDS), _U) + np.arange(BANDS, dtype=_U)
-        for k in range(ROWS):
-            folded = _mix(folded * _U(31) + sig[:, k::ROWS])
-        bands = folded.view(np.int64)
+        row, shingle, count = shingles(lines)
+        twice = np.zeros(len(lines), bool)  # has a shingle that repeats
+        twice[row[count > 1]] = True
+        sig = signatures(len(lines), row, shingle, count)
+        plain = signatures(len(lines), row[twice[row]], shingle[twice[row]], np.ones(int(twice[row].sum())))
+        sigs = [[c, p] if t else [c] for c, p, t in zip(sig, plain, twice, strict=True)]
+        both = [[c, p] if t else [c] for c, p, t in zip(_bands(sig), _bands(plain), twice, strict=True)]
         return {
             "doc_id": columns["doc_id"],
             "key": keys,
-            "bands": [b.tolist() if x else [] for b, x in zip(bands, lines, strict=True)],
-            "sig": [s.astype(np.uint16).tobytes() for s in sig],
+            "bands": [np.concatenate(b).tolist() if x else [] for b, x in zip(both, lines, strict=True)],
+            "sig": [np.concatenate(s).astype(np.uint16).tobytes() for s in sigs],
         }
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -165,11 +185,8 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: floa
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-                for c in ("sig_a", "sig_b")
-            )
-            keep = pa.array((x == y).mean(1) >= PROMISING)
+            x, y = (_both(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
+            keep = pa.array((x == y).mean(2).max(1) >= PROMISING, pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     promising = (
@@ -225,9 +242,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
     """Links between different classes of one bucket, enough of them to join what belongs together.
 
-    members: bucket, n, v, comp, sig, bands, text. Every pair of members of different classes whose
-    signatures promise a link is verified where its first common band is, unless links found before
-    in the same block join the two already. Large buckets are compared block by block.
+    members: bucket, n, v, comp, sig, bands, text. Every pair of members of different classes of which
+    one signature promises a link is verified where its first common bucket (by band and number) is,
+    unless links found before in the same block join the two already. Large buckets are compared block by block.
     """
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("chunks", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(v), chunks) AS int)"))
@@ -246,20 +263,23 @@ def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
                 continue
             g = g.sort_values("v")
             ids, own = g["v"].to_numpy(), g["own"].to_numpy()
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, COMPONENTS)
-            bands = np.stack(g["bands"].to_numpy())
-            band = int(np.flatnonzero(bands[0] == bucket)[0])
+            sig = _both(list(g["sig"]))
+            bands = np.stack([np.resize(b, (2, BANDS)) for b in g["bands"]])
+            band = int(np.flatnonzero((bands[0] == bucket).any(0))[0])
             row, h, n = shingles([normal(t) for t in g["text"]])
             edges = np.searchsorted(row, np.arange(len(g) + 1))
             sets = [{"h": h[s:e], "n": n[s:e]} for s, e in zip(edges, edges[1:], strict=False)]
             comp = g["comp"].to_numpy().copy()  # joined further as links are found
             for k in range(len(ids)):
-                alike = (sig[k + 1 :] == sig[k]).mean(1)
+                alike = (sig[k + 1 :] == sig[k]).mean(2).max(1)
                 maybe = (alike >= PROMISING) & (comp[k + 1 :] != comp[k])
                 if own.min() != own.max():
                     maybe &= own[k + 1 :] != own[k]
                 for m in np.flatnonzero(maybe)[np.argsort(-alike[maybe], kind="stable")] + k + 1:
-                    if comp[m] == comp[k] or (bands[m, :band] == bands[k, :band]).any():
+                    if comp[m] == comp[k]:
+                        continue
+                    common = bands[m][:, None] == bands[k][None]
+                    if common[..., :band].any() or (common[..., band] & (bands[k][:, band] < bucket)).any():
                         continue
                     if similarity_of(sets[k], sets[m]) >= similarity - 1e-12:
                         found.append((int(ids[k]), int(ids[m])))
@@ -282,7 +302,8 @@ def near_classes(
 
     heads = light.join(exact.select(F.col("v").alias("doc_id"), F.col("key").alias("k")), "doc_id").where("key = k")
     heads = heads.select(F.col("doc_id").alias("v"), "sig", "bands").dropDuplicates(["v", "sig"])
-    held = heads.select("v", F.posexplode("bands").alias("band", "bucket")).distinct()
+    held = heads.select("v", F.posexplode("bands").alias("band", "bucket"))
+    held = held.withColumn("band", F.col("band") % BANDS).distinct()
     buckets = held.groupBy("band", "bucket").agg(
         F.min("v").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("who")
     )

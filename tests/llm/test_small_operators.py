@@ -318,6 +318,21 @@ def test_nearest_with_ties_and_bad_vectors(spark):
         assert np.allclose([x[2] for x in got[i]], [-s for s, _ in near])
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)]
+    same = [3.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    rows += [(205, same)] * 30 + [(206, same)]  # a candidate that repeats more often than an answer has rows
+    repeated = rows + [r for r in rows if r[0] % 40 == 0] * 3 + rows[50:90]
+    got = defaultdict(list)
+    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>").repartition(3)
+    for r in search(df, F.expr("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    want = brute_nearest([*rows[:201], rows[-1]], 5)
+    assert got == {i: [(n, j) for n, (_, j) in enumerate(near, 1)] for i, near in want.items()}
+    assert any(j == 206 for near in got.values() for _, j in near)
+
+
 def test_few_candidates_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], schema)

@@ -10,7 +10,8 @@ the original vectors.
 Centres and codebooks are fitted on a bounded sample (`sample_rows`, the rows with the smallest
 hashes); every vector is indexed. Equal vectors are indexed once, with as many of their smallest
 ids as an answer can need, so a vector that fills a third of the table is one entry. Equal query
-vectors are searched once. Partitions and their queries are split into blocks of bounded size.
+vectors are searched once. Repeated rows (the same id and vector) count once, as candidates and as
+queries. Partitions and their queries are split into blocks of bounded size.
 
 Cases: null vectors, zero vectors, those with null or non-finite components and those whose
 length differs from that of most take no part; rows without an id neither; fewer than k
@@ -172,6 +173,7 @@ def search(
         return spark.createDataFrame([], out_schema)
     dims = common["n"]
     raw = raw.where(F.size("v") == dims).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # -0.0 to 0.0
+    raw = raw.distinct()
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     # no answer needs more of a group of equal vectors than its k + 1 smallest ids
     entries = cut(

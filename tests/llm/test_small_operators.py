@@ -288,6 +288,22 @@ def test_mix_of_odd_rows(odd, empty):
     assert out.columns == wide.columns and out.count() == plan.agg(F.sum("copies")).first()[0]
 
 
+def test_rows_without_ids_get_their_own_copies(spark):
+    rows = [(None, f"s{k % 3} n{k} " + "w " * (k % 40), "en", "abc"[k % 3], k) for k in range(900)]
+    rows += [(7, f"same {k % 5}", "en", "c", k) for k in range(60)]  # one id, equal rows but for n_chars
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    plan = plan_mix(df).cache()
+    want = Counter()
+    for r in plan.collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got, each = Counter(), Counter()
+    for r in apply_mix(df, plan).collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+        each[r["n_chars"], r["text"]] += 1
+    assert got == +want
+    assert len({plan_copies for plan_copies in want.values()}) > 1 and max(each.values()) <= 3
+
+
 # nearest neighbours
 
 

@@ -21,7 +21,8 @@ members, so reruns agree.
 Cases: a null text has size 0; null sources are one source, ordered last; ids may be null or
 repeat (each row counts as a document of its own); an empty table gives an empty result; other
 columns are ignored by `plan_mix`. Rows alike in id, size and source share one hash, so they meet
-in one block.
+in one block. `apply_mix` knows a row by its id, source and text; rows alike in all three share
+out their copies.
 """
 
 from __future__ import annotations
@@ -194,6 +195,11 @@ def _settle_giants(giants: DataFrame, carry: list[str], seed: int) -> DataFrame:
     )
 
 
+def _row_key(doc_id: Column, source: Column, text_hash: Column) -> Column:
+    """What rows alike in id, source and text have in common; nulls are left out of the text."""
+    return F.to_json(F.struct(doc_id.cast("string").alias("id"), source.cast("string").alias("source"), text_hash.alias("text")))
+
+
 def plan_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -203,12 +209,13 @@ def plan_mix(
     cap: float = 3.0,
     seed: int = 0,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies."""
+    """One row a document: doc_id, source, size, text_hash, source_size, target, copies."""
     sized = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
         ).withColumn("h", F.xxhash64("doc_id", "size", "source", F.lit(seed)))
     )
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap))))
@@ -226,7 +233,7 @@ def plan_mix(
         .withColumn("cls", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
         .withColumn("giant", (F.col("size") > 0) & (F.col("size") >= F.col("source_size") * GIANT))
     )
-    carry = ["size", "doc_id", "source", "source_size", "target", "whole"]
+    carry = ["size", "doc_id", "source", "source_size", "target", "whole", "text_hash"]
     giants = cut(_settle_giants(known.where("giant"), carry, seed))
     settled = giants.select(F.posexplode("members").alias("pos", "m"), "end").select(
         *[f"m.{c}" for c in carry], F.get("end.taken", F.col("pos")).alias("got")
@@ -264,25 +271,48 @@ def plan_mix(
     rows, own, carried = blocks[0]
     out = _settle(rows, own, outcome, carried, seed).drop(*keys).unionByName(settled)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("got")).alias("copies")
+        "doc_id", "source", "size", "text_hash", "source_size", "target", (F.col("whole") + F.col("got")).alias("copies")
     )
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def apply_mix(
+    docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """The documents, each as often as the plan takes it, with their own columns.
 
-    Rows that share an id share out the copies planned for that id.
+    Rows alike in id, source and text share out the copies planned for them, as evenly as whole
+    copies allow. They are numbered by the partition they lie in, so a group that is a large part of
+    the table is many tasks.
     """
-
-    def keyed(df: DataFrame, col: str) -> DataFrame:
-        key = F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
-        df = df.withColumn("_mix_id", key)
-        return df.withColumn("_mix_k", F.row_number().over(Window.partitionBy("_mix_id").orderBy(F.lit(0))))
-
-    copies = keyed(plan, "doc_id").select("_mix_id", "_mix_k", F.col("copies").alias("_mix_n"))
+    key = _row_key(F.col(id_col), F.col(source_col), F.xxhash64(text_col))
+    tagged = cut(
+        docs.withColumn("_mix_key", key)
+        .withColumn("_mix_row", F.monotonically_increasing_id())
+        .withColumn("_mix_part", F.spark_partition_id())
+    )
+    slim = tagged.select("_mix_key", "_mix_part", "_mix_row")
+    planned = plan.groupBy(_row_key(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias("_mix_key")).agg(
+        F.sum("copies").alias("_mix_sum"), F.count("*").alias("_mix_rows")
+    )
+    below = Window.partitionBy("_mix_key").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        slim.groupBy("_mix_key", "_mix_part")
+        .count()
+        .withColumn("_mix_base", F.coalesce(F.sum("count").over(below), F.lit(0)))
+        .join(planned.where("_mix_sum > 0"), "_mix_key")
+        .drop("count")
+    )
+    within = Window.partitionBy("_mix_key", "_mix_part").orderBy("_mix_row")
+    copies = (
+        slim.withColumn("_mix_k", F.row_number().over(within) - 1)
+        .join(bases, ["_mix_key", "_mix_part"])
+        .selectExpr(
+            "_mix_row",
+            "_mix_sum div _mix_rows + if(_mix_base + _mix_k < _mix_sum % _mix_rows, 1, 0) AS _mix_n",
+        )
+    )
     return (
-        keyed(docs, id_col)
-        .join(copies.where("_mix_n > 0"), ["_mix_id", "_mix_k"])
+        tagged.join(copies.where("_mix_n > 0"), "_mix_row")
         .withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
         .select(*docs.columns)
     )

@@ -59,6 +59,21 @@ def test_system_turn_opens_every_window(spark):
     assert len(got) > 40 and all(parse(w["formatted"])[0] == ("system", "rules") for w in got)
 
 
+def test_long_system_turns_open_every_window_too(spark):
+    long_rules = {1: "rule " * 40, 2: "rule " * 90, 3: "rule " * 3000, 4: "rules"}  # of budget 64: over half, over, many blocks, few
+    rows = [(c, 0, "system", rules) for c, rules in long_rules.items()]
+    rows += [(c, k, "assistant" if k % 2 == 0 else "user", f"turn {k} " + "word " * (70 if k % 9 == 0 else 3)) for c in long_rules for k in range(1, 60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for history in (0, 2):
+        windows = format_windows(df, tokenizer_file("byte_bpe_50k.tiktoken"), budget=64, history=history).cache()
+        got = windows.collect()
+        assert digests(read_back(windows)) == expected(rows)
+        for w in got:
+            said = parse(w["formatted"])
+            assert said[0] == ("system", long_rules[w["conv_id"]]) and [r for r, _ in said].count("system") == 1
+            assert w["over_budget"] == (w["n_tokens"] > 64) and (not w["over_budget"] or w["n_turns"] - w["n_repeated"] == 1)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert read_back(format_windows(df, tokenizer_file("byte_bpe_50k.tiktoken"))).count() == 0

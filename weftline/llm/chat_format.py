@@ -8,8 +8,9 @@ A conversation is split into windows of whole turns. Prefix sums of turn tokens
 blocks of some windows each, and within a block the windows take turns until the budget is spent.
 The system turn (a first turn of role system) opens every window, and each window repeats the
 last turns before it, up to a number of turns and a share of the budget. The loss mask covers the
-texts of assistant turns that are new in a window, so no target counts twice. A turn that alone
-exceeds the budget has a window of its own and is never cut.
+texts of assistant turns that are new in a window, so no target counts twice. A turn that exceeds
+the budget, alone or with the system turn, has a window of its own, which the system turn opens too;
+turns are never cut, and such a window is marked over_budget.
 
 The prefix sums of one conversation are computed over ranges of its turns, each range in its own
 task, with the ranges' sums added; so a conversation may hold any share of the table.
@@ -195,7 +196,7 @@ def windows_of(rows: Iterator[dict], budget: int, history: int, history_tokens:
             if len(tail) == history or sum(x["n_tokens"] for x in tail) + r["n_tokens"] > history_tokens:
                 break
             tail.insert(0, r)
-        repeated = ([system] if system and (past or window) else []) + tail
+        repeated = ([system] if system else []) + tail
         spent = sum(r["n_tokens"] for r in repeated)
 
     def close_window() -> dict:
@@ -211,7 +212,8 @@ def windows_of(rows: Iterator[dict], budget: int, history: int, history_tokens:
             system = r
             continue
         if r["kind"] == 1:
-            past.append(r)
+            if system is None or r["seq"] != system["seq"]:
+                past.append(r)
             continue
         if not own and not repeated:
             open_window()
@@ -221,9 +223,9 @@ def windows_of(rows: Iterator[dict], budget: int, history: int, history_tokens:
             window, own = window + 1, []
             open_window()
         if not own and spent + r["n_tokens"] > budget:  # history gives way to the turn
-            repeated = [system] if system and system in repeated and system["n_tokens"] + r["n_tokens"] <= budget else []
+            repeated = [x for x in repeated if x is system]
             spent = sum(x["n_tokens"] for x in repeated)
-        if system is None and r["seq"] == 0 and r["role"] == "system" and r["n_tokens"] <= budget // 2:
+        if system is None and r["seq"] == 0 and r["role"] == "system":
             system = r
         own.append(r)
         spent += r["n_tokens"]
@@ -254,7 +256,7 @@ def format_windows(
     )
     later = blocks.where("block > 0").select(F.col("conv_id").alias("conv"), F.col("block").alias("b"))
     system = (
-        own.where((F.col("seq") == 0) & (F.col("role") == "system") & (F.col("n_tokens") <= budget // 2))
+        own.where((F.col("seq") == 0) & (F.col("role") == "system"))
         .join(later, F.col("conv_id").eqNullSafe(F.col("conv")))
         .withColumn("block", F.col("b"))
         .withColumn("kind", F.lit(0))

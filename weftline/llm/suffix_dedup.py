@@ -4,19 +4,23 @@ A byte goes if a string of `length` bytes covers it that also starts in a docume
 id. Strings are compared as they are in the input, and never across documents.
 
 1. Equal texts become one, with its smallest id (map-side combined, so a text that a third of the
-   rows share costs nothing). Their other copies lose every byte if they have `length` bytes.
-2. Distinct texts are written in slices. Each string of `length` bytes has a seed: the 20-byte
-   substring with the smallest hash. Equal strings have equal seeds, and neighbouring strings
-   mostly share one, so a text is a row of pieces: runs of strings with one seed.
+   rows share costs nothing). Their other copies lose every byte if they have `length` bytes. The
+   distinct texts move once: what follows brings small answers to where each text is, by its
+   digest, and Spark reuses that exchange.
+2. Each string of `length` bytes has a seed: the 20-byte substring with the smallest hash. Equal
+   strings have equal seeds, and neighbouring strings mostly share one, so a text is a row of
+   pieces: runs of strings with one seed.
 3. Seeds are counted; pieces whose seed occurs in one text only are done.
 4. The other pieces meet by seed. Equal pieces are laid down once with their smallest id, the
    pieces of a seed make one string, and its suffix array (see suffix_array.py) brings equal
    strings next to each other: neighbours that share `length` bytes form a group, and all but the
    group's smallest id lose these bytes.
-5. Seeds that are very common skip the array: their strings are grouped by a plain aggregation
-   with map-side combining, and joined back, so they need not fit one task.
+5. The strings of a seed that very many texts share don't fit one group. They are dealt by their
+   own hash, and each such group is salted by text: a salted group lays equal strings down once,
+   the suffix arrays are built over what the salted groups have left, and the smallest ids go back
+   to them. So neither a common seed nor a common string is ever one task's work.
 
-Lost ranges of a text are merged and cut out.
+Lost ranges of a text are merged and cut out where the text is.
 
 Cases: null texts are empty; empty or short texts lose nothing; rows without an id count as having
 the largest id; rows that share an id don't take bytes from each other; repeated rows of one id
@@ -27,29 +31,29 @@ have the same result each; an empty table gives an empty result; other columns p
 from __future__ import annotations
 
 import hashlib
-import itertools
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import StructType
 
-from weftline.llm.common import cut, delete_path, release, shared_path
 from weftline.llm.suffix_array import sort_many, sort_one
 
 SEED = 20  #: bytes of a seed; a string of `length` bytes holds length - SEED + 1 of them
-SLICE = 1 << 16  #: bytes of text in a slice
-COUNTED = 1 << 25  #: bytes of text for whose seeds one group of rows is counted together
+CHUNK = 1 << 17  #: bytes of text that are cut into pieces at once
+SENT = 1 << 21  #: bytes of text whose pieces make one row for each group
+COUNTED = 1 << 26  #: bytes of text for whose seeds one group of rows is counted together
 COMPARED = 1 << 23  #: bytes of text for whose pieces one group of rows is compared together
+ARRAY = 1 << 22  #: symbols that are sorted at once, except that a seed's are never split
 PIECE = 64  #: strings in a piece at most
-COMMON = 20_000  #: texts above which a seed's strings are grouped without the array
+COMMON = 20_000  #: texts above which a seed's strings are dealt by their own hash
 LONG = 4000  #: symbols above which a string is sorted by itself
 LAST = (1 << 63) - 1  #: stands for the id of rows without one
+DIGEST = 16  #: bytes of SHA-256 that name a text
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -69,15 +73,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each substring of `width` bytes."""
+    n = len(data)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, n), dtype=_U)])
+    return _mix((sums[width:] - sums[:-width]) * _powers(_INVERSE, n + 1 - width))
+
+
 def pieces(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The pieces of texts laid end to end: text, start in data, number of strings, hash of the seed."""
     n, span = len(data), length - SEED + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, np.zeros(0, _U)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, n), dtype=_U)])
-    seeds = _mix((sums[SEED:] - sums[:-SEED]) * _powers(_INVERSE, n + 1 - SEED))
-    low, width = seeds, 1
+    low, width = window_hashes(data, SEED), 1
     while width * 2 <= span:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
@@ -98,171 +107,265 @@ def pieces(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def _seeds_by_text(text: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct seeds in a fixed order, and which of them each piece has."""
+    """Each text's distinct seeds: text, seed."""
     order = np.lexsort((seed, text))
     t, s = text[order], seed[order]
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, bool)
-    inverse = np.empty(len(seed), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return s[new], inverse
+    return t[new], s[new]
+
 
+def _code(seed: np.ndarray, counted: int) -> np.ndarray:
+    """What is counted for a seed: its group and 32 bits of it."""
+    return (seed % _U(counted) << _U(32)) | (seed >> _U(32))
 
-def _slice(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["data"], np.uint8), np.asarray(row["lengths"], np.int64)
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole texts (column raw) of about CHUNK bytes: first row, row after the last, bytes, lengths."""
+    raw = batch.column("raw").cast(pa.binary())
+    _, offsets, values = raw.buffers()
+    if not len(raw):
+        return
+    edges = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8) if edges[-1] else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + CHUNK, "right")) - 1)
+        yield at, to, data[edges[at] : edges[to]], np.diff(edges[at : to + 1])
+        at = to
 
-def _rows(batches: Iterator[pa.RecordBatch], at_once: int = 16) -> Iterator[dict]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, at_once):
-            yield from batch.slice(at, at_once).to_pylist()
 
+def _digests(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sha").to_pylist()), f"V{DIGEST}")
 
-SLICES = "slice long, ords array<long>, shas array<string>, lengths array<int>, data binary"
 
+def _ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary cells with the given numbers of values each."""
+    offsets = np.concatenate([[0], np.cumsum(counts * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
-def _make_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (ord, text) as slices of whole texts."""
-    schema = pa.schema(
-        [("slice", pa.int64()), ("ords", pa.list_(pa.int64())), ("shas", pa.list_(pa.string())),
-         ("lengths", pa.list_(pa.int32())), ("data", pa.binary())]
-    )
-    ords, raws, n = [], [], 0
-    # no two slices of the table that is written share a number; a task that is run again writes all of its own anew
-    numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
-    def made() -> pa.RecordBatch:
-        row = {
-            "slice": next(numbers),
-            "ords": ords,
-            "shas": [hashlib.sha256(r).hexdigest() for r in raws],
-            "lengths": [len(r) for r in raws],
-            "data": b"".join(raws),
-        }
-        return pa.RecordBatch.from_pylist([row], schema=schema)
+KEYS = "bucket int, shas binary, sizes binary, keys binary"
 
-    for row in _rows(batches, 500):
-        raw = row["text"].encode("utf-8", "surrogatepass")
-        if ords and n + len(raw) > SLICE:
-            yield made()
-            ords, raws, n = [], [], 0
-        ords.append(row["ord"])
-        raws.append(raw)
-        n += len(raw)
-    if ords:
-        yield made()
 
+def _count_rows(length: int, counted: int):
+    """Texts to 32 bits of their distinct seeds, by group: digests of texts, seeds of each, seeds."""
+    schema = pa.schema([("bucket", pa.int32()), ("shas", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
 
-def _count_rows(length: int, buckets: int):
-    """Slices to (bucket, slice, keys): 32 bits of each text's distinct seeds, by bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary())])
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sha, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (code >> _U(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sha, code, bucket = sha[order], code[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        out: dict[str, list] = {c: [] for c in schema.names}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = sha[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            out["bucket"].append(int(bucket[a]))
+            out["shas"].append(own[first].tobytes())
+            out["sizes"].append(np.diff(np.concatenate([first, [b - a]])).astype(np.int32).tobytes())
+            out["keys"].append((code[a:b] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            text, _, _, seed = pieces(*_slice(row), length)
-            distinct, _ = _seeds_by_text(text, seed)
-            bucket = (distinct % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys = (distinct[order] >> _U(32)).astype(np.uint32)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used.astype(np.int32)),
-                    pa.array(np.full(len(used), row["slice"])),
-                    pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
-                ],
-                schema=schema,
-            )
+        held, size = [], 0
+        for batch in batches:
+            shas = _digests(batch)
+            for at, _, data, lengths in _chunks(batch):
+                text, _, _, seed = pieces(data, lengths, length)
+                text, seed = _seeds_by_text(text, seed)
+                held.append((shas[at + text], _code(seed, counted)))
+                size += len(data)
+                if size >= SENT:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
 
+ANSWERS = "sha binary, shared binary, common binary"
+
+
 def _count(common: int):
-    """Per bucket: for each slice's keys 0 (in one text), 1 (in several) or 2 (in very many)."""
+    """Per group of seeds: for each text its seeds that several texts have, and those that very many have."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = group["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint32)
+        shas = np.frombuffer(b"".join(group["shas"].to_pylist()), f"V{DIGEST}")
+        sizes = np.frombuffer(b"".join(group["sizes"].to_pylist()), np.int32)
+        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint32)
         _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        flags = ((n > 1).astype(np.uint8) + (n > common))[inverse]
-        edges = np.cumsum([0, *[len(b) // 4 for b in blobs]])
-        out = [flags[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table(
+        times = n[inverse]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        code = keys.astype(_U) | _U(group["bucket"][0].as_py() << 32)
+        own = np.unique(owner[times > 1])
+        place = np.zeros(len(sizes), np.int64)
+        place[own] = np.arange(len(own))
+        cells = [
+            _ragged(code[some], np.bincount(place[owner[some]], minlength=len(own)))
+            for some in ((times > 1) & (times <= common), times > common)
+        ]
+        named = pa.array([x.tobytes() for x in shas[own]], pa.binary())
+        return pa.table({"sha": named, "shared": cells[0], "common": cells[1]})
+
+    return run
+
+
+PIECES = (
+    "bucket int, salt int, shas binary, ords binary, sizes binary, start binary, strings binary, seed binary, data binary"
+)
+_PIECES_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("salt", pa.int32())]
+    + [(c, pa.binary()) for c in ("shas", "ords", "sizes", "start", "strings", "seed", "data")]
+)
+
+
+def _piece_rows(held: list[dict[str, np.ndarray]], salt: int, length: int) -> pa.RecordBatch:
+    """One row for each group: digests and ids of texts, pieces of each, the pieces' start, number of strings, seed, bytes."""
+    c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+    order = np.argsort(c["bucket"], kind="stable")
+    widths = c["n"] + length - 1
+    heads = (np.cumsum(widths) - widths)[order]
+    own = {k: c[k][order] for k in ("bucket", "sha", "ord", "start", "n", "seed")}
+    widths = widths[order]
+    ends = np.cumsum(widths)
+    data = c["data"][np.arange(ends[-1] if len(ends) else 0) + np.repeat(heads - (ends - widths), widths)].tobytes()
+    cuts = np.flatnonzero(np.diff(own["bucket"], prepend=-1, append=-1))
+    packer = zstandard.ZstdCompressor(level=1)
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        sha = own["sha"][a:b]
+        first = np.flatnonzero(np.concatenate([[True], sha[1:] != sha[:-1]]))
+        rows.append(
             {
-                "bucket": group["bucket"],
-                "slice": group["slice"],
-                "flags": pa.array(out, pa.binary()),
-                "many": pa.array([b"\x02" in f for f in out]),
+                "bucket": int(own["bucket"][a]),
+                "salt": salt,
+                "shas": sha[first].tobytes(),
+                "ords": own["ord"][a:b][first].tobytes(),
+                "sizes": np.diff(np.concatenate([first, [b - a]])).astype(np.int32).tobytes(),
+                "start": own["start"][a:b].astype(np.int32).tobytes(),
+                "strings": own["n"][a:b].astype(np.uint8).tobytes(),
+                "seed": own["seed"][a:b].tobytes(),
+                "data": packer.compress(data[ends[a] - widths[a] : ends[b - 1]]),
             }
         )
+    return pa.RecordBatch.from_pylist(rows, schema=_PIECES_ARROW)
 
-    return run
 
+def _gather(data: np.ndarray, start: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Substrings laid end to end."""
+    return data[np.arange(int(widths.sum())) + np.repeat(start - (np.cumsum(widths) - widths), widths)]
 
-PIECES = "bucket int, slice long, text binary, ord binary, start binary, size binary, seed binary, data binary"
 
+def _answered(batch: pa.RecordBatch, column: str, at: int, to: int) -> np.ndarray:
+    """The seeds (their codes) that came back for some texts. A seed is as common for one text as for all others."""
+    cells = batch.column(column).slice(at, to - at).flatten()
+    return np.frombuffer(b"".join(cells.to_pylist()), _U)
 
-def _shared_pieces(length: int, counted: int, compared: int, common: bool):
-    """Slices with their flags to the pieces whose seed other texts have, by bucket; common: of very common seeds."""
+
+def _shared_pieces(length: int, counted: int, compared: int):
+    """Texts with the counts' answers to the pieces whose seed other texts have, by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            data, lengths = _slice(row)
-            text, start, n, seed = pieces(data, lengths, length)
-            distinct, inverse = _seeds_by_text(text, seed)
-            bucket = (distinct % _U(counted)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            flags = np.zeros(len(distinct), np.uint8)
-            found = {f["bucket"]: f["flags"] for f in row["found"]}
-            flags[order] = np.frombuffer(b"".join([found[b] for b in sorted(found)]), np.uint8)
-            bucket = (seed // _U(counted) % _U(compared)).astype(np.int64)
-            ords = np.asarray(row["ords"], np.int64)
-            offset = np.cumsum(lengths) - lengths
-            raw, out = row["data"], []
-            at = np.flatnonzero(flags[inverse] == 1 + common)
-            at = at[np.argsort(bucket[at], kind="stable")]
-            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1, append=-1))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own = at[a:b]
-                out.append(
+        held, size = [], 0
+        for batch in batches:
+            shas, ords = _digests(batch), batch.column("ord").to_numpy()
+            for at, to, data, lengths in _chunks(batch):
+                text, start, n, seed = pieces(data, lengths, length)
+                some = np.flatnonzero(np.isin(_code(seed, counted), _answered(batch, "shared", at, to)))
+                text, start, n, seed = text[some], start[some], n[some], seed[some]
+                held.append(
                     {
-                        "bucket": int(bucket[own[0]]),
-                        "slice": row["slice"],
-                        "text": text[own].astype(np.int32).tobytes(),
-                        "ord": ords[text[own]].tobytes(),
-                        "start": (start[own] - offset[text[own]]).astype(np.int32).tobytes(),
-                        "size": n[own].astype(np.uint8).tobytes(),
-                        "seed": seed[own].tobytes(),
-                        "data": b"".join([raw[s : s + k + length - 1] for s, k in zip(start[own].tolist(), n[own].tolist(), strict=True)]),
+                        "bucket": (seed // _U(counted) % _U(compared)).astype(np.int64),
+                        "sha": shas[at + text],
+                        "ord": ords[at + text],
+                        "start": start - (np.cumsum(lengths) - lengths)[text],
+                        "n": n,
+                        "seed": seed,
+                        "data": _gather(data, start, n + length - 1),
                     }
                 )
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_PIECES_ARROW)
+                size += len(data)
+                if size >= SENT:
+                    yield _piece_rows(held, 0, length)
+                    held, size = [], 0
+        if held:
+            yield _piece_rows(held, 0, length)
 
     return run
 
 
-_PIECES_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("text", "ord", "start", "size", "seed", "data")]]
-)
-RANGES = "slice long, text int, lo int, hi int"
+def _common_strings(length: int, counted: int, groups: int, salts: int):
+    """Texts with the counts' answers to their strings whose seed very many texts have, each a piece of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas, ords = _digests(batch), batch.column("ord").to_numpy()
+            for at, to, data, lengths in _chunks(batch):
+                text, start, n, seed = pieces(data, lengths, length)
+                some = np.flatnonzero(np.isin(_code(seed, counted), _answered(batch, "common", at, to)))
+                if not len(some):
+                    continue
+                piece = np.repeat(some, n[some])
+                begin = start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                text, seed = text[piece], seed[piece]
+                held = {
+                    "bucket": (window_hashes(data, length)[begin] % _U(groups)).astype(np.int64),
+                    "sha": shas[at + text],
+                    "ord": ords[at + text],
+                    "start": begin - (np.cumsum(lengths) - lengths)[text],
+                    "n": np.ones(len(begin), np.int64),
+                    "seed": seed,
+                    "data": _gather(data, begin, np.full(len(begin), length)),
+                }
+                salt = int.from_bytes(shas[at].tobytes()[:6], "big") % salts
+                yield _piece_rows([held], salt, length)
+
+    return run
 
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
-    """The blobs of some piece rows as arrays."""
-    kinds = {"text": np.int32, "ord": np.int64, "start": np.int32, "size": np.uint8, "seed": _U}
+    """The pieces of some rows as arrays; data: their bytes end to end."""
+    kinds = {"shas": f"V{DIGEST}", "ords": np.int64, "sizes": np.int32, "start": np.int32, "strings": np.uint8, "seed": _U}
     out = {c: np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in kinds.items()}
-    counts = [len(b) for b in table["size"].to_pylist()]
-    out["slice"] = np.repeat(table["slice"].to_numpy(), counts)
-    out["size"] = out["size"].astype(np.int64)
+    out["n"] = out.pop("strings").astype(np.int64)
+    out["text"] = np.repeat(np.arange(len(out["sizes"])), out["sizes"])
+    packer = zstandard.ZstdDecompressor()
+    out["data"] = b"".join(packer.decompress(x) for x in table["data"].to_pylist())
     return out
 
 
+def _distinct(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Which distinct piece each piece is; the distinct pieces by seed and bytes, their seeds and smallest ids."""
+    bounds = np.concatenate([[0], np.cumsum(c["n"] + length - 1)])
+    found: dict[tuple[int, bytes], int] = {}
+    which = np.empty(len(c["n"]), np.int64)
+    for k, (seed, a, b) in enumerate(zip(c["seed"].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        which[k] = found.setdefault((seed, c["data"][a:b]), len(found))
+    keys = sorted(found)
+    place = np.empty(len(found), np.int64)
+    place[[found[k] for k in keys]] = np.arange(len(keys))
+    which = place[which]
+    ids = np.full(len(keys), LAST, np.int64)
+    np.minimum.at(ids, which, c["ords"][c["text"]])
+    return which, [s for _, s in keys], np.array([k for k, _ in keys], _U), ids
+
+
 def smallest_ids(strings: list[bytes], seeds: list[int], ids: np.ndarray, length: int) -> list[np.ndarray]:
     """For distinct pieces, ordered by seed: for each of their strings the smallest id of an equal string."""
     sizes = np.array([len(s) for s in strings], np.int64)
     seed = np.asarray(seeds, _U)
+    if not len(seed):
+        return []
     last = np.concatenate([seed[1:] != seed[:-1], [True]])
+    if sizes.sum() > ARRAY and np.count_nonzero(last) > 1:  # some seeds at a time
+        ends = np.flatnonzero(last) + 1
+        half = int(ends[np.searchsorted(np.cumsum(sizes)[ends[:-1] - 1], sizes.sum() // 2).clip(0, len(ends) - 2)])
+        return [
+            *smallest_ids(strings[:half], seed[:half], ids[:half], length),
+            *smallest_ids(strings[half:], seed[half:], ids[half:], length),
+        ]
     alone = last & np.concatenate([[True], last[:-1]])
     if alone.any():  # a seed with one piece has nothing to compare
         result = [np.full(n, i, np.int64) for n, i in zip(sizes - length + 1, ids, strict=True)]
@@ -309,200 +412,208 @@ def smallest_ids(strings: list[bytes], seeds: list[int], ids: np.ndarray, length
     return [result[a : a + k - length + 1] for a, k in zip(first, sizes, strict=True)]
 
 
+RANGES = "sha binary, ranges binary"
+
+
+def _lost(c: dict[str, np.ndarray], which: np.ndarray, least: list[np.ndarray], length: int) -> pa.Table:
+    """The byte ranges (lo, hi) that each text loses."""
+    if not len(which):
+        return pa.table({"sha": pa.array([], pa.binary()), "ranges": pa.array([], pa.binary())})
+    n, ord_ = c["n"], c["ords"][c["text"]]
+    sizes = np.array([len(x) for x in least])
+    flat, head, base = np.concatenate(least), np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    lost = flat[np.repeat(head[which] - base, n) + np.arange(n.sum())] < np.repeat(ord_, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    # runs of lost strings within a piece
+    same = np.concatenate([[False], owner[1:] == owner[:-1]])
+    begins = np.flatnonzero(lost & ~(np.concatenate([[False], lost[:-1]]) & same))
+    stops = np.flatnonzero(lost & ~(np.concatenate([lost[1:], [False]]) & np.concatenate([same[1:], [False]])))
+    piece = owner[begins]
+    lo = c["start"][piece] + begins - base[piece]
+    hi = c["start"][piece] + stops - base[piece] + length
+    counts = np.bincount(c["text"][piece], minlength=len(c["shas"]))
+    some = np.flatnonzero(counts)
+    named = pa.array([x.tobytes() for x in c["shas"][some]], pa.binary())
+    return pa.table({"sha": named, "ranges": _ragged(np.column_stack([lo, hi]).astype(np.int32).ravel(), 2 * counts[some])})
+
+
 def _lost_ranges(length: int):
-    """Per bucket of pieces: the byte ranges that are lost, by text."""
+    """Per group of pieces: the byte ranges that are lost, by text."""
 
     def run(group: pa.Table) -> pa.Table:
         c = _columns(group)
-        data = b"".join(group["data"].to_pylist())
-        bounds = np.concatenate([[0], np.cumsum(c["size"] + length - 1)])
-        index: dict[tuple[int, bytes], int] = {}
-        which = np.empty(len(c["size"]), np.int64)
-        for k, (seed, a, b) in enumerate(zip(c["seed"].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            which[k] = index.setdefault((seed, data[a:b]), len(index))
-        ids = np.full(len(index), LAST, np.int64)
-        np.minimum.at(ids, which, c["ord"])
-        seeds = np.array([s for s, _ in index], _U)
-        order = np.argsort(seeds, kind="stable")
-        strings = [s for _, s in index]
-        out: dict[str, list] = {"slice": [], "text": [], "lo": [], "hi": []}
-        if len(order):
-            least = smallest_ids([strings[k] for k in order], seeds[order], ids[order], length)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            sizes = np.array([len(x) for x in least])
-            flat, head = np.concatenate(least), np.cumsum(sizes) - sizes
-            mine = place[which]
-            at = np.repeat(head[mine] - (np.cumsum(c["size"]) - c["size"]), c["size"]) + np.arange(c["size"].sum())
-            lost = flat[at] < np.repeat(c["ord"], c["size"])
-            owner = np.repeat(np.arange(len(mine)), c["size"])
-            # runs of lost strings within a piece
-            edge = np.diff(np.concatenate([[0], lost.astype(np.int8), [0]]))
-            same = np.concatenate([[False], owner[1:] == owner[:-1]])
-            begins = np.flatnonzero(lost & ~(np.concatenate([[False], lost[:-1]]) & same))
-            stops = np.flatnonzero(lost & ~(np.concatenate([lost[1:], [False]]) & np.concatenate([same[1:], [False]])))
-            del edge
-            piece_of = owner[begins]
-            base = (np.cumsum(c["size"]) - c["size"])[piece_of]
-            out = {
-                "slice": c["slice"][piece_of],
-                "text": c["text"][piece_of],
-                "lo": (c["start"][piece_of] + begins - base).astype(np.int32),
-                "hi": (c["start"][piece_of] + stops - base + length).astype(np.int32),
-            }
-        types = {"slice": pa.int64(), "text": pa.int32(), "lo": pa.int32(), "hi": pa.int32()}
-        return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
+        which, strings, seeds, ids = _distinct(c, length)
+        return _lost(c, which, smallest_ids(strings, seeds, ids, length), length)
 
     return run
 
 
-def _common_ranges(found: DataFrame, length: int) -> DataFrame:
-    """Lost ranges for very common seeds: strings grouped by an aggregation, no seed in one task."""
+COMBINED = "bucket int, salt int, ords binary, seed binary, data binary"
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _columns(pa.Table.from_batches([batch]))
-            data = b"".join(batch.column("data").to_pylist())
-            base = np.cumsum(c["size"] + length - 1) - (c["size"] + length - 1)
-            rows = np.repeat(np.arange(len(base)), c["size"])
-            k = np.arange(len(rows)) - np.repeat(np.cumsum(c["size"]) - c["size"], c["size"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c["slice"][rows]),
-                    pa.array(c["text"][rows]),
-                    pa.array(c["ord"][rows]),
-                    pa.array((c["start"][rows] + k).astype(np.int32)),
-                    pa.array([data[a : a + length].hex() for a in (base[rows] + k).tolist()], pa.string()),
-                ],
-                names=["slice", "text", "ord", "lo", "string"],
-            )
-
-    rows = cut(found.mapInArrow(strings, "slice long, text int, ord long, lo int, string string"))
-    least = rows.groupBy("string").agg(F.min("ord").alias("least"))
-    lost = rows.join(least, "string").where("ord > least")
-    return lost.select("slice", "text", "lo", (F.col("lo") + length).alias("hi"))
-
-
-def _merged(ranges: Column) -> Column:
-    """Sorted ranges (lo, hi) joined where they touch."""
-
-    def merge(held: pd.Series) -> pd.Series:
-        out = []
-        for row in held:
-            lo = np.array([r["lo"] for r in row], np.int64)
-            hi = np.array([r["hi"] for r in row], np.int64)
-            order = np.argsort(lo, kind="stable")
-            lo, hi = lo[order], np.maximum.accumulate(hi[order])
-            new = np.concatenate([[True], lo[1:] > hi[:-1]])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:] - 1, [len(lo) - 1]])
-            out.append(np.column_stack([lo[first], hi[last]]).ravel().tolist())
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(merge, "array<int>")(ranges)
-
-
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a distinct text: sha (of its bytes), least (smallest id, LAST for none), spans (lo, hi, lo, hi ...)."""
-    if length < SEED + 4:
-        raise ValueError(f"strings of fewer than {SEED + 4} bytes have no seeds")
-    spark = docs.sparkSession
-    folder = shared_path(spark, f"suffix-{uuid.uuid4().hex}")
-    distinct = (
-        docs.select(
-            F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(text_col, F.lit("")).alias("text")
-        )
-        .groupBy("text")
-        .agg(F.min("ord").alias("ord"))
-        .select("ord", "text")
-    )
-    distinct.mapInArrow(_make_slices, SLICES).write.option("compression", "zstd").parquet(folder)
-    slices = spark.read.schema(SLICES).parquet(folder)
-    total = slices.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    counted, compared = 1 + total // COUNTED, 1 + total // COMPARED
-    release(spark)
-
-    keys = slices.select("slice", "lengths", "data").mapInArrow(
-        _count_rows(length, counted), "bucket int, slice long, keys binary"
-    )
-    flags = keys.groupBy("bucket").applyInArrow(_count(COMMON), "bucket int, slice long, flags binary, many boolean")
-    found = flags.groupBy("slice").agg(
-        F.collect_list(F.struct("bucket", "flags")).alias("found"), F.max("many").alias("many")
-    )
-    found = cut(found)
-    release(spark)
-    flagged = slices.select("slice", "ords", "lengths", "data").join(found, "slice")
-    shared = flagged.mapInArrow(_shared_pieces(length, counted, compared, False), PIECES)
-    lost = shared.groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
-    if not found.where("many").isEmpty():
-        common = flagged.where("many").mapInArrow(_shared_pieces(length, counted, compared, True), PIECES)
-        lost = lost.unionByName(_common_ranges(common, length))
-    spans = lost.groupBy("slice", "text").agg(_collected().alias("r")).select("slice", "text", _merged(F.col("r")).alias("spans"))
-    texts = slices.select("slice", F.posexplode(F.arrays_zip("shas", "ords")).alias("text", "z"))
-    out = cut(
-        texts.select("slice", "text", F.col("z.shas").alias("sha"), F.col("z.ords").alias("least"))
-        .join(spans, ["slice", "text"], "left")
-        .select("sha", "least", "spans")
-    )
-    delete_path(spark, folder)
-    return out
 
+def _combine(length: int):
+    """Per salted group of common seeds' strings: equal strings once, with their smallest id."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, strings, seeds, ids = _distinct(_columns(group), length)
+        one = {"ords": ids.tobytes(), "seed": seeds.tobytes(), "data": b"".join(strings)}
+        return pa.table({"bucket": group["bucket"][:1], "salt": group["salt"][:1], **{k: [v] for k, v in one.items()}})
 
-def _collected() -> Column:
-    return F.collect_list(F.struct("lo", "hi"))
+    return run
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """Documents with _raw (their bytes) and _spans (the ranges they lose)."""
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast(BinaryType())
-    keyed = docs.withColumn("_raw", raw).withColumn("_sha", F.sha2("_raw", 256))
-    named = spans.select(F.col("sha").alias("_sha"), F.col("least").alias("_least"), F.col("spans").alias("_spans"))
-    copy = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) > F.col("_least")
-    whole = F.array(F.lit(0), F.length("_raw").cast("int"))
-    return (
-        keyed.join(named, "_sha", "left")
-        .withColumn("_spans", F.when(copy & (F.length("_raw") >= length), whole).otherwise(F.col("_spans")))
-        .drop("_sha", "_least")
-    )
+def _smallest_of_common(length: int):
+    """Per group, over its salted groups: the smallest ids of their strings, in their order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids = np.concatenate([np.frombuffer(r["ords"], np.int64) for r in rows])
+        seed = np.concatenate([np.frombuffer(r["seed"], _U) for r in rows])
+        data = b"".join(r["data"] for r in rows)
+        one = {"ords": ids, "text": np.arange(len(ids)), "n": np.ones(len(ids), np.int64), "seed": seed, "data": data}
+        which, strings, seeds, least = _distinct(one, length)
+        found = np.concatenate(smallest_ids(strings, seeds, least, length))[which]
+        cuts = np.cumsum([0, *[len(r["ords"]) // 8 for r in rows]])
+        cells = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"bucket": group["bucket"], "salt": group["salt"], "least": pa.array(cells, pa.binary())})
+
+    return run
+
+
+def _lost_common(length: int):
+    """Per salted group and its smallest ids: the byte ranges that are lost, by text."""
+
+    def run(strings: pa.Table, least: pa.Table) -> pa.Table:
+        c = _columns(strings)
+        which, *_ = _distinct(c, length)
+        found = np.frombuffer(b"".join(least["least"].to_pylist()), np.int64)
+        return _lost(c, which, list(found[:, None]), length)
+
+    return run
+
+
+def _heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Distinct texts: sha, ord (smallest id, LAST for none), raw (UTF-8)."""
+    ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    named = docs.select(ord_.alias("ord"), raw.alias("raw"))
+    # max: all are equal
+    return named.groupBy(_digest(F.col("raw")).alias("sha")).agg(F.min("ord").alias("ord"), F.max("raw").alias("raw"))
 
 
-def cut_out(raw: bytes, spans: list[int] | None) -> bytes:
-    if spans is None or not len(spans):
+def _digest(raw: Column) -> Column:
+    """The text's name. It is never null, and says so: else joins would filter nulls below an exchange, which then differs from the others."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(raw, 256)), 1, DIGEST), F.lit(b""))
+
+
+def per_text(
+    docs: DataFrame, length: int, id_col: str, text_col: str, fn: Callable[[bytes, np.ndarray], dict], schema: str
+) -> DataFrame:
+    """sha, ord and what fn makes of each distinct text's bytes and lost ranges (an array of edges, lo and hi in turn)."""
+    if length < SEED + 4:
+        raise ValueError(f"strings of fewer than {SEED + 4} bytes have no seeds")
+    total = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    counted, compared, salts = (1 + total // x for x in (COUNTED, COMPARED, 16 * COMPARED))
+    heads = _heads(docs, id_col, text_col)
+    keys = heads.mapInArrow(_count_rows(length, counted), KEYS)
+    answers = keys.groupBy("bucket").applyInArrow(_count(COMMON), ANSWERS)
+    answers = answers.groupBy("sha").agg(F.collect_list("shared").alias("shared"), F.collect_list("common").alias("common"))
+    shared = heads.join(answers, "sha").mapInArrow(_shared_pieces(length, counted, compared), PIECES)
+    lost = shared.groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
+    with_common = heads.join(answers.where(F.exists("common", lambda c: F.octet_length(c) > 0)), "sha")
+    strings = with_common.mapInArrow(_common_strings(length, counted, 8 * compared, salts), PIECES)
+    dealt = strings.groupBy("bucket", "salt")
+    combined = dealt.applyInArrow(_combine(length), COMBINED)
+    least = combined.groupBy("bucket").applyInArrow(_smallest_of_common(length), "bucket int, salt int, least binary")
+    lost_common = dealt.cogroup(least.groupBy("bucket", "salt")).applyInArrow(_lost_common(length), RANGES)
+    ranges = lost.unionByName(lost_common).groupBy("sha").agg(F.collect_list("ranges").alias("ranges"))
+    fields = StructType.fromDDL("sha binary, ord long, " + schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(fields)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [
+                    fn(raw, merged(np.frombuffer(b"".join(r or ()), np.int32)))
+                    for raw, r in zip(part.column("raw").to_pylist(), part.column("ranges").to_pylist(), strict=True)
+                ]
+                made = [pa.array([r[f.name] for r in rows], type=f.type) for f in list(arrow)[2:]]
+                yield pa.RecordBatch.from_arrays([part.column("sha"), part.column("ord"), *made], schema=arrow)
+
+    return heads.join(ranges, "sha", "left").mapInArrow(run, fields)
+
+
+def merged(ranges: np.ndarray) -> np.ndarray:
+    """Ranges (lo, hi, lo, hi ...) in order, joined where they touch."""
+    lo, hi = ranges[::2], ranges[1::2]
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate([[True], lo[1:] > hi[:-1]]) if len(lo) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return np.column_stack([lo[first], hi[np.append(first[1:], len(lo)) - 1]]).ravel() if len(lo) else lo
+
+
+def cut_out(raw: bytes, spans: np.ndarray) -> bytes:
+    if not len(spans):
         return raw
-    edges = [0, *spans, len(raw)]
+    edges = [0, *spans.tolist(), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _known(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs with _sha, _ord, _n (bytes of the text); the text itself is left behind."""
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(
+        *[F.col(c) for c in docs.columns if c != text_col],
+        _digest(raw).alias("_sha"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_ord"),
+        F.octet_length(raw).cast("long").alias("_n"),
+        F.when(F.octet_length(raw) < length, F.col(text_col)).alias("_short"),
+        F.col(text_col).isNull().alias("_none"),
+    )
+
+
 def repeat_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of what is left, for each row."""
-    spans = repeated_spans(docs, length, id_col, text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def digest(raw: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(cut_out(r, s)).hexdigest() for r, s in zip(raw, spans, strict=True)], dtype=object)
+    def digest(raw: bytes, spans: np.ndarray) -> dict:
+        lost = int((spans[1::2] - spans[::2]).sum())
+        return {"lost": lost, "spans": len(spans) // 2, "kept": hashlib.sha256(cut_out(raw, spans)).hexdigest()}
 
-    removed = F.aggregate(
-        F.sequence(F.lit(1), F.expr("cast(size(_spans) div 2 AS int)")),
-        F.lit(0).cast("long"),
-        lambda a, k: a + F.element_at("_spans", k * 2) - F.element_at("_spans", k * 2 - 1),
-    )
-    some = F.col("_spans").isNotNull() & (F.size("_spans") > 0)
-    return _with_spans(slim, spans, length, "doc_id", "text").select(
-        "doc_id",
-        F.length("_raw").cast("long").alias("n_bytes"),
-        F.when(some, removed).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(some, F.expr("size(_spans) div 2")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.pandas_udf(digest, "string")("_raw", "_spans").alias("kept_sha256"),
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = per_text(slim, length, "doc_id", "text", digest, "lost long, spans long, kept string")
+    copy = (F.col("_ord") > F.col("ord")) & (F.col("_n") >= length)
+    return (
+        _known(slim, length, "doc_id", "text")
+        .join(found, F.col("_sha") == F.col("sha"))
+        .select(
+            "doc_id",
+            F.col("_n").alias("n_bytes"),
+            F.when(copy, F.col("_n")).otherwise(F.col("lost")).alias("n_removed"),
+            F.when(copy, F.lit(1).cast("long")).otherwise(F.col("spans")).alias("n_spans"),
+            F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept")).alias("kept_sha256"),
+        )
     )
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their remaining text; characters that lose a part of their bytes go with them."""
-    spans = repeated_spans(docs, length, id_col, text_col)
 
-    def rest(raw: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_out(r, s).decode("utf-8", "ignore") for r, s in zip(raw, spans, strict=True)], dtype=object)
+    def rest(raw: bytes, spans: np.ndarray) -> dict:
+        return {"kept": cut_out(raw, spans).decode("utf-8", "ignore") if len(raw) >= length else None}
 
-    left = F.pandas_udf(rest, "string")("_raw", "_spans")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(left)
-    return _with_spans(docs, spans, length, id_col, text_col).withColumn(text_col, text).select(*docs.columns)
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = per_text(slim, length, "_id", "_text", rest, "kept string").select(
+        F.col("sha").alias("_key"), F.col("ord").alias("_least"), F.col("kept").alias("_kept")
+    )
+    text = (
+        F.when(F.col("_none"), F.lit(None))
+        .when(F.col("_n") < length, F.col("_short"))
+        .when(F.col("_ord") > F.col("_least"), F.lit(""))
+        .otherwise(F.col("_kept"))
+    )
+    joined = _known(docs, length, id_col, text_col).join(found, F.col("_sha") == F.col("_key"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -46,7 +46,7 @@ from weftline.llm.suffix_array import sort_many, sort_one
 SEED = 20  #: bytes of a seed; a string of `length` bytes holds length - SEED + 1 of them
 CHUNK = 1 << 17  #: bytes of text that are cut into pieces at once
 SENT = 1 << 21  #: bytes of text whose pieces make one row for each group
-COUNTED = 1 << 26  #: bytes of text for whose seeds one group of rows is counted together
+COUNTED = 1 << 28  #: bytes of text for whose seeds one group of rows is counted together
 COMPARED = 1 << 23  #: bytes of text for whose pieces one group of rows is compared together
 ARRAY = 1 << 22  #: symbols that are sorted at once, except that a seed's are never split
 PIECE = 64  #: strings in a piece at most
@@ -195,23 +195,30 @@ def _count(common: int):
         shas = np.frombuffer(b"".join(group["shas"].to_pylist()), f"V{DIGEST}")
         sizes = np.frombuffer(b"".join(group["sizes"].to_pylist()), np.int32)
         keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint32)
-        _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        times = n[inverse]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        found, n = np.unique(keys, return_counts=True)
+        found, n = found[n > 1], n[n > 1]
+        some = np.flatnonzero(_among(keys, found))
+        keys, owner = keys[some], np.searchsorted(np.cumsum(sizes), some, "right")
+        many = _among(keys, found[n > common])
         code = keys.astype(_U) | _U(group["bucket"][0].as_py() << 32)
-        own = np.unique(owner[times > 1])
-        place = np.zeros(len(sizes), np.int64)
-        place[own] = np.arange(len(own))
-        cells = [
-            _ragged(code[some], np.bincount(place[owner[some]], minlength=len(own)))
-            for some in ((times > 1) & (times <= common), times > common)
-        ]
+        new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+        own, place = owner[new], np.cumsum(new) - 1
+        cells = [_ragged(code[part], np.bincount(place[part], minlength=len(own))) for part in (~many, many)]
         named = pa.array([x.tobytes() for x in shas[own]], pa.binary())
         return pa.table({"sha": named, "shared": cells[0], "common": cells[1]})
 
     return run
 
 
+def _among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of x are in found (in order), a part of x at a time."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x) if len(found) else 0, 1 << 20):
+        part = x[at : at + (1 << 20)]
+        out[at : at + len(part)] = found[np.minimum(np.searchsorted(found, part), len(found) - 1)] == part
+    return out
+
+
 PIECES = (
     "bucket int, salt int, shas binary, ords binary, sizes binary, start binary, strings binary, seed binary, data binary"
 )

@@ -1,18 +1,21 @@
 """Quality classifier by co-training of two views.
 
-One view sees the text's content (byte frequencies, word repetition), the other the page's
-metadata (source, language, length, layout of lines). Both start from the same labelled rows.
-Over some rounds each view labels those rows of an unlabelled pool that it is most sure of and
-hands them to the other view as training rows. In the end each view's margin is calibrated on
-labelled rows that were held back, and a third small model combines the calibrated views. Every
+One view sees the text's content (byte frequencies, repetition of words, layout of lines), the
+other the page's metadata (source, language, declared length) and nothing of the text. Both start
+from the same labelled rows. In each round each view scores every unlabelled document and hands the
+`given_rows` documents of each class that it is most sure of to the other view as training rows, if
+it is right beyond their margin on labelled rows that were held back. In the end each view's margin
+is calibrated on those held-back rows, and a third small model combines the calibrated views. Every
 document gets a score, the probability of quality 1; a document below the threshold is rejected.
 
-The labelled rows and the pool are bounded samples (`labelled_rows`, `pool_rows`: the rows with
-the smallest hashes), since a linear model of a few hundred weights needs no more; the driver fits
-the weights from their features. Scoring runs over all documents and all of their text.
+The features of all documents are written once to a table in the shared folder, which the rounds
+read. The labelled rows are a bounded sample (`labelled_rows`, those with the smallest hashes), and
+so are the rows handed over (`given_rows` for each round, view and class, the method's growth rate;
+they are picked from all documents), so the driver fits a few hundred weights from bounded arrays.
 
 Cases: null texts are empty, null metadata has a value of its own; documents without labels are
-scored like all others; labels without a document, with a null quality or a null id don't count,
+scored like all others; documents without an id are scored and never handed over; of rows that share
+an id one is trained on; labels without a document, with a null quality or a null id don't count,
 and of several labels for one document the lowest counts; with no labels, or labels of one class
 only, every score is the share of quality 1 (0.5 without labels); an empty table gives an empty
 result; other columns are kept by `keep_good` and clash with nothing.
@@ -21,18 +24,25 @@ result; other columns are kept by `keep_good` and clash with nothing.
 from __future__ import annotations
 
 import operator
+import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CONTENT = 261  #: features of the content view
-SOURCES, LANGS = 64, 16  #: hash slots
-METADATA = SOURCES + LANGS + 7
+from weftline.llm.common import delete_path, shared_path
+
+CONTENT = 266  #: features of the content view
+SOURCES, LANGS, LENGTHS = 64, 16, 20  #: hash slots, and classes of length by powers of two
+METADATA = SOURCES + LANGS + LENGTHS + 2
 FEATURES = CONTENT + METADATA
+VIEWS = (slice(0, CONTENT), slice(CONTENT, FEATURES))
+SALTS = 64  #: tasks that look for the surest documents of one view and class
 
 
 def features(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> np.ndarray:
@@ -44,26 +54,25 @@ def features(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Se
         words = t.split()
         row[:256] = np.sqrt(np.bincount(raw, minlength=256) / max(1, len(raw)))
         same = sum(map(operator.eq, words, words[1:]))
+        lines = t.split("\n")
+        lengths = list(map(len, lines))
         row[256:CONTENT] = (
             len(set(words)) / max(1, len(words)),
             same / max(1, len(words)),
             np.log1p(len(words)),
             len(t) / max(1, len(words)) ** 0.5 / 10,
             not words,
-        )
-        lines = t.split("\n")
-        lengths = list(map(len, lines))
-        row[CONTENT + zlib.crc32(f"{s}".encode("utf-8", "surrogatepass")) % SOURCES] = 1
-        row[CONTENT + SOURCES + zlib.crc32(f"{g}".encode("utf-8", "surrogatepass")) % LANGS] = 1
-        row[CONTENT + SOURCES + LANGS :] = (
-            np.log1p(0 if pd.isna(n) else max(0, n)),
-            pd.isna(n),
             np.log1p(len(lines)),
             np.log1p(max(lengths)),
             np.log1p(sum(lengths) / len(lines)),
             len(set(lines)) / len(lines),
             min(lengths) / max(1, max(lengths)),
         )
+        known = 0 if pd.isna(n) else max(0, int(n))
+        row[CONTENT + zlib.crc32(f"{s}".encode("utf-8", "surrogatepass")) % SOURCES] = 1
+        row[CONTENT + SOURCES + zlib.crc32(f"{g}".encode("utf-8", "surrogatepass")) % LANGS] = 1
+        row[CONTENT + SOURCES + LANGS + min(LENGTHS - 1, known.bit_length())] = 1
+        row[FEATURES - 2 :] = np.log1p(known), pd.isna(n)
     return out
 
 
@@ -85,19 +94,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, balanced: bool = True, rounds: int = 15) -> Linear:
     """Newton steps on the penalised likelihood; balanced: both classes have the same total weight."""
-    x = x.astype(np.float64)
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale[scale < 1e-6] = 1.0
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     importance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if balanced else np.ones(len(y))
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), penalty)
     ridge[0] = 1e-6
     for _ in range(rounds):
-        p = sigmoid(z @ w)
-        curve = importance * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(ridge), z.T @ (importance * (p - y)) + ridge * w)
+        curvature, slope = np.diag(ridge), ridge * w
+        for at in range(0, len(x), 2000):  # the standardised rows are never held whole
+            part = slice(at, at + 2000)
+            z = np.column_stack([np.ones(len(x[part])), (x[part] - mean) / scale])
+            p = sigmoid(z @ w)
+            curvature += (z * (importance[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+            slope += z.T @ (importance[part] * (p - y[part]))
+        step = np.linalg.solve(curvature, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -112,6 +124,7 @@ class CoTrained:
     views: tuple[Linear, Linear] | None = None
     calibrated: tuple[Linear, Linear] | None = None
     combined: Linear | None = None
+    given: tuple[dict[int, int], dict[int, int]] = ({}, {})  # per view: documents it was handed, with their labels
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Columns: content view, metadata view, both."""
@@ -119,7 +132,7 @@ class CoTrained:
             return np.full((len(x), 3), self.prior)
         margins = [
             c.margin(v.margin(part)[:, None])
-            for v, c, part in zip(self.views, self.calibrated, (x[:, :CONTENT], x[:, CONTENT:]), strict=True)
+            for v, c, part in zip(self.views, self.calibrated, (x[:, VIEWS[0]], x[:, VIEWS[1]]), strict=True)
         ]
         both = self.combined.margin(np.clip(np.column_stack(margins), -20, 20))
         return sigmoid(np.column_stack([*margins, both]))
@@ -133,76 +146,119 @@ def sure_beyond(margin: np.ndarray, hit: np.ndarray, sure: float, least: int = 8
     return float(margin[order][ok[-1]]) if len(ok) else np.inf
 
 
-def co_train(
-    x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.99
-) -> CoTrained:
-    """x, y: labelled rows in random order; pool: unlabelled rows. Each round a view hands over at most
-    `share` of the pool for each class, and only rows beyond the margin from which on it is right on a
-    share of `sure` of the labelled rows that were held back."""
-    if len(y) == 0 or y.min() == y.max():
-        return CoTrained(float(y.mean()) if len(y) else 0.5)
+def split_labelled(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which labelled rows (in random order) train and which are held back: all do both if either part lacked a class."""
     held = np.arange(len(y)) % 4 == 0
     if any(len(set(y[part])) < 2 for part in (held, ~held)):
-        held = np.zeros(len(y), bool)
-    train_x, train_y = x[~held], y[~held]
-    cal_x, cal_y = (x[held], y[held]) if held.any() else (x, y)
-    parts = (slice(0, CONTENT), slice(CONTENT, None))
-    given: list[dict[int, int]] = [{}, {}]  # per view: pool rows it was handed, with their labels
-
-    def fit(view: int) -> Linear:
-        rows = sorted(given[view])
-        own = np.concatenate([train_x[:, parts[view]], pool[rows][:, parts[view]]])
-        return fit_linear(own, np.concatenate([train_y, [given[view][r] for r in rows]]))
-
-    views = [fit(0), fit(1)]
-    most = int(share * len(pool))
-    for _ in range(rounds if most else 0):
-        for view in (0, 1):
-            own, seen = (views[view].margin(part[:, parts[view]]) for part in (pool, cal_x))
-            order = np.argsort(own, kind="stable")
-            other = given[1 - view]
-            for label, rows, sign in ((0, order, -1), (1, order[::-1], 1)):
-                beyond = sure_beyond(sign * seen, cal_y == label, sure)
-                fresh = [r for r in rows if r not in other and sign * own[r] >= beyond][:most]
-                other.update({int(r): label for r in fresh})
-        views = [fit(0), fit(1)]
+        return np.ones(len(y), bool), np.ones(len(y), bool)
+    return ~held, held
+
+
+def finish(views: tuple, prior: float, x: np.ndarray, y: np.ndarray, given: tuple) -> CoTrained:
+    """Calibrate both views on held-back rows and combine them."""
     calibrated, margins = [], []
-    for view in (0, 1):
-        m = views[view].margin(cal_x[:, parts[view]])[:, None]
-        calibrated.append(fit_linear(m, cal_y, penalty=0.1, balanced=False))
+    for view, part in zip(views, VIEWS, strict=True):
+        m = view.margin(x[:, part])[:, None]
+        calibrated.append(fit_linear(m, y, penalty=0.1, balanced=False))
         margins.append(calibrated[-1].margin(m))
-    combined = fit_linear(np.clip(np.column_stack(margins), -20, 20), cal_y, penalty=0.1, balanced=False)
-    return CoTrained(float(y.mean()), tuple(views), tuple(calibrated), combined)
+    combined = fit_linear(np.clip(np.column_stack(margins), -20, 20), y, penalty=0.1, balanced=False)
+    return CoTrained(prior, tuple(views), tuple(calibrated), combined, given)
+
+
+def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (column quality) of a bounded number of rows in the order of h, one for each id."""
+    one = rows.groupBy("h", "doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    held = one.orderBy("h", "doc_id").select("quality", "x").toArrow()
+    x = np.frombuffer(b"".join(held["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    return x, (held["quality"].to_numpy() > 0).astype(np.float64)
+
+
+def _surest(
+    table: DataFrame, quality: DataFrame, views: list[Linear], beyond: np.ndarray, taken: list[list[int]], given_rows: int
+) -> list[tuple[int, int, int]]:
+    """(view that is handed the row, doc_id, label): of all unlabelled documents those of which the other view is surest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
+            for view in (0, 1):
+                margin = views[view].margin(x[:, VIEWS[view]])
+                free = ~np.isin(ids, taken[1 - view])
+                for label, sign in ((0, -1), (1, 1)):
+                    some = np.flatnonzero(free & (sign * margin >= beyond[view, label]))
+                    slot = np.full(len(some), 2 * (1 - view) + label, np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slot), pa.array(ids[some]), pa.array(sign * margin[some])], names=["slot", "doc_id", "sure"]
+                    )
+
+    found = table.where("doc_id is not null").mapInArrow(run, "slot int, doc_id long, sure double")
+    fresh = found.join(quality, "doc_id", "left_anti").groupBy("slot", "doc_id").agg(F.max("sure").alias("sure"))
+    # the best of some parts first, so that no task ranks all documents
+    dealt = fresh.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    for keys in (("slot", "part"), ("slot",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sure"), "doc_id"))
+        dealt = dealt.withColumn("place", place).where(F.col("place") <= given_rows)
+    return [(r["slot"] // 2, r["doc_id"], r["slot"] % 2) for r in dealt.select("slot", "doc_id").collect()]
 
 
 SCORES = "content_score double, metadata_score double, score double"
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_rows: int = 12_000
+    docs: DataFrame,
+    labels: DataFrame,
+    labelled_rows: int = 12_000,
+    rounds: int = 3,
+    given_rows: int = 500,
+    sure: float = 0.99,
 ) -> CoTrained:
-    """Fit on bounded samples of labels (doc_id, quality) and of documents without one."""
+    """Fit on a bounded sample of labels (doc_id, quality) and on documents without one that the views hand each other."""
+    spark = docs.sparkSession
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality")
     )
     known = quality.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(labelled_rows)
-    ids = docs.select("doc_id").where("doc_id is not null").join(quality, "doc_id", "left_anti")
-    pool = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(pool_rows)
-    wanted = known.unionByName(pool.withColumn("quality", F.lit(None).cast("int")))
-    made = F.pandas_udf(
-        lambda *c: pd.Series([r.tobytes() for r in features(*c)], dtype=object), "binary"
-    )
-    rows = (
-        # at most labelled_rows + pool_rows ids
-        docs.join(F.broadcast(wanted.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-        .select("h", "doc_id", "quality", made("text", "source", "lang", "n_chars").alias("x"))
-        .toPandas()
-        .sort_values(["h", "doc_id"])
-        .drop_duplicates("doc_id")
-    )
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, FEATURES)
-    has = rows["quality"].notna().to_numpy()
-    return co_train(x[has], (rows["quality"][has] > 0).to_numpy(np.float64), x[~has])
+    made = F.pandas_udf(lambda *c: pd.Series([r.tobytes() for r in features(*c)], dtype=object), "binary")
+    folder = shared_path(spark, f"features-{uuid.uuid4().hex}")
+    try:
+        docs.select("doc_id", made("text", "source", "lang", "n_chars").alias("x")).write.option(
+            "compression", "zstd"
+        ).parquet(folder)
+        table = spark.read.schema("doc_id long, x binary").parquet(folder)
+        # at most labelled_rows ids
+        x, y = _arrays(table.join(F.broadcast(known), "doc_id"))
+        if len(y) == 0 or y.min() == y.max():
+            return CoTrained(float(y.mean()) if len(y) else 0.5)
+        trains, held = split_labelled(y)
+        given: list[dict[int, int]] = [{}, {}]  # per view: documents it was handed, with their labels
+
+        def fit(view: int) -> Linear:
+            own_x, own_y = x[trains][:, VIEWS[view]], y[trains]
+            if given[view]:
+                rows = spark.createDataFrame(sorted(given[view].items()), "doc_id long, quality int")
+                more, label = _arrays(table.join(F.broadcast(rows), "doc_id").withColumn("h", F.lit(0)))
+                own_x, own_y = np.concatenate([own_x, more[:, VIEWS[view]]]), np.concatenate([own_y, label])
+            return fit_linear(own_x, own_y)
+
+        views = [fit(0), fit(1)]
+        for _ in range(rounds):
+            seen = [v.margin(x[held][:, part]) for v, part in zip(views, VIEWS, strict=True)]
+            beyond = np.array(
+                [[sure_beyond(sign * m, y[held] == label, sure) for label, sign in ((0, -1), (1, 1))] for m in seen]
+            )
+            if not np.isfinite(beyond).any():
+                break
+            taken = [sorted(g) for g in given]
+            handed = _surest(table, quality, views, beyond, taken, given_rows)
+            for view, doc_id, label in sorted(handed):
+                given[view][doc_id] = label
+            if not handed:
+                break
+            views = [fit(0), fit(1)]
+        return finish(tuple(views), float(y.mean()), x[held], y[held], tuple(given))
+    finally:
+        delete_path(spark, folder)
 
 
 def score_column(model: CoTrained) -> Column:

@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by inner product, with score-aware quantisation.
 
-Vectors are dealt to partitions (k-means). The difference to the partition's centre is coded in
-4 bits for every two dimensions. The codes and codebooks minimise an anisotropic loss: the part
-of the error along the vector itself, which shifts large inner products, costs more than the part
-across it. A search looks into the partitions with the largest inner products of centre and
-query, scans the codes there by table look-ups, and reranks the best of each partition exactly on
-the original vectors.
+Vectors are dealt to cells: a coarse centre (k-means), and for large tables a second centre for
+what is left, so that the number of cells grows with the table beyond what a sample can train. The
+difference to the cell's centre is coded in 4 bits for every two dimensions. The codes and
+codebooks minimise an anisotropic loss: the part of the error along the vector itself, which shifts
+large inner products, costs more than the part across it. A search looks into the cells with the
+largest inner products of centre and query, scans the codes there by table look-ups, and reranks
+the best of them exactly on the original vectors.
+
+Cells that lie near each other make up blocks of about BLOCK vectors; a cell that is larger is
+several blocks. Every vector is sent to its block once, and a query once to each block that holds a
+cell it probes. A task holds one block and reads its queries as a stream.
 
 Centres and codebooks are fitted on a bounded sample (`sample_rows`, the rows with the smallest
-hashes); every vector is indexed. Equal vectors are indexed once, with as many of their smallest
-ids as an answer can need, so a vector that fills a third of the table is one entry. Equal query
-vectors are searched once. Repeated rows (the same id and vector) count once, as candidates and as
-queries. Partitions and their queries are split into blocks of bounded size.
+hashes); every vector is indexed. How many cells are probed and how many candidates are reranked is
+measured on the sample, against brute force. Equal vectors are indexed once, with as many of their
+smallest ids as an answer can need, so a vector that fills a third of the table is one entry. Equal
+query vectors are searched once. Repeated rows (the same id and vector) count once, as candidates
+and as queries.
 
 Cases: null vectors, zero vectors, those with null or non-finite components and those whose
 length differs from that of most take no part; rows without an id neither; fewer than k
@@ -21,6 +27,8 @@ candidates give all of them; ties go to the smaller id; an empty table gives an
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,17 +38,31 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
 
-BLOCK = 16_384  #: distinct vectors that one task scans
-QUERIES = 512  #: distinct query vectors that one task answers
+BLOCK = 16_384  #: distinct vectors, about, that a task holds at once
+FINE = 64  #: second centres for each coarse one at most
+AT_ONCE = 256  #: queries that are answered together
 
 
 @dataclass
 class Index:
     """What all tasks need: its size depends on the sample alone."""
 
-    centres: np.ndarray  # partitions x dims
+    coarse: np.ndarray  # centres x dims
+    fine: np.ndarray  # second centres x dims
     books: np.ndarray  # subspaces x 16 x 2
     parallel: float  # extra weight of the error along the vector
+    first: np.ndarray | None = None  # per cell: its first block
+    splits: np.ndarray | None = None  # per cell: the blocks it is dealt to
+    probes: int = 1
+
+    @property
+    def centres(self) -> np.ndarray:
+        """Of all cells."""
+        return (self.coarse[:, None] + self.fine[None]).reshape(-1, self.coarse.shape[1])
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        near = _nearest(x, self.coarse)
+        return near * len(self.fine) + (_nearest(x - self.coarse[near], self.fine) if len(self.fine) > 1 else 0)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,12 +102,16 @@ def encode(residual: np.ndarray, unit: np.ndarray, books: np.ndarray, parallel:
     return codes
 
 
-def fit(x: np.ndarray, partitions: int, threshold: float = 0.2, rounds: int = 6) -> Index:
-    """Centres and codebooks from sample rows (dims even)."""
+def fit(x: np.ndarray, cells: int, threshold: float = 0.2, rounds: int = 6) -> Index:
+    """Centres and codebooks from sample rows (dims even). A coarse centre has 16 sample rows or more on average."""
     x = x.astype(np.float64)
     dims = x.shape[1]
-    centres = _kmeans(x, min(partitions, len(x)))
-    residual = x - centres[_nearest(x, centres)]
+    coarse = _kmeans(x, max(1, min(cells, len(x) // 16)))
+    left = x - coarse[_nearest(x, coarse)]
+    n_fine = min(FINE, -(-cells // len(coarse)))
+    fine = _kmeans(left, n_fine) if n_fine > 1 and len(x) >= 16 * n_fine else np.zeros((1, dims))
+    index = Index(coarse, fine, np.zeros((dims // 2, 16, 2)), 0.0)
+    residual = x - index.centres[index.cell(x)]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     # weights for scores above `threshold` of the vectors' lengths
     eta = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
@@ -107,20 +133,47 @@ def fit(x: np.ndarray, partitions: int, threshold: float = 0.2, rounds: int = 6)
                 if at.any():
                     books[m, k] = np.linalg.solve(outer[at].sum(0), want[at].sum(0))
             along[:, m] = ((r[:, m] - books[m, codes[:, m]]) * u[:, m]).sum(1)
-    return Index(centres, books, parallel)
+    index.books, index.parallel = books, parallel
+    return index
 
 
-def probes_for(index: Index, x: np.ndarray, k: int, coverage: float, asked: int = 256) -> int:
-    """The least number of partitions that hold `coverage` of the k nearest of some sample rows, by brute force."""
+def measure(index: Index, x: np.ndarray, k: int, coverage: float, asked: int = 256) -> tuple[int, float]:
+    """By brute force for some sample rows: the least number of cells that hold `coverage` of the k nearest, and
+    the least share of all rows that, best by codes first, holds as many of them."""
     x = x.astype(np.float64)
-    near = _nearest(x, index.centres)
+    if len(x) < 2:
+        return 1, 1.0
+    cell, centres = index.cell(x), index.centres
+    codes = encode(x - centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True), index.books, index.parallel)
+    decoded = centres[cell] + np.take_along_axis(index.books, codes.T[:, :, None], 1).transpose(1, 0, 2).reshape(len(x), -1)
     q = x[:asked]
-    scores = q @ x.T
-    np.fill_diagonal(scores, -np.inf)
-    true = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(q @ index.centres.T), axis=1), axis=1)
-    needed = np.sort(np.take_along_axis(place, near[true], axis=1).ravel()) + 1
-    return int(needed[min(len(needed) - 1, math.ceil(coverage * len(needed)))]) if len(needed) else 1
+    exact, rough = q @ x.T, q @ decoded.T
+    for scores in (exact, rough):
+        np.fill_diagonal(scores, -np.inf)
+    true = np.argsort(-exact, axis=1)[:, : min(k, len(x) - 1)]
+
+    def needed(scores: np.ndarray, found: np.ndarray) -> int:
+        place = np.argsort(np.argsort(-scores, axis=1), axis=1)
+        places = np.sort(np.take_along_axis(place, found, axis=1).ravel()) + 1
+        return int(places[min(len(places) - 1, math.ceil(coverage * len(places)))])
+
+    return needed(q @ centres.T, cell[true]), needed(rough, true) / len(x)
+
+
+def lay_out(index: Index, sample_cells: np.ndarray, n: int) -> None:
+    """Deal the cells to blocks by the sizes that the sample lets expect, near cells together."""
+    expected = np.bincount(sample_cells, minlength=len(index.coarse) * len(index.fine)) * (n / max(1, len(sample_cells)))
+    near = _nearest(index.coarse, _kmeans(index.coarse, math.isqrt(len(index.coarse))))
+    order = np.argsort(np.repeat(near, len(index.fine)), kind="stable")
+    index.first, index.splits = np.zeros(len(order), np.int64), np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64)
+    block, filled = 0, 0.0
+    for c in order:
+        if filled and (index.splits[c] > 1 or filled + expected[c] > BLOCK):
+            block, filled = block + 1, 0.0
+        index.first[c] = block
+        filled += expected[c]
+        if index.splits[c] > 1:
+            block, filled = block + int(index.splits[c]), 0.0
 
 
 def scan(index: Index, centre: np.ndarray, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -146,149 +199,170 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda c: c != 0)
 
 
+def _index_rows(index, dims: int):
+    """Entries (v, ids) to (block, cell, codes, v, ids); index: a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Index = index.value
+        centres = held.centres
+        for batch in batches:
+            x = _even(_matrix(batch.column("v"), dims))
+            cell = held.cell(x)
+            codes = encode(x - centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True), held.books, held.parallel)
+            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
+            packed = codes[:, 0::2] | codes[:, 1::2] << 4
+            block = held.first[cell].copy()
+            for i in np.flatnonzero(held.splits[cell] > 1):
+                block[i] += zlib.crc32(x[i].tobytes()) % int(held.splits[cell[i]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block), pa.array(cell.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), *batch.columns],
+                names=["block", "cell", "codes", "v", "ids"],
+            )
+
+    return run
+
+
+def _probe_rows(index, dims: int):
+    """Queries (qid, v) to (block, probes, v, qid), one row for each block that holds probed cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Index = index.value
+        centres = held.centres
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                q = _even(_matrix(part.column("v"), dims))
+                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, : held.probes].ravel()
+                who = np.repeat(np.arange(len(q)), held.probes)
+                splits = held.splits[near]
+                block = np.repeat(held.first[near], splits) + np.arange(splits.sum()) - np.repeat(np.cumsum(splits) - splits, splits)
+                who, near = np.repeat(who, splits), np.repeat(near, splits).astype(np.int32)
+                order = np.lexsort((block, who))
+                who, near, block = who[order], near[order], block[order]
+                new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (block[1:] != block[:-1])]))
+                own = pa.array(who[new])
+                probes = pa.ListArray.from_arrays(pa.array(np.append(new, len(near)).astype(np.int32)), pa.array(near))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[new]), probes, part.column("v").take(own), part.column("qid").take(own)],
+                    names=["block", "probes", "v", "qid"],
+                )
+
+    return run
+
+
+def _answers(index, dims: int, k: int, rerank: int):
+    """Rows ordered by block, each block's vectors before its queries, to each query's best there: qid, score, ids."""
+
+    def answer(rows: pa.Table, asks: pa.RecordBatch) -> pa.RecordBatch:
+        held: Index = index.value
+        packed = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(rows.num_rows, -1)[:, : len(held.books)]
+        x, cell = _matrix(rows["v"], dims), rows["cell"].to_numpy()
+        by_cell = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
+        keep = min(rerank, len(x))
+        out_q, out_s, out_rows = [], [], []
+        for a in range(0, asks.num_rows, AT_ONCE):
+            part = asks.slice(a, AT_ONCE)
+            q, probing = _matrix(part.column("v"), dims), part.column("probes")
+            wanted = probing.flatten().to_numpy()
+            who = np.repeat(np.arange(len(q)), probing.value_lengths().to_numpy())
+            rough = np.full((len(q), len(x)), -np.inf, np.float32)
+            for c, at in by_cell.items():
+                asking = who[wanted == c]
+                if len(asking):
+                    centre = held.coarse[c // len(held.fine)] + held.fine[c % len(held.fine)]
+                    rough[np.ix_(asking, at)] = scan(held, centre, codes[at], _even(q[asking]))
+            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+            exact = np.einsum("qd,qkd->qk", q, x[top])
+            exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
+            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+            score = np.take_along_axis(exact, best, 1)
+            real = score > -np.inf
+            out_q.append(np.repeat(part.column("qid").to_numpy(), real.sum(1)))
+            out_rows.append(np.take_along_axis(top, best, 1)[real])
+            out_s.append(score[real])
+        ids = rows["ids"].combine_chunks().take(pa.array(np.concatenate(out_rows)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_s)), ids], names=["qid", "score", "ids"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, whole = None, [], None
+        for batch in batches:
+            keys = batch.column("block").to_numpy() * 2 + batch.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part, (now, asks) = batch.slice(a, b - a), divmod(int(keys[a]), 2)
+                if now != block:
+                    block, held, whole = now, [], None
+                if not asks:
+                    held.append(part)
+                elif held or whole is not None:
+                    whole = pa.Table.from_batches(held) if whole is None else whole
+                    yield answer(whole, part)
+
+    return run
+
+
 def search(
     table: DataFrame,
     queries: Column,
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    rows_a_partition: int = 400,
+    rows_a_cell: int = 400,
     coverage: float = 0.97,
     rerank: int = 200,
     sample_rows: int = 20_000,
 ) -> DataFrame:
     """For each row that `queries` (a condition on the id, named vec_id) selects: its k nearest other rows.
 
-    coverage: the part of the true neighbours that the probed partitions must hold, measured on the
-    sample; it sets how many partitions are probed, many for vectors without clusters.
+    coverage: the part of the true neighbours that the probed cells must hold, and as many the
+    reranked candidates, measured on the sample; rerank: candidates of a block at least.
     Columns: query_id, rank, vec_id, score.
     """
     spark = table.sparkSession
-    raw = table.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda c: c.cast("double")).alias("v")
-    ).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
+    kind = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    raw = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    raw = raw.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     common = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out_schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return spark.createDataFrame([], out_schema)
     dims = common["n"]
-    raw = raw.where(F.size("v") == dims).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # -0.0 to 0.0
-    raw = raw.distinct()
+    zero = F.lit(0.0).cast(kind)
+    raw = raw.where(F.size("v") == dims).withColumn("v", F.transform("v", lambda c: c + zero))  # -0.0 to 0.0
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     # no answer needs more of a group of equal vectors than its k + 1 smallest ids
     entries = cut(
-        raw.withColumn("n", F.row_number().over(by_vector))
+        raw.withColumn("n", F.dense_rank().over(by_vector))
         .where(F.col("n") <= k + 1)
         .groupBy("v")
         .agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     )
     n_entries = entries.count()
-    sample = np.array(
-        [r["v"] for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows).toLocalIterator()]
+    sample = _even(
+        _matrix(entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows).toArrow()["v"], dims)
     )
-    partitions = max(1, min(round(math.sqrt(n_entries)), n_entries // rows_a_partition, len(sample) // 16))
-    fitted = fit(_even(sample), partitions)
-    probes = probes_for(fitted, _even(sample), k, coverage)
+    fitted = fit(sample, max(1, min(round(math.sqrt(n_entries)), n_entries // rows_a_cell)))
+    lay_out(fitted, fitted.cell(sample), n_entries)
+    fitted.probes, share = measure(fitted, sample, k, coverage)
     index = spark.sparkContext.broadcast(fitted)
 
-    def index_rows(batches):
-        for batch in batches:
-            x = _even(_matrix(batch.column("v"), dims))
-            near = _nearest(x, index.value.centres)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            codes = encode(x - index.value.centres[near], unit, index.value.books, index.value.parallel)
-            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
-            packed = codes[:, 0::2] | codes[:, 1::2] << 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), *batch.columns],
-                names=["part", "codes", "v", "ids"],
-            )
-
-    groups = min(len(fitted.centres), 1 + n_entries // BLOCK)  # whole partitions share a task
-    coded = cut(entries.mapInArrow(index_rows, "part int, codes binary, v array<double>, ids array<bigint>"))
-    coded = coded.withColumn("g", F.expr(f"cast(part % {groups} AS int)"))
-    sizes = coded.groupBy("g").agg(F.count("*").alias("n"))
-
-    def probe(batches):
-        for batch in batches:
-            q = _even(_matrix(batch.column("v"), dims))
-            near = np.argsort(-(q @ index.value.centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            for g in range(groups):
-                own = [row[row % groups == g] for row in near]
-                some = pa.array([i for i, row in enumerate(own) if len(row)], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(some), g, np.int32)),
-                        *[c.take(some) for c in batch.columns],
-                        pa.array([row.tolist() for row in own if len(row)], pa.list_(pa.int32())),
-                    ],
-                    names=["g", "qid", "v", "probes"],
-                )
-
-    asked = raw.where(queries)
+    vectors = entries.mapInArrow(_index_rows(index, dims), f"block long, cell int, codes binary, v array<{kind}>, ids array<bigint>")
+    asked = raw.where(queries).distinct()
     # one search for each distinct query vector, under the smallest id that asks it
     leaders = cut(asked.join(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "v"))
     probed = (
         leaders.where("qid = vec_id")
         .select("qid", "v")
-        .mapInArrow(probe, "g int, qid bigint, v array<double>, probes array<int>")
+        .mapInArrow(_probe_rows(index, dims), f"block long, probes array<int>, v array<{kind}>, qid bigint")
     )
-    n_asked = leaders.where("qid = vec_id").count()
-    asked_blocks = 1 + n_asked // QUERIES
-    blocks = sizes.select("g", F.ceil(F.col("n") / (2 * BLOCK)).cast("int").alias("rows_b"))
-    left = coded.join(blocks, "g").select(
-        "g",
-        F.expr("cast(pmod(hash(v), rows_b) AS int)").alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"),
-        "part", "codes", "v", "ids",
-    )
-    right = probed.join(blocks, "g").select(
-        "g",
-        F.explode(F.sequence(F.lit(0), F.col("rows_b") - 1)).alias("rb"),
-        F.expr(f"cast(pmod(hash(qid), {asked_blocks}) AS int)").alias("qb"),
-        "qid", "v", "probes",
-    )
-
-    def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        out_q, out_s, out_rows = [], [], []
-        if rows.num_rows and asks.num_rows:
-            packed = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            subs = len(index.value.books)
-            codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(rows.num_rows, -1)[:, :subs]
-            x, q = _matrix(rows["v"], dims), _matrix(asks["v"], dims)
-            qids, part, probing = asks["qid"].to_numpy(), rows["part"].to_numpy(), asks["probes"].to_pylist()
-            by_part = {p: np.flatnonzero(part == p) for p in np.unique(part).tolist()}
-            keep = min(rerank, len(x))
-            for a in range(0, len(q), 256):
-                some = q[a : a + 256]
-                rough = np.full((len(some), len(x)), -np.inf, np.float32)
-                for p, at in by_part.items():
-                    who = np.array([p in own for own in probing[a : a + 256]])
-                    if who.any():
-                        rough[np.ix_(who, at)] = scan(index.value, index.value.centres[p], codes[at], _even(some[who]))
-                top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                exact = np.einsum("qd,qkd->qk", some, x[top])
-                exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-                score = np.take_along_axis(exact, best, 1)
-                real = score > -np.inf
-                out_q.append(np.repeat(qids[a : a + 256], real.sum(1)))
-                out_rows.append(np.take_along_axis(top, best, 1)[real])
-                out_s.append(score[real])
-        at = pa.array(np.concatenate([np.zeros(0, np.int64), *out_rows]))
-        return pa.table(
-            {
-                "qid": pa.array(np.concatenate([np.zeros(0, np.int64), *out_q]), pa.int64()),
-                "score": pa.array(np.concatenate([np.zeros(0), *out_s]), pa.float64()),
-                "ids": rows["ids"].combine_chunks().take(at),
-            }
-        )
-
-    keys = ["g", "rb", "qb"]
+    both = vectors.withColumn("asks", F.lit(0)).unionByName(probed.withColumn("asks", F.lit(1)), allowMissingColumns=True)
     met = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInArrow(meet, "qid bigint, score double, ids array<bigint>")
+        both.repartition("block")
+        .sortWithinPartitions("block", "asks")
+        .mapInArrow(_answers(index, dims, k, max(rerank, math.ceil(share * BLOCK))), "qid bigint, score double, ids array<bigint>")
     )
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0]))
     found = met.withColumn("n", first).where(F.col("n") <= k + 1).select("qid", "score", "ids")

@@ -8,19 +8,21 @@ gets its sum from there, and the shard of a cell is its shortest prefix that fit
 still too large goes into another round with more bits, by itself.
 
 Rows that share every hash bit (rows with one id) can't be told apart by more bits. Their bucket
-keeps overflow pages: the rows are dealt to pages by running byte count, so each page fits too. A
-row that alone exceeds the limit is the only row that may make a shard larger than the limit.
+keeps overflow pages: the rows are dealt to chunks, and a chunk's rows to pages by running byte
+count, so each page fits too; rows of more than half the limit have pages of their own. A row that
+alone exceeds the limit is the only row that may make a shard larger than the limit.
 
 Cases: null text has 0 bytes; null ids hash as the empty string; repeated rows go to overflow
-pages where needed; an empty table gives an empty result; other columns pass through
-`write_shards` as they are.
+pages where needed; an empty table gives an empty result; `write_shards` keeps all columns and
+every row as often as it occurs, and names the folders' column `shard`, with underscores in front
+while a column of the documents has that name.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
@@ -61,23 +63,30 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     Rows are dealt to chunks by a hash of their content and place in the input; a chunk's pages are its own.
     """
     counts = rows.groupBy("h").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("h", "chunk").orderBy("n_bytes", "doc_id", "row")
     dealt = rows.join(counts, "h").withColumn("chunk", F.expr(f"pmod(xxhash64(row), n div {CHUNK} + 1)"))
-    # sizes are ordered within a chunk, so a page takes rows until the next would not fit its share
-    most = F.max("n_bytes").over(Window.partitionBy("h", "chunk"))
-    room = F.greatest(F.lit(1), F.lit(limit) - most)
-    before = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    page = F.floor(F.coalesce(before, F.lit(0)) / room)
-    return dealt.withColumn("page", F.concat_ws(".", F.col("chunk"), page)).drop("n", "chunk")
+    dealt = dealt.withColumn("large", F.col("n_bytes") * 2 > limit)
+    order = Window.partitionBy("h", "chunk", "large").orderBy("n_bytes", "doc_id", "row")
+    # a small row starts in the half of a page before which its running sum lies, so it ends in that page
+    before = F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = F.floor(before / max(1, limit - limit // 2)).cast("string")
+    own = F.concat(F.lit("own"), F.row_number().over(order).cast("string"))
+    page = F.when(F.col("large"), own).otherwise(small)
+    return dealt.withColumn("page", F.concat_ws(".", F.col("chunk").cast("string"), page)).drop("n", "chunk", "large")
 
 
 def assign_shards(
     docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: doc_id, n_bytes, depth (hash bits of its shard), shard (string)."""
+    return _assign(docs, limit_bytes, id_col, text_col, F.lit(None).cast("string")).drop("content")
+
+
+def _assign(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str, content: Column) -> DataFrame:
+    """The assignment with one more column, content."""
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            content.alias("content"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
             F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10)
             .cast("long")
@@ -104,7 +113,7 @@ def assign_shards(
         rows, start = found.where("depth is null").drop("depth"), depth + 1
         if depth == BITS:
             start = BITS
-    columns = ["doc_id", "n_bytes", "h", "depth", "page"]
+    columns = ["doc_id", "content", "n_bytes", "h", "depth", "page"]
     if not done:
         done = [rows.withColumn("depth", F.lit(0)).withColumn("page", F.lit(None).cast("string"))]
     out = done[0].select(*columns)
@@ -113,14 +122,25 @@ def assign_shards(
     name = F.concat_ws(
         "-", F.col("depth").cast("string"), _prefix("depth").cast("string"), F.col("page")
     )
-    return out.select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), name.alias("shard"))
+    return out.select("doc_id", "content", "n_bytes", F.col("depth").cast("int").alias("depth"), name.alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the documents as Parquet, one folder a shard; returns the assignment. Ids must be unique."""
-    plan = cut(assign_shards(docs, limit_bytes, id_col, text_col))
-    named = plan.select(F.col("doc_id").alias("_id"), "shard")
-    docs.join(named, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy(
-        "shard"
-    ).parquet(path)
-    return plan
+    """Write the documents as Parquet, one folder a shard; returns the assignment.
+
+    A row is known by its id and a digest of all its columns. Rows alike in both are one row that is
+    written once for each of their places in the assignment.
+    """
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    plan = cut(_assign(docs, limit_bytes, id_col, text_col, content))
+    folder = "shard"
+    while folder in docs.columns:
+        folder = "_" + folder
+    held = docs.columns
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), content.alias("content"), F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"))
+    one = rows.groupBy("id", "content").agg(F.first("row").alias("row"))
+    places = plan.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "shard")
+    met = one.join(places, F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
+    columns = [F.col("row").getField(c).alias(c) for c in held]
+    met.repartition("shard").select(*columns, F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return plan.drop("content")

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from weftline.llm import chat_format
 from weftline.llm.chat_format import escape, escape_role, format_windows, parse, read_back, render, unescape, unescape_role
 from weftline.llm.queries import tokenizer_file
 
@@ -52,6 +55,24 @@ def test_windows_of_odd_conversations(spark):
     assert any(w["n_repeated"] for w in got if w["conv_id"] == 2)
 
 
+def test_budget_holds_for_what_is_written(spark):
+    odd = ["<| " * 900, "\\" * 700, "a\\<|b" * 300, "\n \n" * 200, "", " x", "plain words " * 50]
+    rows = [(c, k, "role\nof <|" if k % 3 == 0 else "assistant", odd[(c + k) % len(odd)]) for c in range(4) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("part", F.lit(1)).withColumn("salt", F.lit(2)).repartition(3)
+    encode = chat_format._encoding("byte_bpe_50k.tiktoken").encode
+    windows = format_windows(df, "byte_bpe_50k.tiktoken", budget=2000).cache()
+    assert digests(read_back(windows)) == expected(rows)
+    for w in windows.collect():
+        assert w["n_tokens"] == len(encode(w["formatted"], allowed_special="all")) and w["over_budget"] == (w["n_tokens"] > 2000)
+
+
+@given(st.lists(st.tuples(st.text(alphabet="\\<|\n a1é", max_size=9), st.text(alphabet="\\<|\n a1é", max_size=30)), max_size=6))
+def test_tokens_of_turns_add_up(turns):
+    encode = functools.partial(chat_format._encoding("byte_bpe_50k.tiktoken").encode, allowed_special="all")
+    whole = render([(r, t, True) for r, t in turns])[0]
+    assert len(encode(whole)) == sum(len(encode("".join(chat_format.written(r, t)))) for r, t in turns)
+
+
 def test_system_turn_opens_every_window(spark):
     rows = [(1, 0, "system", "rules"), *[(1, k, "user", "say something more") for k in range(1, 300)]]
     windows = format_windows(spark.createDataFrame(rows, SCHEMA), tokenizer_file("byte_bpe_50k.tiktoken"), budget=48)

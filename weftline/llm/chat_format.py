@@ -4,7 +4,9 @@ A turn is written as `<|im_start|>role NEWLINE text<|im_end|>NEWLINE`. Control s
 roles and texts are escaped: a backslash becomes two, and `<|` becomes `<\\|`; a newline in a
 role becomes `\\n`. So the template's marks occur nowhere else, and reading back is exact.
 
-A conversation is split into windows of whole turns. Prefix sums of turn tokens deal its turns to
+A conversation is split into windows of whole turns. A turn has the tokens of all that is written
+for it: the two marks, which are ids of their own, and role and text with their escapes. Ids never
+reach across a mark, so a window has the sum of its turns' tokens. Prefix sums of turn tokens deal a conversation's turns to
 blocks of some windows each, and within a block the windows take turns until the budget is spent.
 The system turn (a first turn of role system) opens every window, and each window repeats the
 last turns before it, up to a number of turns and a share of the budget. The loss mask covers the
@@ -13,7 +15,7 @@ the budget, alone or with the system turn, has a window of its own, which the sy
 turns are never cut, and such a window is marked over_budget.
 
 The prefix sums of one conversation are computed over ranges of its turns, each range in its own
-task, with the ranges' sums added; so a conversation may hold any share of the table.
+task, with the sums of the ranges before added; so a conversation may hold any share of the table.
 
 Cases: null texts and roles are empty; null conversation ids are one conversation; turns without
 or with the same number are ordered by number (nulls first), role and text; repeated rows are
@@ -29,13 +31,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from weftline.llm.common import cut, map_columns
+from weftline.llm.common import cut, vocabulary
 
 START, END = "<|im_start|>", "<|im_end|>"
-TURN_MARKS = 6  #: tokens counted for a turn's marks besides its role and text
 WINDOWS_A_BLOCK = 32  #: windows that one block of a conversation is about long
 
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -58,16 +62,21 @@ def unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+def written(role: str, text: str) -> tuple[str, str, str]:
+    """What stands for a turn: before its text, the text, after it."""
+    return f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"
+
+
 def render(turns: list[tuple[str, str, bool]]) -> tuple[str, list[int], list[int]]:
     """The text of (role, text, new) turns and its loss mask as starts and ends in code points."""
     parts, starts, ends, at = [], [], [], 0
     for role, text, new in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body, tail = written(role, text)
         if new and role == "assistant":
             starts.append(at + len(head))
             ends.append(at + len(head) + len(body))
-        parts += [head, body, END, "\n"]
-        at += len(head) + len(body) + len(END) + 1
+        parts += [head, body, tail]
+        at += len(head) + len(body) + len(tail)
     return "".join(parts), starts, ends
 
 
@@ -90,56 +99,64 @@ def _encoding(path: str):
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(vocabulary(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("turns", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def counted(turns: DataFrame, ranks_path: str) -> DataFrame:
-    """conv_id, turn, role, text (no nulls in the last two) and n_tokens."""
-    schema = "conv_id long, turn long, role string, text string, n_tokens long"
+    marks = {START: len(ranks), END: len(ranks) + 1}
+    return tiktoken.Encoding("turns", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
 
-    def run(columns: dict[str, list]) -> dict[str, list]:
-        encode = _encoding(ranks_path).encode_ordinary
-        roles = [r or "" for r in columns["role"]]
-        texts = [t or "" for t in columns["text"]]
-        tokens = [TURN_MARKS + len(encode(r)) + len(encode(t)) for r, t in zip(roles, texts, strict=True)]
-        return {**columns, "role": roles, "text": texts, "n_tokens": tokens}
 
-    return map_columns(turns.select("conv_id", "turn", "role", "text"), run, schema)
+COUNTED = "conv_id long, part int, role string, text string, n_tokens long, local_seq long, local_before long"
 
 
-def with_prefix_sums(turns: DataFrame) -> DataFrame:
-    """Adds seq (place in the conversation) and before (tokens of the turns before).
+def counted(turns: DataFrame, ranks_path: str) -> DataFrame:
+    """The turns in ranges of (conversation, turn), with their tokens and their place within the range.
 
-    Rows are sorted into ranges of (conversation, turn); a window function works within a range,
-    and the sums of the ranges, one row for each range and conversation, are added up.
+    part: the range; local_seq, local_before: turns and tokens of the conversation before this one in its range.
     """
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    ranged = cut(
-        turns.withColumn("salt", F.monotonically_increasing_id())
-        .repartitionByRange(*order, "salt")
-        .withColumn("part", F.spark_partition_id())
-    )
-    within = Window.partitionBy("conv_id", "part").orderBy(*order[1:], "salt")
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    filled = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("salt", F.monotonically_increasing_id())
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "salt"]
+    arrow = to_arrow_schema(StructType.fromDDL(COUNTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = functools.partial(_encoding(ranks_path).encode, allowed_special={START, END})
+        part, conv, seq, before = TaskContext.get().partitionId(), object(), 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000).to_pydict()
+                tokens = [len(encode("".join(written(r, t)))) for r, t in zip(rows["role"], rows["text"], strict=True)]
+                seqs, befores = [], []
+                for c, n in zip(rows["conv_id"], tokens, strict=True):
+                    if c != conv:
+                        conv, seq, before = c, 0, 0
+                    seqs.append(seq)
+                    befores.append(before)
+                    seq, before = seq + 1, before + n
+                columns = {c: rows[c] for c in ("conv_id", "role", "text")}
+                columns |= {"part": [part] * len(tokens), "n_tokens": tokens, "local_seq": seqs, "local_before": befores}
+                yield pa.RecordBatch.from_pydict(columns, schema=arrow)
+
+    # the ranges are found before the tokens are counted, as that reads the rows twice
+    return filled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, COUNTED)
+
+
+def with_prefix_sums(ranged: DataFrame) -> DataFrame:
+    """Rows of `counted`, with seq (place in the conversation) and before (tokens of the turns before)."""
     parts = ranged.groupBy("conv_id", "part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     below = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select(
         F.col("conv_id").alias("conv"),
         F.col("part").alias("p"),
-        F.coalesce(F.sum("tokens").over(below), F.lit(0)).alias("tokens_base"),
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("seq_base"),
-    )
-    return (
-        ranged.withColumn("local_before", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
-        .withColumn("local_seq", F.row_number().over(within) - 1)
-        .join(bases, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("p")))
-        .select(
-            "conv_id", "role", "text", "n_tokens",
-            (F.col("local_seq") + F.col("seq_base")).alias("seq"),
-            (F.col("local_before") + F.col("tokens_base")).alias("before"),
-        )
+        F.sum("tokens").over(below).alias("tokens_base"),
+        F.sum("n").over(below).alias("seq_base"),
+    ).where("seq_base > 0")
+    same = F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("p"))
+    # one row for each range at most: only its first conversation began in another
+    return ranged.join(F.broadcast(bases), same, "left").select(
+        "conv_id", "role", "text", "n_tokens",
+        (F.col("local_seq") + F.coalesce("seq_base", F.lit(0))).alias("seq"),
+        (F.col("local_before") + F.coalesce("tokens_base", F.lit(0))).alias("before"),
     )
 
 
@@ -238,9 +255,10 @@ def format_windows(
 ) -> DataFrame:
     """Windows of all conversations: one row a window, ordered in a conversation by block and window.
 
-    turns: conv_id, turn, role, text. ranks_path: a byte-level vocabulary as token ranks.
+    turns: conv_id, turn, role, text. ranks_path: a byte-level vocabulary as token ranks, the place of its
+    file on every executor or the bare name of a public one.
     """
-    summed = cut(with_prefix_sums(counted(turns, ranks_path)))
+    summed = with_prefix_sums(cut(counted(turns, ranks_path)))
     block_tokens = budget * WINDOWS_A_BLOCK
     own = summed.withColumn("block", F.expr(f"before div {block_tokens}")).withColumn("kind", F.lit(2))
     blocks = own.groupBy("conv_id", "block").agg(F.max("seq").alias("last"))

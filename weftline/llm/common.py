@@ -48,6 +48,15 @@ def conf_int(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
+def vocabulary(path: str) -> str:
+    """The place of a vocabulary file on this machine: a path is one, a bare name is that of a public vocabulary."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 def _folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of this process only where none is named."""
     context = spark.sparkContext

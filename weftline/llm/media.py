@@ -5,8 +5,11 @@ checks structure and lengths, and says where the medium ends. A magic that its v
 counts for nothing. The medium at the start gives the value's type, whatever type was declared;
 media that start later, inside or after it, are carved with their place and length.
 
-`store_text` keeps any text losslessly as a WAV file of 8-bit samples; `read_samples` gets the
-samples of stored bytes back by way of the sniffer.
+Validators look up what lies ahead (end marks, markers, block ends, checksums) in indexes that are
+made once for a value, so a value full of magic bytes costs its length and not its square. RIFF
+chunks alone are walked anew for each RIFF magic whose declared size fits.
+
+`store_text` keeps any text losslessly as a WAV file of 8-bit samples.
 
 Cases: null bytes have no type and no media; empty bytes likewise; a null text is stored as an
 empty one; texts may hold magic bytes themselves, which are rejected unless they are whole media.
@@ -14,9 +17,11 @@ empty one; texts may hold magic bytes themselves, which are rejected unless they
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import io
+import re
 import struct
 import wave
 import zlib
@@ -25,6 +30,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.llm.common import map_columns
 
@@ -32,14 +38,91 @@ UNIT = 64  #: payloads are padded to a multiple of this many bytes
 RATE = 8000
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Value:
+    """Bytes with indexes that are made when first asked for."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self._places: dict[bytes, list[int]] = {}
+        self._ends: dict[int, int] = {}
+        self._sums: list[int] | None = None
+
+    def places(self, pattern: bytes) -> list[int]:
+        """Where a regular expression matches, in order."""
+        if pattern not in self._places:
+            self._places[pattern] = [m.start() for m in re.finditer(pattern, self.raw, re.DOTALL)]
+        return self._places[pattern]
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first match from `at` on, -1 for none."""
+        found = self.places(pattern)
+        k = bisect.bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def blocks_end(self, at: int) -> int:
+        """Where a run of length-prefixed blocks ends, after its empty block; beyond the value if it doesn't."""
+        way = []
+        while at not in self._ends and at < len(self.raw) and self.raw[at]:
+            way.append(at)
+            at += 1 + self.raw[at]
+        end = self._ends.get(at, at + 1)
+        self._ends.update(dict.fromkeys(way, end))
+        return end
+
+    def crc(self, a: int, b: int) -> int:
+        """CRC-32 of the bytes from a to b, from checksums of the value up to places every few kilobytes."""
+        if b - a < 2 * STRIDE:
+            return zlib.crc32(self.raw[a:b])
+        if self._sums is None:
+            sums = [0]
+            for at in range(0, len(self.raw) - STRIDE + 1, STRIDE):
+                sums.append(zlib.crc32(self.raw[at : at + STRIDE], sums[-1]))
+            self._sums = sums
+        first, last = -(-a // STRIDE), b // STRIDE
+        middle = self._sums[last] ^ _shifted(self._sums[first], (last - first) * STRIDE)
+        head = zlib.crc32(self.raw[a : first * STRIDE])
+        both = _shifted(head, (last - first) * STRIDE) ^ middle
+        return zlib.crc32(self.raw[last * STRIDE : b], both)
+
+
+STRIDE = 4096
+_POLYNOMIAL = 0xEDB88320  #: fixed value: CRC-32, bits in reverse
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo the CRC's, bits in reverse."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (_POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+@functools.lru_cache(4096)
+def _power(n: int) -> int:
+    """x to the 8 n."""
+    out, square = 1 << 31, 1 << 23
+    while n:
+        if n & 1:
+            out = _times(square, out)
+        square, n = _times(square, square), n >> 1
+    return out
+
+
+def _shifted(crc: int, n: int) -> int:
+    """What a checksum adds to that of the bytes with n more after them."""
+    return _times(_power(n), crc)
+
+
+def _png(v: Value, at: int) -> int | None:
     """Chunks with right checksums from IHDR to IEND."""
-    p = at + 8
+    b, p = v.raw, at + 8
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or (p == at + 8) != (kind == b"IHDR"):
+        if p + 12 + n > len(b) or (p == at + 8) != (kind == b"IHDR") or not kind.isalpha() or kind == b"IHDR" and n != 13:
             return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+        if v.crc(p + 4, p + 8 + n) != struct.unpack_from(">I", b, p + 8 + n)[0]:
             return None
         p += 12 + n
         if kind == b"IEND":
@@ -47,8 +130,9 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
     """Blocks up to the trailer, with at least one image."""
+    b = v.raw
     if len(b) < at + 13:
         return None
     p, images = at + 13, 0
@@ -65,15 +149,13 @@ def _gif(b: bytes, at: int) -> int | None:
             p += 2
         else:
             return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
+        p = v.blocks_end(p)
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(v: Value, at: int) -> int | None:
     """Marker segments with a frame and a scan, up to the end marker."""
-    p, frame = at + 2, False
+    b, p, frame = v.raw, at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
             return None
@@ -87,21 +169,17 @@ def _jpeg(b: bytes, at: int) -> int | None:
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         p += 2 + n
         if kind == 0xDA:  # coded data: up to a marker that is neither stuffing nor a restart
-            while True:
-                p = b.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(b):
-                    return None
-                if b[p + 1] == 0xD9:
-                    return p + 2 if frame else None
-                if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7:
-                    p += 2
-                    continue
-                break
+            p = v.next(b"\xff(?=[^\x00\xd0-\xd7])", p)
+            if p < 0:
+                return None
+            if b[p + 1] == 0xD9:
+                return p + 2 if frame else None
     return None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(v: Value, at: int) -> int | None:
     """Chunks that fill the declared size exactly; a WAVE has fmt before data, a WEBP an image chunk."""
+    b = v.raw
     if len(b) < at + 12:
         return None
     end, form = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), b[at + 8 : at + 12]
@@ -121,8 +199,9 @@ def _riff(b: bytes, at: int) -> int | None:
     return end if good else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(v: Value, at: int) -> int | None:
     """Declared size, data offset, header size, planes and depth must agree."""
+    b = v.raw
     if len(b) < at + 54:
         return None
     size, _, offset, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -133,8 +212,9 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if size >= offset + (width * depth + 31) // 32 * 4 * abs(height) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    """The member must inflate to its end, where its checksum is."""
+def _gzip(v: Value, at: int) -> int | None:
+    """The member must inflate to its end, where its checksum is. A magic inside a member that was confirmed is its data."""
+    b = v.raw
     z = zlib.decompressobj(31)
     try:
         view, p = memoryview(b), at
@@ -146,38 +226,63 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(p, len(b)) - len(z.unused_data) if z.eof else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(v: Value, at: int) -> int | None:
     """A header with version, a cross-reference pointer and the end mark."""
-    end = b.find(b"%%EOF", at)
-    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at, end) < 0:
-        return None
-    return end + 5
+    end, pointer = v.next(b"%%EOF", at), v.next(b"startxref", at)
+    return end + 5 if 0 <= pointer < end and v.raw[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    """The end record must point to a central directory that starts where it says."""
-    p = b.find(b"PK\x05\x06", at)
-    while 0 <= p and p + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
-        if at + offset + size == p and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return min(p + 22 + comment, len(b))
-        p = b.find(b"PK\x05\x06", p + 1)
+def _zip(v: Value, at: int) -> int | None:
+    """An end record must point to a central directory that starts where it says, counted from the first member."""
+    for p in _zip_ends(v).get(at, ()):
+        size, offset, comment = struct.unpack_from("<IIH", v.raw, p + 12)
+        if not size or v.raw[at + offset : at + offset + 4] == b"PK\x01\x02":
+            return min(p + 22 + comment, len(v.raw))
     return None
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    """Metadata blocks, STREAMINFO first, then a frame; the stream has no declared end."""
-    p, first = at + 4, True
+def _zip_ends(v: Value) -> dict[int, list[int]]:
+    """End records by the start of the archive that they tell of."""
+    if not hasattr(v, "zip_ends"):
+        v.zip_ends = {}
+        for p in v.places(b"PK\x05\x06"):
+            if p + 22 <= len(v.raw):
+                size, offset = struct.unpack_from("<II", v.raw, p + 12)
+                v.zip_ends.setdefault(p - size - offset, []).append(p)
+    return v.zip_ends
+
+
+def _flac(v: Value, at: int) -> int | None:
+    """Metadata blocks, STREAMINFO first, then frames up to the last header whose checksum is right and what follows it.
+
+    The stream has no declared end: it ends where another medium's magic could not be its data, so with the value.
+    """
+    b, p, first = v.raw, at + 4, True
     while p + 4 <= len(b):
         last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind or n != 34) or p + 4 + n > len(b):
             return None
         p, first = p + 4 + n, False
         if last:
-            return len(b) if b[p : p + 1] == b"\xff" and b[p + 1 : p + 2][:1] >= b"\xf8" else None
+            return len(b) if _flac_header(b, p) else None
     return None
 
 
+def _flac_header(b: bytes, p: int) -> bool:
+    """A frame header with its CRC-8."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return False
+    lead = b[p + 4]
+    n = 4 + (1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length())
+    n += {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    crc = 0
+    for x in b[p : p + n]:
+        crc ^= x
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x07 if crc & 0x80 else 0)) & 0xFF
+    return p + n < len(b) and crc == b[p + n]
+
+
 #: Magic bytes, media types and validators.
 FORMATS = (
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
@@ -204,33 +309,39 @@ def _machine() -> ahocorasick.Automaton:
 
 def sniff(b: bytes | None) -> list[tuple[str, int, int]]:
     """All confirmed media as (type, start, length), by start."""
-    found = []
-    for last, (n, kind, check) in _machine().iter((b or b"").decode("latin-1")):
+    v, found, packed = Value(b or b""), [], 0
+    for last, (n, kind, check) in _machine().iter(v.raw.decode("latin-1")):
         at = last + 1 - n
-        end = check(b, at)
+        if kind == "application/gzip" and at < packed:
+            continue
+        end = check(v, at)
         if end is not None:
             if kind == "riff":
-                kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp"}[b[at + 8 : at + 12]]
+                kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp"}[v.raw[at + 8 : at + 12]]
+            if kind == "application/gzip":
+                packed = end
             found.append((kind, at, end - at))
     return sorted(found, key=lambda x: (x[1], -x[2]))
 
 
+def corrected(media: list[tuple[str, int, int]], declared: str | None) -> tuple[str | None, bool, list[dict]]:
+    """The type of what starts a value (null: nothing known), whether that corrects the declared one, and carved media."""
+    top = media[0][0] if media and media[0][1] == 0 else None
+    carved = [dict(zip(("type", "start", "length"), m, strict=True)) for m in media if m[1]]
+    return top, top is not None and top != declared, carved
+
+
+CARVED = "carved array<struct<type: string, start: long, length: long>>"
+
+
 def sniff_column(df: DataFrame, content_col: str, declared_col: str, id_col: str) -> DataFrame:
     """id, declared type, found type (null: none at the start), whether it was corrected, media carved."""
-    schema = (
-        "id long, declared string, found string, corrected boolean, "
-        "carved array<struct<type: string, start: long, length: long>>"
-    )
+    schema = f"id long, declared string, found string, corrected boolean, {CARVED}"
 
     def run(columns: dict[str, list]) -> dict[str, list]:
-        out = {"id": columns["id"], "declared": columns["declared"], "found": [], "corrected": [], "carved": []}
-        for content, declared in zip(columns["content"], columns["declared"], strict=True):
-            media = sniff(content)
-            top = media[0][0] if media and media[0][1] == 0 else None
-            out["found"].append(top)
-            out["corrected"].append(top is not None and top != declared)
-            out["carved"].append([dict(zip(("type", "start", "length"), m, strict=True)) for m in media if m[1]])
-        return out
+        rows = [corrected(sniff(c), d) for c, d in zip(columns["content"], columns["declared"], strict=True)]
+        out = {"id": columns["id"], "declared": columns["declared"]}
+        return out | {name: [r[k] for r in rows] for k, name in enumerate(("found", "corrected", "carved"))}
 
     named = df.select(
         F.col(id_col).alias("id"), F.col(declared_col).alias("declared"), F.col(content_col).alias("content")
@@ -251,15 +362,6 @@ def store_text(text: str | None) -> bytes:
     return out.getvalue()
 
 
-def read_samples(stored: bytes) -> bytes:
-    """The samples of the WAV that the sniffer finds at the start."""
-    kind, at, length = sniff(stored)[0]
-    if (kind, at) != ("audio/wav", 0):
-        raise ValueError(f"stored bytes start with {kind} at {at}")
-    with wave.open(io.BytesIO(stored[:length])) as w:
-        return w.readframes(w.getnframes())
-
-
 def audio_feature(samples: bytes) -> str:
     """Length, mean, deviation and sign changes of the samples, in integers so that they print alike anywhere."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
@@ -269,17 +371,16 @@ def audio_feature(samples: bytes) -> str:
     return f"wav;rate={RATE};n={len(x)};mean_milli={mean};var_milli={var};crossings={crossings}"
 
 
-MEDIA_SCHEMA = (
-    "doc_id long, n_bytes long, media binary, declared string"
-)
+MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary, declared string"
 FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, media_type string, n_carved int"
+    f"media_sha256 string, feature string, declared string, media_type string, corrected boolean, n_carved int, {CARVED}"
 )
+CLAIMS = ("application/octet-stream", "audio/wav", "text/plain", None)  #: types that a careless source declares in turn
 
 
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A media column: doc_id, n_bytes, media, declared (what a careless source would claim)."""
+    """A media column: doc_id, n_bytes, media, declared (what a careless source claims, by the text's length)."""
 
     def run(columns: dict[str, list]) -> dict[str, list]:
         texts = columns["text"]
@@ -287,7 +388,7 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "doc_id": columns["doc_id"],
             "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts],
             "media": [store_text(t) for t in texts],
-            "declared": ["application/octet-stream"] * len(texts),
+            "declared": [CLAIMS[len(t or "") % len(CLAIMS)] for t in texts],
         }
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -295,13 +396,15 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Features of a media column, computed from the samples read back."""
+    """Features of a media column, computed from the samples read back, with its types corrected and media carved."""
+    names = [f.name for f in StructType.fromDDL(FEATURE_SCHEMA)]
 
     def run(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {f.split()[0]: [] for f in FEATURE_SCHEMA.split(", ")}
-        for doc_id, n, stored in zip(columns["doc_id"], columns["n_bytes"], columns["media"], strict=True):
+        out: dict[str, list] = {name: [] for name in names}
+        for doc_id, n, stored, declared in zip(*(columns[c] for c in ("doc_id", "n_bytes", "media", "declared")), strict=True):
             found = sniff(stored)
-            kind, _, length = found[0]
+            length = found[0][2]
+            kind, wrong, carved = corrected(found, declared)
             with wave.open(io.BytesIO(stored[:length])) as w:
                 payload = w.readframes(w.getnframes())
             for name, value in (
@@ -313,8 +416,11 @@ def media_features(media: DataFrame) -> DataFrame:
                 ("media_bytes", len(stored)),
                 ("media_sha256", hashlib.sha256(stored).hexdigest()),
                 ("feature", audio_feature(payload)),
+                ("declared", declared),
                 ("media_type", kind),
-                ("n_carved", len(found) - 1),
+                ("corrected", wrong),
+                ("n_carved", len(carved)),
+                ("carved", carved),
             ):
                 out[name].append(value)
         return out

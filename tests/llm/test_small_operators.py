@@ -17,7 +17,7 @@ from weftline.llm import license_scan, media, packing
 from weftline.llm.ann import search
 from weftline.llm.mixing import apply_mix, plan_mix
 from weftline.llm.queries import tokenizer_file
-from weftline.llm.sharding import assign_shards
+from weftline.llm.sharding import assign_shards, write_shards
 
 from .conftest import SCHEMA, make_text, odd_rows
 
@@ -56,6 +56,26 @@ def test_shards_of_odd_rows(odd, empty, spark):
     assert sum(map(len, got.values())) == 500 and all(sum(n for _, n, _ in s) <= 1000 for s in got.values())
 
 
+def test_a_large_row_leaves_the_other_pages_full(spark):
+    rows = [(1, "y" * 100, "en", "s", 0)] * 400 + [(1, "z" * 5000, "en", "s", 0), (1, "z" * 900, "en", "s", 0)]
+    got = shards(spark.createDataFrame(rows, SCHEMA), 1000)
+    assert sum(map(len, got.values())) == 402
+    assert all(len(s) == 1 or sum(n for _, n, _ in s) <= 1000 for s in got.values())
+    assert len(got) <= 2 + 2 * 40 + 1
+
+
+def test_written_shards_hold_every_row_as_often_as_it_occurs(spark, odd, tmp_path):
+    rows = odd_rows() + [(1, "y" * 100, "en", "s", 0)] * 50 + [(2, "only", None, None, None)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("mine")).withColumn("page", F.col("lang"))
+    docs = docs.withColumn("h", F.lit(1)).withColumn("row", F.lit(2)).withColumn("content", F.col("text"))
+    plan = write_shards(docs, f"{tmp_path}/out", 1000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    as_rows = lambda df: Counter(tuple(r) for r in df.select(*docs.columns).collect())
+    assert back.columns == [*docs.columns, "_shard"] and as_rows(back) == as_rows(docs)
+    per_shard = Counter(r["_shard"] for r in back.collect())
+    assert per_shard == Counter(r["shard"] for r in plan.collect())
+
+
 # media
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, map_columns
+from weftline.llm.common import cut, map_columns, vocabulary
 
 END = (0).to_bytes(4, "little")
 CACHE_ENTRIES = 100_000  #: words that a worker keeps the ids of
@@ -98,7 +98,7 @@ class WordIds(dict):
 
 @functools.cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return WordIds(vocabulary(path))
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -17,11 +17,12 @@ from weftline.llm.sharding import assign_shards
 from weftline.llm.suffix_dedup import repeat_digests
 from weftline.sources import read_table
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20  #: small enough that the smallest tables split too
 SEQUENCE_IDS = 2048
+WORD_VOCABULARY, CHAT_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"  #: names; executors find the files
 
 
-def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+def tokenizer_file(name: str = WORD_VOCABULARY) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers
 
@@ -32,7 +33,7 @@ def op1_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return read_back(format_windows(turns.unionByName(own), tokenizer_file("byte_bpe_50k.tiktoken")))
+    return read_back(format_windows(turns.unionByName(own), CHAT_VOCABULARY))
 
 
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op7_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), tokenizer_file(), SEQUENCE_IDS)
+    return pack(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY, SEQUENCE_IDS)
 
 
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm.near_dedup import COMPONENTS, WORDS, keep_one, near_classes, normal, shingles, signatures, similarity_of
+from weftline.llm import near_dedup
+from weftline.llm.near_dedup import COMPONENTS, PROMISING, WORDS, keep_one, near_classes, normal, shingles, signatures, similarity_of
 from weftline.sources import read_table
 
 from .conftest import SCHEMA, make_text
@@ -94,8 +95,57 @@ def test_agreement_estimates_similarity():
 def test_weighted_similarity_by_hand():
     a = {"h": np.array([1, 2], np.uint64), "n": np.array([2.0, 1.0])}
     b = {"h": np.array([1, 2], np.uint64), "n": np.array([1.0, 1.0])}
-    # 1 / (max(1, 1) + max(1/2, 1)) + 1 / (max(2, 1) + 1) is below the plain similarity, which is 1
-    assert similarity_of(a, b) == pytest.approx(1.0)
+    # 1 / (max(1, 1) + max(1/2, 1)) + 1 / (max(2, 1) + max(1, 1))
+    assert near_dedup.probability_jaccard(a, b) == pytest.approx(1 / 2 + 1 / 3)
+    assert similarity_of(a, b) == pytest.approx(1.0)  # the plain one is larger
+
+
+def test_probability_jaccard_equals_its_definition():
+    rng = random.Random(4)
+    for _ in range(30):
+        x, y = ({k: float(rng.randint(1, 5)) for k in range(9) if rng.random() < 0.7} for _ in range(2))
+        want = sum(1 / sum(max(x.get(z, 0) / x[k], y.get(z, 0) / y[k]) for z in {*x, *y}) for k in {*x} & {*y})
+        a, b = ({"h": np.array(sorted(d), np.uint64), "n": np.array([d[k] for k in sorted(d)])} for d in (x, y))
+        assert near_dedup.probability_jaccard(a, b) == pytest.approx(want)
+
+
+def test_recall_of_bands_and_screen_at_the_threshold():
+    rng = random.Random(9)
+    shared_band = promising = total = 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        other = words[:270] + [f"v{rng.randrange(10**6)}" for _ in range(34)]  # 266 of 334 shingles: 0.796
+        row, h, n = shingles([normal(" ".join(x)) for x in (words, other)])
+        a, b = signatures(2, row, h, n)
+        bands = [near_dedup._buckets(x.astype(np.uint16)) for x in (a, b)]
+        shared_band += bool((bands[0] == bands[1]).any())
+        promising += (a == b).mean() >= PROMISING
+        total += 1
+    assert shared_band >= 0.995 * total and promising >= 0.995 * total
+
+
+def test_blocks_of_small_buckets_and_large_ones_agree(spark, monkeypatch):
+    rng = random.Random(13)
+    seed = make_text(rng, 150).split()
+    rows = []
+    for k in range(150):  # near a base text that is not there: links among them are few and cross classes
+        own = list(seed)
+        for _ in range(2 + k % 3):
+            own[rng.randrange(150)] = f"edit{k}x{rng.randrange(9)}"
+        rows.append((k, " ".join(own), "en", "s", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    assert classes(df) == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert classes(df) == want
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    rng = random.Random(21)
+    texts = [make_text(rng, 50) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (9, texts[1]), (7, texts[2]), (8, texts[3])]
+    rows = [(i, t, None, None, None) for i, t in rows]
+    assert classes(spark.createDataFrame(rows, SCHEMA)) == brute(rows) == {5: 5, 7: 5, 8: 8, 9: 5}
 
 
 def test_keep_one_keeps_other_columns(spark, odd, empty):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,8 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the cluster's checkpoint folder and go on from that copy.
 
     The folder is the one that the session names in spark.checkpoint.dir, which all executors
-    share, so a lost executor costs nothing that was computed before. Only where the setting is
-    missing, as in tests on one machine, a folder of this process is set.
+    share, so a lost executor costs nothing that was computed before. Spark deletes a checkpoint when
+    nothing refers to it any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -58,10 +57,13 @@ def vocabulary(path: str) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of this process only where none is named."""
+    """The shared folder of the cluster. Where none is named, a folder of this process if all runs on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="weftline-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir()
 
 
@@ -75,9 +77,3 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now; it does when the JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -324,6 +324,34 @@ def test_rows_without_ids_get_their_own_copies(spark):
     assert len({plan_copies for plan_copies in want.values()}) > 1 and max(each.values()) <= 3
 
 
+def test_mix_of_many_rows_alike_and_a_hot_source(spark):
+    n = 9000
+    rows = [(None, "same words here", "en", "hot", 0)] * n + [(5, "other words", "en", "hot", 0)] * 700
+    rows += [(k, "w " * (1 + k % 30), "en", f"s{k % 4}", 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = plan_mix(df).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((r[0], r[3], len(r[1].split())) for r in rows)
+    sizes, taken = Counter(), Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["copies"]
+        assert 0 <= r["copies"] <= 3
+    target = water_fill(sizes)
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(31, 0.001 * target[s]), (s, taken[s], target[s])
+    again = plan_mix(df.repartition(2)).collect()
+    as_rows = lambda rs: Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in rs)
+    assert as_rows(got) == as_rows(again)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.randint(0, 40), "en", f"host{k}.example", 0) for k in range(2500)] + [(-1, "w " * 900, "en", None, 0)]
+    got = plan_mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    target = water_fill({r[3]: len(r[1].split()) for r in rows})
+    assert len(got) == len(rows) and all(r["target"] == pytest.approx(target[r["source"]]) for r in got)
+
+
 # nearest neighbours
 
 

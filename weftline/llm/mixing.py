@@ -15,14 +15,17 @@ meet in a block of the next level, then the size classes of a source meet, and t
 of a source, a small document as a rule, is rounded by itself. Outcomes travel back down by joins
 on block keys. No block holds more than a small number of members however large a source is.
 
+Rows alike in id, source and text meet each other first: their mass is as many whole copies as it
+makes, and one row is left with a fraction. So they are one member with a count, however many they
+are, and are dealt to rows again at the end.
+
 Masses are integers, so no mass is lost to floating point; the random numbers are hashes of the
-members, so reruns agree.
+members, so reruns agree. Sources, too, are numbered and summed by ranges, so there may be many.
 
 Cases: a null text has size 0; null sources are one source, ordered last; ids may be null or
 repeat (each row counts as a document of its own); an empty table gives an empty result; other
-columns are ignored by `plan_mix`. Rows alike in id, size and source share one hash, so they meet
-in one block. `apply_mix` knows a row by its id, source and text; rows alike in all three share
-out their copies.
+columns are ignored by `plan_mix`. `apply_mix` knows a row by its id, source and text; rows alike in
+all three share out their copies.
 """
 
 from __future__ import annotations
@@ -39,9 +42,30 @@ DRAW = 1 << 17  #: random numbers are 0 to DRAW - 1; words * UNIT * 2 * DRAW sta
 FAN_IN = 64  #: children of a node of the reduction tree
 GIANT = 1 / 512  #: the part of its source from which a document is settled before the others
 CLASSES_PER_OCTAVE = 4  #: size classes between a size and its double
+ALIKE = 4096  #: rows alike that are made by one row when they are dealt out again
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds `place` (from 1) and for each of sums the total of the rows before, over all rows in order.
+
+    Rows are sorted into ranges, each its own task; the ranges' totals, one row for each, are added up.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        F.col("part").alias("p"), *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"base_{c}") for c in ("n", *[f"sum_{c}" for c in sums])]
+    )
+    within = Window.partitionBy("part").orderBy(*order)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(bases), F.col("part") == F.col("p"))  # one row a range
+    out = out.withColumn("place", F.row_number().over(within) + F.col("base_n"))
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"base_sum_{c}"))
+    return out.select(*rows.columns, "place", *[f"before_{c}" for c in sums])
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """Per source: its number `sid`, words, documents and target.
 
@@ -50,30 +74,24 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: float) -> Da
     sum of min(L * weight, cap * words) equals all words, found over the sources in order of
     cap * words / weight. The rows here are sources, not documents.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "sid")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum("alike").alias("n_docs"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("double")
     per = (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-        .withColumn("sid", F.row_number().over(by_name))
-        .withColumn(
-            "weight",
-            F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") - 1) % len(weights) + 1).cast("double"),
-        )
+        _running(per, [F.col("source").asc_nulls_last()], [])
+        .withColumn("weight", weight)
         .withColumn("most", F.col("source_size") * F.lit(float(cap)))
         .withColumn("ratio", F.col("most") / F.col("weight"))
+        .withColumnRenamed("place", "sid")
     )
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    per = per.withColumn("level", level)
-    at = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sid", "level"))).over(everything)
-    return per.withColumn(
-        "target",
-        F.coalesce(F.least(at["level"] * F.col("weight"), F.col("most")), F.col("most")),
-    ).select("source", "sid", "source_size", "n_docs", "target")
+    ordered = cut(_running(per, [F.col("ratio"), F.col("sid")], ["most", "weight"]))
+    total = ordered.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    if total["weight"] is None:
+        return ordered.select("source", "sid", "source_size", "n_docs", F.col("most").alias("target"))
+    level = (F.lit(float(total["words"])) - F.col("before_most")) / (F.lit(total["weight"]) - F.col("before_weight"))
+    held = ordered.withColumn("level", level).where(F.col("level") <= F.col("ratio"))
+    at = held.agg(F.min(F.struct("ratio", "sid", "level")).alias("at")).first()["at"]
+    target = F.col("most") if at is None else F.least(F.lit(at["level"]) * F.col("weight"), F.col("most"))
+    return ordered.select("source", "sid", "source_size", "n_docs", target.alias("target"))
 
 
 def _fold(members: Column, seed: int) -> Column:
@@ -210,14 +228,36 @@ def plan_mix(
     seed: int = 0,
 ) -> DataFrame:
     """One row a document: doc_id, source, size, text_hash, source_size, target, copies."""
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(text_col).alias("text_hash"),
-        ).withColumn("h", F.xxhash64("doc_id", "size", "source", F.lit(seed)))
+    return _dealt_out(_rounded(docs, id_col, text_col, source_col, weights, cap, seed))
+
+
+def _known(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """What a row is known by, with the number of rows alike."""
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text_col).alias("text_hash"),
     )
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("alike"))
+
+
+def _dealt_out(groups: DataFrame) -> DataFrame:
+    """Rows alike as rows again: `more` of them have a copy more than `whole`. Many of them are made in many tasks."""
+    parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(alike - 1) div {ALIKE}"))))
+    if (groups.agg(F.max("alike")).first()[0] or 0) > ALIKE:
+        parts = parts.repartition("doc_id", "text_hash", "part")
+    last = F.least(F.lit(ALIKE).cast("long"), F.col("alike") - F.col("part") * ALIKE)
+    rows = parts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    extra = (F.col("part") * ALIKE + F.col("k") <= F.col("more")).cast("int")
+    return rows.select("doc_id", "source", "size", "text_hash", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+
+
+def _rounded(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: float, seed: int
+) -> DataFrame:
+    """One row for documents alike: `alike` of them, of which `more` are taken once more than `whole`."""
+    sized = cut(_known(docs, id_col, text_col, source_col).withColumn("h", F.xxhash64("doc_id", "size", "source", "text_hash", F.lit(seed))))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap))))
     targets = cut(
         source_targets(sized, weights, cap)
@@ -233,10 +273,16 @@ def plan_mix(
         .withColumn("cls", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
         .withColumn("giant", (F.col("size") > 0) & (F.col("size") >= F.col("source_size") * GIANT))
     )
-    carry = ["size", "doc_id", "source", "source_size", "target", "whole", "text_hash"]
-    giants = cut(_settle_giants(known.where("giant"), carry, seed))
+    names = ["size", "doc_id", "source", "source_size", "target", "whole", "text_hash"]
+    carry = [*names, "alike", "sure"]
+    # fewer than 1 / GIANT of them are alike
+    single = known.where("giant").withColumn("k", F.explode(F.expr("sequence(1L, alike)")))
+    single = single.withColumn("h", F.when(F.col("k") > 1, F.xxhash64("h", "k")).otherwise(F.col("h")))
+    giants = cut(_settle_giants(single, names, seed))
     settled = giants.select(F.posexplode("members").alias("pos", "m"), "end").select(
-        *[f"m.{c}" for c in carry], F.get("end.taken", F.col("pos")).alias("got")
+        *[f"m.{c}" for c in names],
+        F.lit(1).cast("long").alias("alike"),
+        F.get("end.taken", F.col("pos")).cast("long").alias("more"),
     )
     rests = giants.select("sid", F.col("end.mass").alias("rest_mass"), F.col("end.room").alias("rest_room"))
     share = F.coalesce(
@@ -245,7 +291,10 @@ def plan_mix(
     small = (
         known.where("not giant")
         .join(rests, "sid", "left")
-        .withColumn("mass", F.least(F.round(F.col("room") * share).cast("long"), F.col("room")))
+        .withColumn("mass", F.least(F.round(F.col("room") * share).cast("long"), F.col("room")) * F.col("alike"))
+        # rows alike: as many whole copies as their mass makes, and one fraction
+        .withColumn("sure", F.coalesce(F.expr("mass div nullif(room, 0)"), F.lit(0)))
+        .withColumn("mass", F.col("mass") - F.col("sure") * F.col("room"))
     )
     classes = cut(
         known.where("not giant")
@@ -269,10 +318,9 @@ def plan_mix(
         # what happened to the children of this level, keyed as the level below keys its blocks
         outcome = _settle(rows, own, outcome, carried, seed).drop("sub").withColumnRenamed("child", "sub")
     rows, own, carried = blocks[0]
-    out = _settle(rows, own, outcome, carried, seed).drop(*keys).unionByName(settled)
-    return out.select(
-        "doc_id", "source", "size", "text_hash", "source_size", "target", (F.col("whole") + F.col("got")).alias("copies")
-    )
+    out = _settle(rows, own, outcome, carried, seed)
+    out = out.select(*names, "alike", (F.col("sure") + F.col("got")).alias("more"))
+    return cut(out.unionByName(settled))
 
 
 def apply_mix(

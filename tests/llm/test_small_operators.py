@@ -221,6 +221,41 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert sum(n for _, n in solution) == best_possible(sizes, 20)
 
 
+def fewest_bins(sizes, capacity):
+    """By dynamic programming over sets of pieces: fewest full bins, then the least in the open one."""
+    best = [(0, capacity)] + [None] * ((1 << len(sizes)) - 1)
+    for held in range(1, 1 << len(sizes)):
+        ways = []
+        for k, s in enumerate(sizes):
+            if held >> k & 1:
+                n, fill = best[held ^ (1 << k)]
+                ways.append((n, fill + s) if fill + s <= capacity else (n + 1, s))
+        best[held] = min(ways)
+    return best[-1][0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_without_limits_the_packing_is_optimal(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([30, 100])
+    sizes = [rng.randint(capacity // 8, capacity * 2 // 3) for _ in range(14)]
+    counts = dict(Counter(sizes))
+    solution = packing.pack_histogram(counts, capacity, breadth=None, nodes=None)
+    used = Counter()
+    for filling, times in solution:
+        assert sum(filling) <= capacity
+        for s in filling:
+            used[s] += times
+    assert used == Counter(sizes) and sum(n for _, n in solution) == fewest_bins(sizes, capacity)
+    limited = packing.packing_report(counts, packing.pack_histogram(counts, capacity), capacity)
+    assert limited["lower_bound"] <= fewest_bins(sizes, capacity) <= limited["sequences"]
+
+
+def test_every_undominated_filling_is_enumerated():
+    assert packing.all_completions(10, {7: 1, 5: 2, 3: 1, 2: 2}) == [(7, 3), (5, 5)]
+    assert packing.all_completions(4, {5: 1}) == [()] and packing.all_completions(6, {3: 1, 2: 5}) == [(2, 2, 2), (3, 2)]
+
+
 def test_packing_of_odd_rows(spark, odd, empty):
     from tokenizers import Tokenizer
 

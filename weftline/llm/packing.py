@@ -6,7 +6,10 @@ takes the largest piece that is left, enumerates the undominated fillings of the
 and applies one as often as the counts allow. Taking the best fit each time gives the first
 solution. Branch and bound then tries the other fillings, and leaves a branch as soon as its
 waste exceeds what a solution with one sequence fewer could afford. It ends when the number of
-sequences equals the lower bound or when its node limit, a parameter, is spent.
+sequences equals the lower bound or when its limits, `breadth` fillings a node and `nodes`, are
+spent. Without limits (None) it enumerates every undominated filling, decides on one sequence at a
+time and never gives up a branch that could improve, so the result is optimal; that is for small
+histograms. `packing_report` says how far a solution is from the lower bound.
 
 The solution is a list of slots: ranks a..b of length s go to sequences c.. at offset d. Pieces
 get their rank within their length from counts by hash group, so no length, however common, is
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import cut, map_columns, vocabulary
 
 END = (0).to_bytes(4, "little")
-CACHE_ENTRIES = 100_000  #: words that a worker keeps the ids of
+CACHE_ENTRIES = 500_000  #: words that a worker keeps the ids of (about 100 bytes each)
 GROUP_ROWS = 20_000  #: pieces that share a hash group when ranks are dealt
 
 # Words of Latin letters with ASCII punctuation after them; all others go through the whole tokenizer.
@@ -64,13 +67,15 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def part(self, piece: str) -> bytes:
         """Ids of one run of letters or of punctuation, in lower case."""
         ids = self.parts.get(piece)
         if ids is None:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+            # printable ASCII is spelt as it is
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(spelt)])
             if len(self.parts) >= CACHE_ENTRIES:
                 self.parts.clear()
             self.parts[piece] = ids
@@ -156,8 +161,34 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and place(b, a)
 
 
-def completions(room: int, counts: dict[int, int], most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by pieces that are left, best fit first, at most `most`."""
+def all_completions(room: int, counts: dict[int, int]) -> list[tuple[int, ...]]:
+    """Every undominated filling of the room by pieces that are left, best fit first."""
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    full: list[tuple[int, ...]] = []
+
+    def fill(k: int, rest: int, taken: tuple[int, ...]) -> None:
+        if k == len(sizes):
+            # maximal: no piece that is left fits
+            if not any(s <= rest and counts[s] > taken.count(s) for s in sizes):
+                full.append(taken)
+            return
+        s = sizes[k]
+        for n in range(min(counts[s], rest // s), -1, -1):
+            fill(k + 1, rest - n * s, taken + (s,) * n)
+
+    fill(0, room, ())
+    full.sort(key=lambda f: (-sum(f), len(f), [-s for s in f]))
+    kept: list[tuple[int, ...]] = []
+    for f in full:
+        if not any(_dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept
+
+
+def completions(room: int, counts: dict[int, int], most: int | None) -> list[tuple[int, ...]]:
+    """Undominated fillings of the room by pieces that are left, best fit first, at most `most` (None: all)."""
+    if most is None:
+        return all_completions(room, counts)
     sizes = np.array(sorted(s for s, n in counts.items() if n and s <= room), dtype=np.int64)
     if not len(sizes):
         return [()]
@@ -203,16 +234,18 @@ def completions(room: int, counts: dict[int, int], most: int) -> list[tuple[int,
 
 
 def pack_histogram(
-    counts: dict[int, int], capacity: int, breadth: int = 6, nodes: int = 2000
+    counts: dict[int, int], capacity: int, breadth: int | None = 6, nodes: int | None = 2000
 ) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, largest first) with the number of sequences that get each."""
+    """Fillings (lengths, largest first) with the number of sequences that get each. None: no limit."""
     total = sum(s * n for s, n in counts.items())
     bound = lower_bound(counts, capacity) if counts else 0
+    exact = breadth is None and nodes is None
     best: list[tuple[tuple[int, ...], int]] | None = None
     best_n = 0
 
-    def step(left: dict[int, int], filling: tuple[int, ...]) -> int:
-        times = min(left[s] // filling.count(s) for s in set(filling))
+    def step(left: dict[int, int], filling: tuple[int, ...], times: int | None = None) -> int:
+        if times is None:
+            times = 1 if exact else min(left[s] // filling.count(s) for s in set(filling))
         for s in filling:
             left[s] -= times
         for s in set(filling):
@@ -220,8 +253,8 @@ def pack_histogram(
                 del left[s]
         return times
 
-    def dive(left: dict[int, int], done: list[tuple[tuple[int, ...], int]], waste: int) -> list[list] | None:
-        """Take the best fit at every node; returns the nodes on the way with their other fillings."""
+    def dive(left: dict[int, int], done: list[tuple[tuple[int, ...], int]], waste: int) -> list[list]:
+        """Take the best fit at every node; returns the nodes on the way: their depth in done, waste and other fillings."""
         nonlocal best, best_n
         path = []
         used = sum(n for _, n in done)
@@ -233,7 +266,7 @@ def pack_histogram(
             beside[largest] -= 1
             options = [(largest, *c) for c in completions(capacity - largest, beside, breadth)]
             if len(options) > 1:
-                path.append([dict(left), list(done), waste, options[1:]])
+                path.append([done, len(done), waste, options[1:]])
             times = step(left, options[0])
             done.append((options[0], times))
             used += times
@@ -242,23 +275,30 @@ def pack_histogram(
             best, best_n = list(done), used
         return path
 
-    stack = dive(dict(counts), [], 0)[-64:]
+    stack = dive(dict(counts), [], 0)
     spent = 0
-    while stack and best_n > bound and spent < nodes:
-        left, done, waste, options = stack[-1]
+    while stack and best_n > bound and (nodes is None or spent < nodes):
+        done, depth, waste, options = stack[-1]
         if not options or waste > (best_n - 1) * capacity - total:
             stack.pop()
             continue
         option = options.pop(0)
-        left, done = dict(left), list(done)
+        left, done = dict(counts), done[:depth]
+        for filling, times in done:
+            step(left, filling, times)
         times = step(left, option)
         done.append((option, times))
         more = dive(left, done, waste + times * (capacity - sum(option)))
         spent += 1 + len(more)
-        stack += more[-64:]
+        stack += more
     return best or []
 
 
+def packing_report(counts: dict[int, int], solution: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, int]:
+    """Sequences of a solution and the fewest that any packing needs by the lower bound."""
+    return {"sequences": sum(n for _, n in solution), "lower_bound": lower_bound(counts, capacity) if counts else 0}
+
+
 def slots_of(solution: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """By length: rows (first rank, first sequence, pieces of this length a sequence, offset), by rank."""
     ranks: dict[int, int] = {}
@@ -281,7 +321,8 @@ def pack(
     capacity: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
-    nodes: int = 2000,
+    nodes: int | None = 2000,
+    breadth: int | None = 6,
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = cut(
@@ -291,7 +332,7 @@ def pack(
     )
     by_length = pieces.groupBy("length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_length.collect()}  # at most `capacity` rows
-    slots = slots_of(pack_histogram(counts, capacity, nodes=nodes))
+    slots = slots_of(pack_histogram(counts, capacity, breadth, nodes))
 
     groups = 1 + sum(counts.values()) // GROUP_ROWS
     grouped = pieces.withColumn("g", F.pmod("row", F.lit(groups)))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import random
 import struct
+import time
+import zipfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +21,7 @@ from weftline.llm.ann import search
 from weftline.llm.mixing import apply_mix, plan_mix
 from weftline.llm.queries import tokenizer_file
 from weftline.llm.sharding import assign_shards, write_shards
+from weftline.sources import read_table
 
 from .conftest import SCHEMA, make_text, odd_rows
 
@@ -100,6 +104,47 @@ def test_sniffer_confirms_carves_and_rejects():
     assert media.sniff(bytes(broken)) == [] and media.sniff(None) == [] and media.sniff(b"") == []
 
 
+def test_values_full_of_magic_bytes_cost_their_length():
+    begin = time.monotonic()
+    for unit in (b"PK\x03\x04PK\x05\x06", b"%PDF-1", b"\xff\xd8\xff\xda\x00\x02", b"GIF89a" + b"\x01" * 7 + b"," + b"\x01" * 20, b"BM", b"\x1f\x8b\x08", b"RIFF"):
+        assert media.sniff(unit * (400_000 // len(unit))) == []
+    assert time.monotonic() - begin < 30
+
+
+def test_checksums_of_parts_equal_zlib():
+    rng = random.Random(3)
+    value = media.Value(rng.randbytes(60_000))
+    for _ in range(200):
+        a, b = sorted(rng.randrange(60_001) for _ in range(2))
+        assert value.crc(a, b) == zlib.crc32(value.raw[a:b])
+
+
+def test_archives_documents_and_nested_media():
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.png", png())
+        z.writestr("b.txt", "text " * 50)
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    blob = b"junk" + packed.getvalue() + b"junk" + pdf + GIF
+    found = media.sniff(blob)
+    archive = len(packed.getvalue())
+    assert ("application/zip", 4, archive) in found and ("image/png", blob.index(png()), len(png())) in found
+    assert ("application/pdf", 8 + archive, len(pdf)) in found and ("image/gif", 8 + archive + len(pdf), len(GIF)) in found
+
+
+def test_features_carve_and_correct_stored_texts(spark, odd, empty):
+    rows = [(1, "plain text", None, None, 0), (2, "PK\x03\x04 no archive", None, None, 0), (3, None, None, None, 0)]
+    wide = spark.createDataFrame(rows, SCHEMA).withColumn("media", F.lit("x")).withColumn("declared", F.lit(1))
+    got = {r["doc_id"]: r for r in media.media_features(media.texts_to_media(wide)).collect()}
+    assert {r["media_type"] for r in got.values()} == {"audio/wav"} and all(r["n_carved"] == len(r["carved"]) == 0 for r in got.values())
+    assert all(r["corrected"] == (r["declared"] != "audio/wav") for r in got.values())
+    stored = spark.createDataFrame([(7, 3, bytearray(media.store_text("GIF") + GIF), None)], media.MEDIA_SCHEMA)
+    held = media.media_features(stored).first()
+    assert (held["corrected"], [tuple(c) for c in held["carved"]]) == (True, [("image/gif", len(media.store_text("GIF")), len(GIF))])
+    assert media.sniff(b"pad" + GIF) == [("image/gif", 3, len(GIF))]
+    assert media.media_features(media.texts_to_media(empty)).count() == 0
+
+
 def test_declared_types_are_corrected(spark):
     rows = [(1, "image/jpeg", bytearray(png())), (2, "image/png", bytearray(png())), (3, "image/png", bytearray(b"text")), (4, None, None)]
     df = spark.createDataFrame(rows, "id long, declared string, content binary")
@@ -170,6 +215,38 @@ def test_neighbouring_notices_are_all_found():
     assert (got["n_base"], got["first_word"], got["last_word"]) == (2, 8, 14)
 
 
+def test_fuzzy_search_equals_matching_over_the_whole_text(spark):
+    """The pigeonhole search against the bounded-error pattern of each notice run over everything."""
+    rng = random.Random(17)
+    notices = license_scan.NOTICES
+    texts = [r["text"][:3000] for r in read_table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()]
+    for _ in range(40):
+        parts = [make_text(rng, rng.randint(0, 12))]
+        for _ in range(rng.randint(1, 3)):
+            notice = list(rng.choice(notices)[0])
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(notice))
+                notice[at] = rng.choice(["", "x", notice[at] + "q"])
+            parts += ["".join(notice), make_text(rng, rng.randint(1, 9))]
+        texts.append(" ".join(parts))
+    hits = 0
+    for text in texts:
+        joined = b" ".join(license_scan.words_of(text)).decode("utf-8", "surrogatepass")
+        _, patterns = license_scan._searcher(notices)
+        want = {(notices[w][1], m.start()) for w, p in enumerate(patterns) for m in p.finditer(joined)}
+        got = {(label, start) for label, start, _, _ in license_scan.fuzzy_spans(joined, notices)}
+        assert {x[0] for x in got} == {x[0] for x in want}, text
+        hits += len(want)
+    assert hits > 40
+
+
+def test_scans_of_a_table_with_clashing_names(odd, empty):
+    wide = odd.withColumn("labels", F.lit(1)).withColumn("spans", F.col("text")).withColumn("score", F.lit("x"))
+    got = sorted((tuple(r) for r in license_scan.scan_licenses(wide).collect()), key=str)
+    assert got == sorted((tuple(r) for r in license_scan.scan_licenses(odd).collect()), key=str)
+    assert len(got) == odd.count() and license_scan.scan_licenses(empty).count() == 0
+
+
 def test_clean_text_has_no_label():
     assert license_scan.scan_text(make_text(random.Random(0), 5000), license_scan.PHRASES, license_scan.NOTICES)["labels"] == ""
 
@@ -256,6 +333,12 @@ def test_every_undominated_filling_is_enumerated():
     assert packing.all_completions(4, {5: 1}) == [()] and packing.all_completions(6, {3: 1, 2: 5}) == [(2, 2, 2), (3, 2)]
 
 
+def test_packing_of_clashing_names(odd):
+    wide = odd.withColumn("length", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("row", F.lit(2)).withColumn("g", F.lit(3))
+    count = lambda df: Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pack(df, tokenizer_file(), 64).collect())
+    assert count(wide) == count(odd)
+
+
 def test_packing_of_odd_rows(spark, odd, empty):
     from tokenizers import Tokenizer
 

@@ -7,7 +7,7 @@ media that start later, inside or after it, are carved with their place and leng
 
 Validators look up what lies ahead (end marks, markers, block ends, checksums) in indexes that are
 made once for a value, so a value full of magic bytes costs its length and not its square. RIFF
-chunks alone are walked anew for each RIFF magic whose declared size fits.
+chunks and compressed data alone are walked anew for each magic whose header is right.
 
 `store_text` keeps any text losslessly as a WAV file of 8-bit samples.
 
@@ -212,18 +212,42 @@ def _bmp(v: Value, at: int) -> int | None:
     return at + size if size >= offset + (width * depth + 31) // 32 * 4 * abs(height) else None
 
 
+def _gzip_data(v: Value, at: int) -> int | None:
+    """Where the compressed data of a member starts."""
+    b, p = v.raw, at + 10
+    flags = b[at + 3] if p <= len(b) else 0xE0
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        p += 2 + int.from_bytes(b[p : p + 2], "little")
+    for text in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & text:
+            end = v.next(b"\x00", p)
+            if end < 0:
+                return None
+            p = end + 1
+    return p + 2 if flags & 2 else p
+
+
 def _gzip(v: Value, at: int) -> int | None:
-    """The member must inflate to its end, where its checksum is. A magic inside a member that was confirmed is its data."""
-    b = v.raw
-    z = zlib.decompressobj(31)
+    """The member must inflate to its end, where its checksum and length are. A magic inside a confirmed member is its data."""
+    b, p = v.raw, _gzip_data(v, at)
+    if p is None or p >= len(b):
+        return None
+    z, crc, size, step = zlib.decompressobj(-15), 0, 0, 256
     try:
-        view, p = memoryview(b), at
-        while not z.eof and p < len(b):
-            z.decompress(view[p : p + 65536])
-            p += 65536
+        while not z.eof and (p < len(b) or z.unconsumed_tail):
+            # little at first, as bytes that only look like a member soon fail
+            held = z.unconsumed_tail or b[p : p + step]
+            p, step = (p if z.unconsumed_tail else p + len(held)), min(2 * step, 65536)
+            out = z.decompress(held, 1 << 20)
+            crc, size = zlib.crc32(out, crc), size + len(out)
     except zlib.error:
         return None
-    return min(p, len(b)) - len(z.unused_data) if z.eof else None
+    end = p - len(z.unused_data) + 8
+    if not z.eof or end > len(b):
+        return None
+    return end if struct.unpack_from("<II", b, end - 8) == (crc, size & 0xFFFFFFFF) else None
 
 
 def _pdf(v: Value, at: int) -> int | None:
@@ -253,10 +277,7 @@ def _zip_ends(v: Value) -> dict[int, list[int]]:
 
 
 def _flac(v: Value, at: int) -> int | None:
-    """Metadata blocks, STREAMINFO first, then frames up to the last header whose checksum is right and what follows it.
-
-    The stream has no declared end: it ends where another medium's magic could not be its data, so with the value.
-    """
+    """Metadata blocks, STREAMINFO first, then a frame header with its checksum. A stream has no declared end, so it ends with the value."""
     b, p, first = v.raw, at + 4, True
     while p + 4 <= len(b):
         last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ def io_partitioned(t: Tables) -> DataFrame:
 def io_bucketed_join(t: Tables) -> DataFrame:
     """Two tables with buckets of the join key: the join reads them without a shuffle."""
     keyed = t.orders.withColumnRenamed("o_custkey", "c_custkey")
-    orders = formats.bucketed(keyed, "weftline_orders", 8, "c_custkey", shared_folder(t.spark, "orders"))
-    customers = formats.bucketed(t.customer, "weftline_customers", 8, "c_custkey", shared_folder(t.spark, "customers"))
+    run = uuid.uuid4().hex
+    orders = formats.bucketed(keyed, f"weftline_orders_{run}", 8, "c_custkey", shared_folder(t.spark, "orders"))
+    customers = formats.bucketed(t.customer, f"weftline_customers_{run}", 8, "c_custkey", shared_folder(t.spark, "customers"))
     return customers.hint("merge").join(orders, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 

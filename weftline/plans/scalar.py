@@ -25,6 +25,13 @@ QUERIES.same_sql(
     CAST(instr(p_name, 'a') AS BIGINT) AS p, contains(p_name, 'e') AS q, CAST(ascii(p_name) AS BIGINT) AS r, chr(65 + p_size % 26) AS s,
     CAST(levenshtein(p_brand, p_type) AS BIGINT) AS t, starts_with(p_name, 'P') AS u FROM part""",
 )
+QUERIES.same_sql(
+    "s_search",
+    "SELECT p_partkey, initcap(concat(p_name, ' OF ', p_type)) AS a, CAST(locate('a', p_name, 2) AS BIGINT) AS b FROM part",
+    """SELECT p_partkey, array_to_string(list_transform(string_split(concat(p_name, ' OF ', p_type), ' '),
+    lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS a,
+    CASE WHEN instr(substr(p_name, 2), 'a') = 0 THEN 0 ELSE instr(substr(p_name, 2), 'a') + 1 END::BIGINT AS b FROM part""",
+)
 QUERIES.same_sql(
     "s_digests",
     "SELECT c_custkey, md5(c_name) AS a, sha2(c_name, 256) AS b, base64(CAST(c_name AS BINARY)) AS c, hex(c_name) AS d FROM customer",
@@ -86,6 +93,16 @@ QUERIES.same_sql(
     date_trunc('month', o_orderdate)::DATE AS g, strftime(o_orderdate, '%Y/%m/%d') AS h,
     datesub('hour', o_orderdate, TIMESTAMP '2001-01-01') AS i, o_orderdate + INTERVAL 36 HOURS AS j FROM orders""",
 )
+QUERIES.same_sql(
+    "d_differences",
+    """SELECT o_orderkey, months_between(CAST(o_orderdate AS DATE), DATE'1996-03-31') AS a,
+    CAST(extract(DAY FROM o_orderdate - TIMESTAMP_NTZ'1994-01-01 00:00:00') AS BIGINT) AS b,
+    CAST(from_utc_timestamp(CAST(o_orderdate AS TIMESTAMP), 'America/New_York') AS TIMESTAMP_NTZ) AS c FROM orders""",
+    """SELECT o_orderkey, round((year(d) - 1996) * 12 + month(d) - 3 + CASE WHEN day(d) = 31 OR d = last_day(d) THEN 0
+    ELSE (day(d) - 31) / 31.0 END, 8) AS a,
+    extract('day' FROM o_orderdate - TIMESTAMP '1994-01-01') AS b, timezone('America/New_York', timezone('UTC', o_orderdate)) AS c
+    FROM (SELECT *, o_orderdate::DATE AS d FROM orders)""",
+)
 QUERIES.same_sql(
     "d_making",
     """SELECT n_nationkey, make_date(2020, 1 + n_nationkey % 12, 15) AS a, CAST(to_timestamp_ntz('2020-02-03 04:05:06') AS TIMESTAMP_NTZ) AS b,
@@ -130,6 +147,24 @@ def c_arrays(t: Tables) -> DataFrame:
     )
 
 
+@QUERIES.add(
+    """SELECT vec_id, array_to_string(list_sort(list_distinct([label, 3, 7, 3, label + 1])), ',') AS united,
+    array_to_string([label, 4, 5, 6][2:3], ',') AS middle, '1:' || label || ',2:9' AS zipped,
+    len(list_filter([label, 2], lambda x: x > 6)) > 0 AS some_large FROM embeddings"""
+)
+def c_sets(t: Tables) -> DataFrame:
+    label = F.col("label")
+    united = F.array_union(F.array(label, F.lit(3)), F.array(F.lit(7), F.lit(3), label + 1))
+    zipped = F.arrays_zip(F.array(F.lit(1), F.lit(2)).alias("a"), F.array(label, F.lit(9)).alias("b"))
+    return t.embeddings.select(
+        "vec_id",
+        F.array_join(F.sort_array(united).cast("array<string>"), ",").alias("united"),
+        F.array_join(F.slice(F.array(label, F.lit(4), F.lit(5), F.lit(6)), 2, 2).cast("array<string>"), ",").alias("middle"),
+        F.array_join(F.transform(zipped, lambda z: F.concat_ws(":", z["a"].cast("string"), z["b"].cast("string"))), ",").alias("zipped"),
+        F.exists(F.array(label, F.lit(2)), lambda x: x > 6).alias("some_large"),
+    )
+
+
 @QUERIES.add(
     """SELECT e1.vec_id AS a, e2.vec_id AS b, round(list_sum(list_transform(list_zip(e1.embedding, e2.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS dot
     FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1"""

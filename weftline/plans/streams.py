@@ -97,3 +97,48 @@ def st_keyed_state(t: Tables) -> DataFrame:
 def st_sorted_complete(t: Tables) -> DataFrame:
     counts = _stream(t).groupBy("user_id").agg(F.count("*").alias("n"))
     return ev.run_updating(counts.orderBy(F.desc("n"), "user_id").limit(10))
+
+
+def _in_batches(t: Tables, n: int = 4) -> list[DataFrame]:
+    """The events in n parts by their number, which is their order in time."""
+    most = t.events.agg(F.max("event_id")).first()[0] + 1
+    return [t.events.where((F.col("event_id") * n >= k * most) & (F.col("event_id") * n < (k + 1) * most)) for k in range(n)]
+
+
+@QUERIES.add(
+    """SELECT date_trunc('hour', ts) AS start_at, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_at, event_type, count(*) AS n,
+    round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3"""
+)
+def st_batches(t: Tables) -> DataFrame:
+    """Windows whose state lives on from batch to batch."""
+    return ev.run_updating(ev.windowed(ev.event_batches(t.spark, _in_batches(t)), F.window("ts", "1 hour")))
+
+
+@QUERIES.add(
+    """WITH held AS (SELECT * FROM events WHERE event_id * 4 >= (SELECT max(event_id) + 1 FROM events))
+    SELECT date_trunc('day', ts) AS start_at, date_trunc('day', ts) + INTERVAL 1 DAY AS end_at, event_type, count(*) AS n,
+    round(sum(value), 4) AS total FROM held GROUP BY 1, 2, 3
+    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
+def st_late_rows(t: Tables) -> DataFrame:
+    """The first quarter of the events comes last, behind the watermark, and is dropped."""
+    first, *others = _in_batches(t)
+    return ev.run_appending(ev.windowed(ev.event_batches(t.spark, [*others, first]), F.window("ts", "1 day")))
+
+
+@QUERIES.add("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st_memory_sink(t: Tables) -> DataFrame:
+    counts = ev.event_batches(t.spark, _in_batches(t, 2)).groupBy("event_type").agg(F.count("*").alias("n"))
+    return ev.run_to_memory(counts, "complete")
+
+
+@QUERIES.add("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
+def st_state_processor(t: Tables) -> DataFrame:
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, rocks)
+    try:
+        totals = ev.run_updating(ev.transformed_totals(ev.event_batches(t.spark, _in_batches(t, 3))), "update")
+    finally:
+        t.spark.conf.set(key, before)
+    return totals.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("most", "n").alias("most"))

@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh place under the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing, as in tests on one machine, it lies in a folder of this process.
+    Where the setting is missing, it lies in a folder of this process if all runs on this machine.
     """
     context = spark.sparkContext
     root = context.getCheckpointDir()
     if root is None:
-        root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="weftline-")
+        root = spark.conf.get("spark.checkpoint.dir", "")
+        if not root and context.master.split("[")[0] != "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        root = root or tempfile.mkdtemp(prefix="weftline-")
         context.setCheckpointDir(root)
         root = context.getCheckpointDir()
     return f"{root}/{name}-{uuid.uuid4().hex}"

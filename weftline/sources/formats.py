@@ -33,8 +33,7 @@ def round_trip(df: DataFrame, kind: str, path: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, table: str, buckets: int, by: str, path: str) -> DataFrame:
-    """Save as a table whose rows lie in buckets of the key, so that joins and groupings on it need no shuffle."""
+    """Save as a new table whose rows lie in buckets of the key, so that joins and groupings on it need no shuffle."""
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
     df.write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
     return spark.table(table)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.sources import read_table
@@ -22,6 +24,22 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
+def event_batches(spark: SparkSession, parts: list[DataFrame], delay: str = "1 hour") -> DataFrame:
+    """A stream that reads the parts one after the other, each as one batch."""
+    folder = shared_folder(spark, "stream-in")
+    for k, part in enumerate(parts):  # files are read in the order of their times
+        part.coalesce(1).write.parquet(f"{folder}/{k:04d}")
+    raw = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def run_to_memory(stream: DataFrame, mode: str) -> DataFrame:
+    """Run over all input there is, into a table in the driver's memory; for results known to be small."""
+    name = f"stream_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def run_appending(stream: DataFrame) -> DataFrame:
     """Run over all input there is, rows written once to Parquet files; the table of these files."""
     spark = stream.sparkSession
@@ -39,12 +57,15 @@ def run_appending(stream: DataFrame) -> DataFrame:
 
 
 def run_updating(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run over all input there is; each batch's result replaces the table (complete) or adds to it (update)."""
+    """Run over all input there is; each batch's result replaces the table (complete) or adds to it (update).
+
+    A batch that is run again writes over what it wrote before.
+    """
     spark = stream.sparkSession
     path = shared_folder(spark, "stream-out")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(keep)
@@ -54,7 +75,7 @@ def run_updating(stream: DataFrame, mode: str = "complete") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/*")
 
 
 def windowed(stream: DataFrame, window: F.Column) -> DataFrame:
@@ -83,3 +104,27 @@ def running_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(
         step, "user_id long, n long, most double", "n long, most double", "update", GroupStateTimeout.NoTimeout
     )
+
+
+class Totals(StatefulProcessor):
+    """Per key the number of events and the largest value so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("totals", "n long, most double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, most = self.held.get() if self.held.exists() else (0, float("-inf"))
+        for frame in rows:
+            n, most = n + len(frame), max(most, float(frame["value"].max()))
+        self.held.update((n, most))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
+
+    def close(self) -> None:
+        pass
+
+
+def transformed_totals(stream: DataFrame) -> DataFrame:
+    """running_totals by a stateful processor; its state store must be RocksDB's."""
+    return stream.groupBy("user_id").transformWithStateInPandas(
+        Totals(), "user_id long, n long, most double", outputMode="Update", timeMode="None"
+    )

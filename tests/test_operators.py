@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregates, joins, windows
@@ -49,6 +50,35 @@ def test_sessions_start_after_gaps(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: 0}
 
 
+def test_frames_in_chunks_equal_plain_windows(spark):
+    rows = [(i, "a" if i % 5 else None, i * 7 % 101, (i * 13 % 17) if i % 6 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, k string, t int, v int").repartition(4)
+    near = windows.rows_frame(df, ["k"], ["t", "i"], lambda frame: F.sum("v").over(frame), 3, 2, "near", chunk=7)
+    plain = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "i").rowsBetween(-3, 2)
+    want = {(r["i"], r["x"]) for r in df.select("i", F.sum("v").over(plain).alias("x")).collect()}
+    assert {(r["i"], r["near"]) for r in near.collect()} == want
+    assert windows.rows_frame(df.limit(0), ["k"], ["t", "i"], lambda frame: F.sum("v").over(frame), 3, 2, "near").count() == 0
+
+
+def test_percentiles_by_places_equal_the_functions(spark):
+    rows = [(i % 3 if i % 10 else None, float(i * 37 % 211) if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    wanted = {"m": ("cont", 0.5), "q": ("cont", 0.9), "d": ("disc", 0.25), "top": ("disc", 1.0), "low": ("cont", 0.0)}
+    got = {tuple(r) for r in windows.percentiles(df, ["k"], "v", wanted).select("k", *wanted).collect()}
+    kinds = {"cont": "percentile_cont", "disc": "percentile_disc"}
+    made = [F.expr(f"{kinds[a]}({b}) WITHIN GROUP (ORDER BY v)").alias(n) for n, (a, b) in wanted.items()]
+    want = {tuple(r) for r in df.groupBy("k").agg(*made).collect()}
+    near = lambda rows: sorted([tuple(-1 if x is None else round(x, 6) for x in r) for r in rows])
+    assert near(got) == near(want)
+
+
+def test_groups_frame_counts_peers(spark):
+    rows = [("a", 1, 10), ("a", 1, 1), ("a", 2, 100), ("a", 4, 1000), (None, 1, 5), ("a", None, 7)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    got = {(r["k"], r["t"], r["v"], r["near"]) for r in windows.groups_frame_sum(df, ["k"], "t", "v", 1, 1, "near").collect()}
+    assert got == {("a", 1, 10, 111), ("a", 1, 1, 111), ("a", 2, 100, 1111), ("a", 4, 1000, 1107), (None, 1, 5, 5), ("a", None, 7, 1007)}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_quantity > 15").select("l_orderkey", "l_quantity")
     plan = df._jdf.queryExecution().executedPlan().toString()

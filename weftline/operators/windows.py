@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import shared_folder
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank_name: str = "rn") -> DataFrame:
     """The first n rows of each group; Spark cuts each group to n rows before the shuffle too."""
@@ -17,17 +23,73 @@ def qualify(df: DataFrame, name: str, window: Column, keep: Column) -> DataFrame
     return df.withColumn(name, window).where(keep)
 
 
-def groups_frame(df: DataFrame, by: list[str], order: Column, agg, value: str, before: int, after: int) -> Column:
-    """GROUPS BETWEEN before PRECEDING AND after FOLLOWING, as a RANGE over dense ranks.
+def groups_frame_sum(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, name: str) -> DataFrame:
+    """Adds the sum over GROUPS BETWEEN before PRECEDING AND after FOLLOWING.
 
-    Use after `with_dense_rank`, which adds the column _group.
+    Peers are summed first, so the window sees one row for each distinct value of the order and not every row.
     """
-    frame = Window.partitionBy(*by).orderBy("_group").rangeBetween(-before, after)
-    return agg(value).over(frame)
+    peers = df.groupBy(*by, order).agg(F.sum(value).alias("_sum"))
+    frame = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last()).rowsBetween(-before, after)
+    sums = peers.select(*[F.col(c).alias(f"_{c}") for c in (*by, order)], F.sum("_sum").over(frame).alias(name))
+    return df.join(sums, _same(df, [*by, order])).drop(*[f"_{c}" for c in (*by, order)])
+
 
+def _same(df: DataFrame, columns: list[str]) -> Column:
+    """Null-safe equality of columns with those of another frame that have an underscore in front."""
+    return functools.reduce(operator.and_, [df[c].eqNullSafe(F.col(f"_{c}")) for c in columns])
 
-def with_dense_rank(df: DataFrame, by: list[str], order: Column) -> DataFrame:
-    return df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
+
+def with_positions(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds each row's place in its group (from 0), with no group in one task.
+
+    Rows are sorted into ranges of group and order, written once, and numbered within their range; the
+    ranges' counts, one row for each range of a group, are added up. order must tell rows apart.
+    """
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "positions")
+    df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in (*by, *order)]).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.parquet(folder)
+    keys = [*by, "_part"]
+    below = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys).agg(F.count("*").alias("_n"))
+    bases = counts.select(*[F.col(c).alias(f"_{c}") for c in keys], F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    placed = dealt.withColumn("_own", F.row_number().over(within) - 1).join(bases, _same(dealt, keys))
+    return placed.select(*df.columns, (F.col("_own") + F.col("_base")).alias(name))
+
+
+def rows_frame(
+    df: DataFrame, by: list[str], order: list[str], agg: Callable[[WindowSpec], Column], before: int, after: int, name: str, chunk: int = 10_000
+) -> DataFrame:
+    """Adds agg over ROWS BETWEEN before PRECEDING AND after FOLLOWING, for groups of any size.
+
+    A group is cut into chunks of places; a row stands in each chunk whose frames reach it.
+    """
+    placed = with_positions(df, by, order, "_pos")
+    low, high = (F.floor((F.col("_pos") + d) / chunk) for d in (-after, before))
+    spread = placed.withColumn("_chunk", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    frame = Window.partitionBy(*by, "_chunk").orderBy("_pos").rowsBetween(-before, after)
+    home = F.col("_chunk") == F.floor(F.col("_pos") / chunk)
+    return spread.withColumn(name, agg(frame)).where(home).select(*df.columns, name)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact percentiles of each group; wanted: name to ("cont" or "disc", share). Nulls don't count.
+
+    The rows at the places that the shares fall on are picked out of the numbered rows, so no group's
+    values meet in one task.
+    """
+    held = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_tie", F.monotonically_increasing_id())
+    placed = with_positions(held, by, [value, "_tie"], "_pos")
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n")
+    rows = placed.join(sizes, _same(placed, by))
+    out = []
+    for name, (kind, share) in wanted.items():
+        at = F.lit(share) * (F.col("_n") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(share) * F.col("_n")) - 1, F.lit(0))
+        low, high = F.floor(at), F.ceil(at)
+        part = at - low
+        weight = F.when(low == high, F.when(F.col("_pos") == low, 1.0)).when(F.col("_pos") == low, 1 - part).when(F.col("_pos") == high, part)
+        out.append(F.sum(F.col(value) * weight).alias(name))
+    return rows.groupBy(*by).agg(*out)
 
 
 def exclude_current(total: Column, own: Column) -> Column:

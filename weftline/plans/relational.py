@@ -309,7 +309,7 @@ def a_shape(t: Tables) -> DataFrame:
 
 
 QUERIES.same_sql(
-    "a_percentiles",
+    "a_percentiles_builtin",
     """SELECT o_orderstatus, round(median(o_totalprice), 4) AS med,
     round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p90,
     percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS p25 FROM orders GROUP BY o_orderstatus""",
@@ -318,6 +318,14 @@ QUERIES.same_sql(
 )
 
 
+@QUERIES.add(QUERIES["a_percentiles_builtin"][1])
+def a_percentiles(t: Tables) -> DataFrame:
+    """The same by places in ranges, for groups whose values don't fit one task."""
+    wanted = {"med": ("cont", 0.5), "p90": ("cont", 0.9), "p25": ("disc", 0.25)}
+    found = windows.percentiles(t.orders, ["o_orderstatus"], "o_totalprice", wanted)
+    return found.select("o_orderstatus", F.round("med", 4).alias("med"), F.round("p90", 4).alias("p90"), "p25")
+
+
 @QUERIES.add(
     """SELECT n, n = u AS close, m BETWEEN q1 AND q3 AS middle FROM (SELECT count(DISTINCT user_id) AS n, count(DISTINCT user_id) AS u,
     median(value) AS m, quantile_cont(value, 0.4) AS q1, quantile_cont(value, 0.6) AS q3 FROM events)"""
@@ -429,9 +437,8 @@ QUERIES.same_sql(
     GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS near FROM orders"""
 )
 def w_groups_frame(t: Tables) -> DataFrame:
-    ranked = windows.with_dense_rank(t.orders, ["o_orderpriority"], F.col("o_orderdate").asc_nulls_last())
-    near = windows.groups_frame(ranked, ["o_orderpriority"], F.col("o_orderdate"), F.sum, "o_custkey", 1, 1)
-    return ranked.select("o_orderkey", near.alias("near"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    return windows.groups_frame_sum(orders, ["o_orderpriority"], "o_orderdate", "o_custkey", 1, 1, "near").select("o_orderkey", "near")
 
 
 @QUERIES.add(
@@ -439,8 +446,9 @@ def w_groups_frame(t: Tables) -> DataFrame:
     EXCLUDE CURRENT ROW), 0)::BIGINT AS others FROM events"""
 )
 def w_exclude_current(t: Tables) -> DataFrame:
-    frame = Window.partitionBy("event_type").orderBy("ts").rowsBetween(-2, 2)
-    return t.events.select("event_id", windows.exclude_current(F.sum("user_id").over(frame), F.col("user_id")).alias("others"))
+    events = t.events.select("event_id", "event_type", "ts", "user_id")
+    near = windows.rows_frame(events, ["event_type"], ["ts"], lambda frame: F.sum("user_id").over(frame), 2, 2, "near")
+    return near.select("event_id", windows.exclude_current(F.col("near"), F.col("user_id")).alias("others"))
 
 
 @QUERIES.add("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")

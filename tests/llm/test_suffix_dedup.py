@@ -12,7 +12,7 @@ from weftline.llm.suffix_array import sort_many, sort_one
 from weftline.llm.suffix_dedup import LAST, remove_repeats, repeat_digests, smallest_ids
 from weftline.sources import read_table
 
-from .conftest import odd_rows
+from .conftest import SCHEMA, make_text, odd_rows
 
 
 @settings(max_examples=150, deadline=None)
@@ -65,6 +65,23 @@ def test_common_seeds_give_the_same(spark, odd, monkeypatch):
     assert digests(odd) == brute(odd_rows())
 
 
+def test_seeds_that_are_not_counted_give_the_same(spark, monkeypatch):
+    """A passage that most texts have, within different texts."""
+    rng = random.Random(6)
+    passage, other = make_text(rng, 25), make_text(rng, 14)
+    rows = [(k, f"{make_text(rng, k % 20)} {passage} {make_text(rng, k % 7)}{other if k % 4 == 0 else ''}", "en", "s", 0) for k in range(300)]
+    rows += [(k, rows[k % 300][1], "en", "s", 0) for k in range(300, 340)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = brute(rows)
+    monkeypatch.setattr(suffix_dedup, "COMMON", 60)
+    for sample in (1 << 26, 1 << 13):
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", 10)
+        texts = suffix_dedup._texts(df, "doc_id", "text")
+        assert len(suffix_dedup._frequent_seeds(texts, 340, 60_000, 50, 1)) > 0
+        assert digests(df) == want
+
+
 def test_smallest_ids_of_strings():
     rng = random.Random(5)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(60, 90))) for _ in range(6)]

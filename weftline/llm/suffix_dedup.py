@@ -10,7 +10,9 @@ id. Strings are compared as they are in the input, and never across documents.
 2. Each string of `length` bytes has a seed: the 20-byte substring with the smallest hash. Equal
    strings have equal seeds, and neighbouring strings mostly share one, so a text is a row of
    pieces: runs of strings with one seed.
-3. Seeds are counted; pieces whose seed occurs in one text only are done.
+3. Seeds are counted; pieces whose seed occurs in one text only are done. Seeds that a large part of
+   all texts has would crowd one group of the count. A sample of texts shows them beforehand; they are
+   not counted but taken as common at once (5). The sample only says how work is dealt, not what is lost.
 4. The other pieces meet by seed. Equal pieces are laid down once with their smallest id, the
    pieces of a seed make one string, and its suffix array (see suffix_array.py) brings equal
    strings next to each other: neighbours that share `length` bytes form a group, and all but the
@@ -51,6 +53,8 @@ COMPARED = 1 << 23  #: bytes of text for whose pieces one group of rows is compa
 ARRAY = 1 << 22  #: symbols that are sorted at once, except that a seed's are never split
 PIECE = 64  #: strings in a piece at most
 COMMON = 20_000  #: texts above which a seed's strings are dealt by their own hash
+SAMPLE = 1 << 26  #: bytes, about, of the sample of texts that shows which seeds are not to be counted
+OFTEN = 50  #: texts of the sample that such a seed is in at least, which bounds their number
 LONG = 4000  #: symbols above which a string is sorted by itself
 LAST = (1 << 63) - 1  #: stands for the id of rows without one
 DIGEST = 16  #: bytes of SHA-256 that name a text
@@ -147,8 +151,27 @@ def _ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 KEYS = "bucket int, shas binary, sizes binary, keys binary"
 
 
-def _count_rows(length: int, counted: int):
-    """Texts to 32 bits of their distinct seeds, by group: digests of texts, seeds of each, seeds."""
+def _frequent_seeds(texts: DataFrame, rows: int, total: int, length: int, counted: int) -> np.ndarray:
+    """Codes of seeds that a sample of the texts (ord, raw) lets expect in COMMON texts or more, in order."""
+    every = 1 + total // SAMPLE
+    if rows < COMMON:
+        return np.zeros(0, _U)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, lengths in _chunks(batch):
+                text, _, _, seed = pieces(data, lengths, length)
+                _, seed = _seeds_by_text(text, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(_code(seed, counted).view(np.int64))], names=["code"])
+
+    sample = texts.where(F.pmod(F.xxhash64("raw"), F.lit(every)) == 0)
+    one = sample.groupBy(_digest(F.col("raw")).alias("sha")).agg(F.max("raw").alias("raw"))
+    found = one.mapInArrow(codes, "code long").groupBy("code").count().where(F.col("count") >= max(OFTEN, -(-COMMON // every)))
+    return np.sort(np.array([r["code"] for r in found.collect()], np.int64).view(_U))
+
+
+def _count_rows(length: int, counted: int, frequent):
+    """Texts to 32 bits of their distinct seeds but the frequent ones (a broadcast), by group: digests, seeds of each, seeds."""
     schema = pa.schema([("bucket", pa.int32()), ("shas", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
 
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -174,7 +197,9 @@ def _count_rows(length: int, counted: int):
             for at, _, data, lengths in _chunks(batch):
                 text, _, _, seed = pieces(data, lengths, length)
                 text, seed = _seeds_by_text(text, seed)
-                held.append((shas[at + text], _code(seed, counted)))
+                code = _code(seed, counted)
+                rare = ~_among(code, frequent.value)
+                held.append((shas[at + text[rare]], code[rare]))
                 size += len(data)
                 if size >= SENT:
                     yield rows(held)
@@ -303,15 +328,19 @@ def _shared_pieces(length: int, counted: int, compared: int):
     return run
 
 
-def _common_strings(length: int, counted: int, groups: int, salts: int):
-    """Texts with the counts' answers to their strings whose seed very many texts have, each a piece of its own."""
+def _common_strings(length: int, counted: int, groups: int, salts: int, frequent):
+    """Texts with the counts' answers to their strings whose seed very many texts have, each a piece of its own.
+
+    frequent: a broadcast of seeds that were not counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shas, ords = _digests(batch), batch.column("ord").to_numpy()
             for at, to, data, lengths in _chunks(batch):
                 text, start, n, seed = pieces(data, lengths, length)
-                some = np.flatnonzero(np.isin(_code(seed, counted), _answered(batch, "common", at, to)))
+                code = _code(seed, counted)
+                some = np.flatnonzero(np.isin(code, _answered(batch, "common", at, to)) | _among(code, frequent.value))
                 if not len(some):
                     continue
                 piece = np.repeat(some, n[some])
@@ -499,13 +528,16 @@ def _lost_common(length: int):
     return run
 
 
-def _heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct texts: sha, ord (smallest id, LAST for none), raw (UTF-8)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """ord (id, LAST for none), raw (UTF-8)."""
     ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    named = docs.select(ord_.alias("ord"), raw.alias("raw"))
+    return docs.select(ord_.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+
+
+def _heads(texts: DataFrame) -> DataFrame:
+    """Distinct texts: sha, ord (the smallest), raw."""
     # max: all are equal
-    return named.groupBy(_digest(F.col("raw")).alias("sha")).agg(F.min("ord").alias("ord"), F.max("raw").alias("raw"))
+    return texts.groupBy(_digest(F.col("raw")).alias("sha")).agg(F.min("ord").alias("ord"), F.max("raw").alias("raw"))
 
 
 def _digest(raw: Column) -> Column:
@@ -519,16 +551,22 @@ def per_text(
     """sha, ord and what fn makes of each distinct text's bytes and lost ranges (an array of edges, lo and hi in turn)."""
     if length < SEED + 4:
         raise ValueError(f"strings of fewer than {SEED + 4} bytes have no seeds")
-    total = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    texts = _texts(docs, id_col, text_col)
+    rows, total = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()
     counted, compared, salts = (1 + total // x for x in (COUNTED, COMPARED, 16 * COMPARED))
-    heads = _heads(docs, id_col, text_col)
-    keys = heads.mapInArrow(_count_rows(length, counted), KEYS)
+    frequent = _frequent_seeds(texts, rows, total, length, counted)
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    heads = _heads(texts)
+    keys = heads.mapInArrow(_count_rows(length, counted, known), KEYS)
     answers = keys.groupBy("bucket").applyInArrow(_count(COMMON), ANSWERS)
     answers = answers.groupBy("sha").agg(F.collect_list("shared").alias("shared"), F.collect_list("common").alias("common"))
     shared = heads.join(answers, "sha").mapInArrow(_shared_pieces(length, counted, compared), PIECES)
     lost = shared.groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
-    with_common = heads.join(answers.where(F.exists("common", lambda c: F.octet_length(c) > 0)), "sha")
-    strings = with_common.mapInArrow(_common_strings(length, counted, 8 * compared, salts), PIECES)
+    if len(frequent):  # any text may have one
+        with_common = heads.join(answers, "sha", "left")
+    else:
+        with_common = heads.join(answers.where(F.exists("common", lambda c: F.octet_length(c) > 0)), "sha")
+    strings = with_common.mapInArrow(_common_strings(length, counted, 8 * compared, salts, known), PIECES)
     dealt = strings.groupBy("bucket", "salt")
     combined = dealt.applyInArrow(_combine(length), COMBINED)
     least = combined.groupBy("bucket").applyInArrow(_smallest_of_common(length), "bucket int, salt int, least binary")

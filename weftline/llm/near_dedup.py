@@ -293,22 +293,54 @@ def _blocks(members: DataFrame) -> DataFrame:
     return residents.select(*columns, F.lit(False).alias("guest")).unionByName(guests.select(*columns, F.lit(True).alias("guest")))
 
 
-def _promised(bucket: int, r: pd.DataFrame, g: pd.DataFrame):
-    """Pairs of a guest and residents of other classes that a signature promises a link, one guest at a time.
+class _Pairs:
+    """Residents r and guests g of a block, and which pairs of other classes a signature promises a link.
 
     A pair belongs to the first bucket that its two members have in common, and there to one block.
     """
-    sig_r, sig_g = _both(list(r["sig"])), _both(list(g["sig"]))
-    buckets_r, buckets_g = (np.sort(_buckets(s).reshape(len(s), -1), axis=1) for s in (sig_r, sig_g))
-    ids, outside, comp = r["v"].to_numpy(), r["outside"].to_numpy(), r["comp"].to_numpy()
-    for k, (v, c) in enumerate(zip(g["v"], g["comp"], strict=True)):
-        alike = (sig_r == sig_g[k]).mean(2).max(1)
+
+    def __init__(self, bucket: int, r: pd.DataFrame, g: pd.DataFrame):
+        self.bucket, self.ids_r, self.ids_g = bucket, r["v"].to_numpy(), g["v"].to_numpy()
+        self.comp_r, self.comp_g = r["comp"].to_numpy().copy(), g["comp"].to_numpy().copy()
+        self.outside = r["outside"].to_numpy()
+        self.sig_r, self.sig_g = _both(list(r["sig"])), _both(list(g["sig"]))
+        self.buckets_r, self.buckets_g = _buckets(self.sig_r), _buckets(self.sig_g)
+
+    def promised(self, k: int) -> np.ndarray:
+        """Residents that guest k may be linked with, the likeliest first."""
+        alike = np.count_nonzero(self.sig_r == self.sig_g[k], axis=2).max(1)
         # two members outside the largest class meet twice, as guest and resident and the other way round
-        at = np.flatnonzero((alike >= PROMISING) & (comp != c) & ~(outside & (ids < v)))
-        at = at[np.argsort(-alike[at], kind="stable")]
-        first = [m for m in at if np.intersect1d(buckets_r[m], buckets_g[k])[0] == bucket]
-        if first:
-            yield k, first
+        twice = self.outside & (self.ids_r < self.ids_g[k])
+        at = np.flatnonzero((alike >= PROMISING * COMPONENTS) & (self.comp_r != self.comp_g[k]) & ~twice)
+        return at[np.argsort(-alike[at], kind="stable")]
+
+    def here(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Those of them whose pairs with guest k belong to this bucket."""
+        own = self.buckets_r[at]
+        shared = (own[:, :, None, :] == self.buckets_g[k][None, None]).any(2)
+        return at[np.where(shared, own, np.iinfo(np.int64).max).min((1, 2)) == self.bucket]
+
+    def needed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Residents and guests that are in a promised pair of this bucket."""
+        hit_r, hit_g = np.zeros(len(self.ids_r), bool), np.zeros(len(self.ids_g), bool)
+        for k in range(len(self.ids_g)):
+            at = self.promised(k)
+            fresh = self.here(k, at[~hit_r[at]])
+            hit_r[fresh] = True
+            hit_g[k] = bool(len(fresh)) or bool(len(self.here(k, at)))
+        return np.flatnonzero(hit_r), np.flatnonzero(hit_g)
+
+    def links(self, sets_r: list[dict], sets_g: list[dict], similarity: float) -> list[tuple[int, int]]:
+        """Links of promised pairs that the links before have not joined."""
+        found = []
+        for k in range(len(self.ids_g)):
+            for m in self.here(k, self.promised(k)):
+                if self.comp_r[m] != self.comp_g[k] and similarity_of(sets_g[k], sets_r[m]) >= similarity - 1e-12:
+                    found.append((int(self.ids_g[k]), int(self.ids_r[m])))
+                    old, new = self.comp_r[m], self.comp_g[k]
+                    self.comp_r[self.comp_r == old] = new
+                    self.comp_g[self.comp_g == old] = new
+        return found
 
 
 def _cross_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -326,11 +358,8 @@ def _cross_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarit
         out = []
         for bucket, own in group.groupby("bucket"):
             r, g = own[~own["guest"]], own[own["guest"]]
-            hit_r, hit_g = set(), set()
-            for k, found in _promised(bucket, r, g):
-                hit_g.add(k)
-                hit_r.update(found)
-            out += [r.iloc[sorted(hit_r)], g.iloc[sorted(hit_g)]]
+            hit_r, hit_g = _Pairs(bucket, r, g).needed()
+            out += [r.iloc[hit_r], g.iloc[hit_g]]
         return pd.concat(out)[list(group.columns)] if out else group.iloc[:0]
 
     columns = ["bucket", "i", "j", "small", "v", "comp", "outside", "guest", "sig"]
@@ -343,14 +372,7 @@ def _cross_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarit
         for bucket, own in group.groupby("bucket"):
             r, g = own[~own["guest"]], own[own["guest"]]
             sets_r, sets_g = _counts_of(list(r["text"])), _counts_of(list(g["text"]))
-            ids_r, ids_g, comp_r, comp_g = (x.to_numpy().copy() for x in (r["v"], g["v"], r["comp"], g["comp"]))
-            for k, some in _promised(bucket, r, g):
-                for m in some:
-                    if comp_r[m] != comp_g[k] and similarity_of(sets_g[k], sets_r[m]) >= similarity - 1e-12:
-                        found.append((int(ids_g[k]), int(ids_r[m])))
-                        joined = comp_r[m]
-                        comp_r[comp_r == joined] = comp_g[k]
-                        comp_g[comp_g == joined] = comp_g[k]
+            found += _Pairs(bucket, r, g).links(sets_r, sets_g, similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return promised.join(texts, "v").groupBy(*keys).applyInPandas(search, "a long, b long")

@@ -94,3 +94,29 @@ def test_packing_holds_every_document_once_each_copy(steps):
 def test_run_gives_the_last_stage(spark, steps):
     rows = {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()}
     assert rows == {tuple(r) for r in steps[-1][1].select("doc_id", "piece", "length", "ids_crc32").collect()}
+
+
+def _through(spark, docs, folder, monkeypatch):
+    """All stages on a table of one's own, none rejected for its quality."""
+    monkeypatch.setattr(corpus_pipeline, "keep_good", lambda d, model: d)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = f"{folder}/{k}"
+        stage(spark, docs, SF).write.parquet(path)
+        made = spark.read.parquet(path)
+        assert k == len(corpus_pipeline.STAGES) - 1 or made.columns == docs.columns
+        docs = made
+    return docs
+
+
+def test_odd_rows_and_clashing_names_pass_all_stages(spark, odd, tmp_path, monkeypatch):
+    names = ("sha", "ord", "raw", "spans", "key", "class_id", "size", "copies", "length", "quality", "h", "score")
+    wide = odd.withColumns({c: odd.lang for c in names})
+    out = _through(spark, wide, tmp_path, monkeypatch).collect()
+    fill = defaultdict(int)
+    for r in out:
+        fill[r["sequence_id"]] += r["length"]
+    assert out and max(fill.values()) <= SEQUENCE_IDS
+
+
+def test_an_empty_table_passes_all_stages(spark, empty, tmp_path, monkeypatch):
+    assert _through(spark, empty, tmp_path, monkeypatch).count() == 0

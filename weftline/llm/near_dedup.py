@@ -405,7 +405,8 @@ def near_classes(
     # buckets of two were settled by their star
     placed = members.where("n > 2").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
-    todo = cut(placed.join(mixed.select("bucket"), "bucket").select("bucket", "n", "v", "comp"))
+    # a table of its own, so that Spark can split a large bucket of the join
+    todo = cut(placed.join(cut(mixed.select("bucket")), "bucket").select("bucket", "n", "v", "comp"))
     if not todo.isEmpty():
         more = cut(_cross_links(todo, sigs, texts, similarity))
         if not more.isEmpty():

@@ -14,6 +14,7 @@ from weftline.llm.near_dedup import near_classes
 from weftline.llm.packing import pack
 from weftline.llm.quality import score_documents, train
 from weftline.llm.sharding import assign_shards
+from weftline.llm.sql import twins
 from weftline.llm.suffix_dedup import repeat_digests
 from weftline.sources import read_table
 
@@ -80,20 +81,4 @@ QUERIES = {
     for f in (op1_budgeted_windows, op2_cotrained_quality, op3_probminhash, op4_suffix_groups, op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
 }
 
-_SHARD_SQL = f"""
-WITH RECURSIVE rows AS (
-  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
-  FROM documents
-), tree(d, p, bytes) AS (
-  SELECT 0, 0::BIGINT, coalesce(sum(n_bytes), 0)::BIGINT FROM rows
-  UNION ALL
-  SELECT t.d + 1, r.h >> (60 - (t.d + 1)), sum(r.n_bytes)::BIGINT
-  FROM tree t JOIN rows r ON r.h >> (60 - t.d) = t.p
-  WHERE t.bytes > {SHARD_BYTES} AND t.d < 24 GROUP BY 1, 2
-)
-SELECT r.doc_id, r.n_bytes, t.d::INTEGER AS depth, t.d || '-' || t.p AS shard
-FROM rows r JOIN tree t ON t.bytes <= {SHARD_BYTES} AND r.h >> (60 - t.d) = t.p
-"""
-
-ORACLE_SQL = {"op5_extendible_sharding": _SHARD_SQL}
+ORACLE_SQL = twins(SHARD_BYTES)

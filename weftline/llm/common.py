@@ -26,18 +26,26 @@ def map_columns(
     fn: Callable[[dict[str, list]], dict[str, list]],
     schema: str | StructType,
     rows_at_once: int = 2000,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """Apply fn to the columns (as Python lists) of a few rows at a time; fn may return any number of rows."""
+    """Apply fn to the columns (as Python lists) of a few rows at a time; fn may return any number of rows.
+
+    done is called at the end of each partition.
+    """
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                out = fn(batch.slice(at, rows_at_once).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows_at_once):
+                    out = fn(batch.slice(at, rows_at_once).to_pydict())
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, fields)
 

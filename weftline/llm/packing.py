@@ -38,6 +38,7 @@ from weftline.llm.common import cut, map_columns, vocabulary
 
 END = (0).to_bytes(4, "little")
 CACHE_ENTRIES = 500_000  #: words that a worker keeps the ids of (about 100 bytes each)
+KEPT_ENTRIES = 100_000  #: words and parts that it keeps from one partition to the next
 GROUP_ROWS = 20_000  #: pieces that share a hash group when ranks are dealt
 
 # Words of Latin letters with ASCII punctuation after them; all others go through the whole tokenizer.
@@ -126,9 +127,15 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str,
                 out["ids_crc32"].append(zlib.crc32(part))
         return out
 
-    return map_columns(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, PIECE_SCHEMA, 500
-    )
+    def done() -> None:
+        """A worker lives on after its partition; it then keeps a small cache only."""
+        held = word_ids(tokenizer_path)
+        if len(held) + len(held.parts) > KEPT_ENTRIES:
+            held.clear()
+            held.parts.clear()
+
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_columns(named, run, PIECE_SCHEMA, 500, done)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:

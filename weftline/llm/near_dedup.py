@@ -333,9 +333,28 @@ class _Pairs:
     def links(self, sets_r: list[dict], sets_g: list[dict], similarity: float) -> list[tuple[int, int]]:
         """Links of promised pairs that the links before have not joined."""
         found = []
+        _, number = np.unique(np.concatenate([c["h"] for c in (*sets_r, *sets_g)]), return_inverse=True)
+        sizes = np.array([len(c["h"]) for c in (*sets_r, *sets_g)])
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        repeats = np.array([c["n"].max(initial=1) > 1 for c in (*sets_r, *sets_g)])
+        n = len(sets_r)
+        own = np.zeros(len(number) + 1, np.int64)  # by number: whether the guest has the shingle
         for k in range(len(self.ids_g)):
-            for m in self.here(k, self.promised(k)):
-                if self.comp_r[m] != self.comp_g[k] and similarity_of(sets_g[k], sets_r[m]) >= similarity - 1e-12:
+            at = self.here(k, self.promised(k))
+            if not len(at):
+                continue
+            mine = number[edges[n + k] : edges[n + k + 1]]
+            own[mine] = 1
+            shared = np.concatenate([[0], np.cumsum(own[number[: edges[n]]])])
+            own[mine] = 0
+            common = (shared[edges[1 : n + 1]] - shared[edges[:n]])[at]
+            plain = common / (sizes[at] + len(mine) - common)
+            for m, alike in zip(at, plain, strict=True):
+                if self.comp_r[m] == self.comp_g[k]:
+                    continue
+                if alike < similarity - 1e-12 and (repeats[m] or repeats[n + k]):
+                    alike = probability_jaccard(sets_g[k], sets_r[m])
+                if alike >= similarity - 1e-12:
                     found.append((int(self.ids_g[k]), int(self.ids_r[m])))
                     old, new = self.comp_r[m], self.comp_g[k]
                     self.comp_r[self.comp_r == old] = new

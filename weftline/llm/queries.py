@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.ann import search
 from weftline.llm.chat_format import format_windows, read_back
+from weftline.llm.lexical_search import lexical_search
 from weftline.llm.license_scan import scan_licenses
 from weftline.llm.media import media_features, texts_to_media
 from weftline.llm.mixing import plan_mix
 from weftline.llm.near_dedup import near_classes
 from weftline.llm.packing import pack
+from weftline.llm.periodic_runs import detect_runs, plant
 from weftline.llm.quality import score_documents, train
 from weftline.llm.sharding import assign_shards
 from weftline.llm.sql import twins
@@ -76,9 +78,20 @@ def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_runs(read_table(spark, sf_dir, "documents"), planted=plant, whole=False)
+
+
+def op13_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_budgeted_windows, op2_cotrained_quality, op3_probminhash, op4_suffix_groups, op5_extendible_sharding, op6_signature_sniffing, op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search)
-}
+    for f in (
+        op1_budgeted_windows, op2_cotrained_quality, op3_probminhash, op4_suffix_groups, op5_extendible_sharding, op6_signature_sniffing,
+        op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search, op12_word_runs, op13_wand_search,
+    )
+}
 
 ORACLE_SQL = twins(SHARD_BYTES)

@@ -48,6 +48,25 @@ SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n
 FROM docs d LEFT JOIN kept k ON k.rid = d.rid
 """
 
+#: A term's weight and a document's share of it are the query's own integers, so scores are equal to the last digit.
+RANKED = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS (SELECT rid, doc_id, w, len(w) AS n FROM docs WHERE len(w) > 0),
+figures AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS total FROM held),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+counts AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM held)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS wt
+    FROM (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY 1), figures),
+scores AS (SELECT q.item_id, c.rid, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // total))))::BIGINT AS score
+    FROM wanted q JOIN weights USING (term) JOIN counts c USING (term) JOIN held h ON h.rid = c.rid, figures GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (SELECT s.item_id, h.doc_id, score,
+    (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST))::INTEGER AS rank
+    FROM scores s JOIN held h ON h.rid = s.rid WHERE score > 0) WHERE rank <= 50
+"""
+
 
 def twins(shard_bytes: int) -> dict[str, str]:
     """By query; shard_bytes: the limit of a shard."""
@@ -66,4 +85,4 @@ WITH RECURSIVE rows AS (
 SELECT r.doc_id, r.n_bytes, t.d::INTEGER AS depth, t.d || '-' || t.p AS shard
 FROM rows r JOIN tree t ON t.bytes <= {shard_bytes} AND r.h >> (60 - t.d) = t.p
 """
-    return {"op3_probminhash": NEAR_CLASSES, "op4_suffix_groups": REPEATS, "op5_extendible_sharding": shards}
+    return {"op3_probminhash": NEAR_CLASSES, "op4_suffix_groups": REPEATS, "op5_extendible_sharding": shards, "op13_wand_search": RANKED}

@@ -18,6 +18,8 @@ from weftline.llm.quality import score_documents, train
 from weftline.llm.sharding import assign_shards
 from weftline.llm.sql import twins
 from weftline.llm.suffix_dedup import repeat_digests
+from weftline.llm.toxicity import score_toxicity
+from weftline.llm.toxicity import train as train_toxicity
 from weftline.sources import read_table
 
 SHARD_BYTES = 1 << 20  #: small enough that the smallest tables split too
@@ -78,6 +80,11 @@ def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
 
 
+def op11_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_runs(read_table(spark, sf_dir, "documents"), planted=plant, whole=False)
 
@@ -90,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_budgeted_windows, op2_cotrained_quality, op3_probminhash, op4_suffix_groups, op5_extendible_sharding, op6_signature_sniffing,
-        op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search, op12_word_runs, op13_wand_search,
+        op7_fuzzy_notices, op8_bin_completion, op9_pivotal_mixing, op10_anisotropic_search, op11_boosted_toxicity, op12_word_runs, op13_wand_search,
     )
 }
 

@@ -45,7 +45,8 @@ SECOND_PERSON = frozenset(
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_][^\s\w]*[\d@$!|+*._\-]+[^\s]*[^\W\d_]")  # letters with signs or digits between
+_TOKEN = re.compile(r"[\w@$!|+*.\-]+")
+_BETWEEN = re.compile(r"[^\W\d_][\d@$!|+*._\-]+[^\W\d_]")  # letters with signs or digits between
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SHOUTED = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 _PLAIN = str.maketrans("013457@$!|", "oieastasil", "*._-+")
@@ -79,10 +80,15 @@ def undone(token: str) -> str:
     return token.lower().translate(_PLAIN)
 
 
+def masked_tokens(text: str) -> list[str]:
+    """Tokens that have signs or digits between letters."""
+    return [t for t in _TOKEN.findall(text) if _BETWEEN.search(t)] if _BETWEEN.search(text) else []
+
+
 def keys_of(text: str | None) -> set[str]:
     """What a text has for a lexicon: =word and ^beginning."""
     words = set(_WORD.findall((text or "").lower()))
-    words |= {undone(t) for t in set(_MASKED.findall(text or ""))}
+    words |= {undone(t) for t in set(masked_tokens(text or ""))} - {""}
     return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in BEGINNINGS if k < len(w)}
 
 
@@ -104,7 +110,7 @@ def text_features(text: str | None, lexicon: Lexicon, cache: dict[str, tuple[flo
             hit[w] = found[0]
             whole += found[1] * counts[w]
     hits = sum(counts[w] for w in hit)
-    masked = _MASKED.findall(text)
+    masked = masked_tokens(text)
     masked_hits = sum(lexicon.weight(undone(t))[0] > 0 for t in masked)
     near, nearest, second = 0, 100.0, sum(counts[w] for w in SECOND_PERSON & counts.keys())
     if second and hit:

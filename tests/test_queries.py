@@ -27,7 +27,7 @@ def rows(dicts: list[dict]) -> list[tuple]:
     return sorted(tuple((k, str(r[k])) for k in sorted(r)) for r in dicts)
 
 
-@pytest.mark.parametrize("name", sorted(RUNS))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_its_twin(spark, duck, name):
     ours = RUNS[name](spark, SF).toArrow()
     cursor = duck.execute(SQL[name])

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from weftline.plans import io, relational, scalar, streams, udf
+    from weftline.plans import io, relational, scalar, streams, text, udf
 
-    return [relational, scalar, udf, io, streams]
+    return [relational, scalar, udf, io, streams, text]
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -13,6 +13,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Where the setting is missing, it lies in a folder of this process if all runs on this machine.
     """
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from that copy, which outlives a lost executor."""
+    _root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder from whatever file system holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getCheckpointDir()
     if root is None:
@@ -22,4 +38,4 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = root or tempfile.mkdtemp(prefix="weftline-")
         context.setCheckpointDir(root)
         root = context.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return root

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from weftline.operators.nearest import exact_nearest
 from weftline.operators.overlap import overlap
 from weftline.operators.pages import ADDRESS, TRACKING, canonical_pages, page_texts
 from weftline.plans.base import Catalog, Tables
@@ -55,3 +57,15 @@ def x_url_canonical(t: Tables) -> DataFrame:
 def x_page_text(t: Tables) -> DataFrame:
     """The text of pages without menus; no SQL twin, a plain parser checks it on all pages."""
     return page_texts(t.pages)
+
+
+@QUERIES.add(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+        FROM v q JOIN v c ON c.vec_id != q.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pairs)
+    WHERE rank <= 20"""
+)
+def x_exact_knn(t: Tables) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, exactly."""
+    return exact_nearest(t.embeddings, F.col("vec_id") % 20 == 0)

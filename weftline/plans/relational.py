@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import aggregates, joins, windows
+from weftline.operators import aggregates, graphs, joins, sampling, windows
 from weftline.plans.base import Catalog, Tables
 
 QUERIES = Catalog()
@@ -101,9 +101,56 @@ QUERIES.same_sql(
 )
 QUERIES.same_sql(
     "pf_recursive_cte",
-    """WITH RECURSIVE steps(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL
-    SELECT n + 1, total * 2 FROM steps WHERE n < 20) SELECT n, total FROM steps""",
+    """WITH RECURSIVE above(s_suppkey, boss, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL
+    SELECT s_suppkey, CAST(floor(boss / 10.0) AS BIGINT), level + 1 FROM above WHERE boss > 0)
+    SELECT s_suppkey, max(level) AS levels, sum(boss) AS bosses FROM above GROUP BY s_suppkey""",
+    """WITH RECURSIVE above(s_suppkey, boss, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL
+    SELECT s_suppkey, CAST(floor(boss / 10.0) AS BIGINT), level + 1 FROM above WHERE boss > 0)
+    SELECT s_suppkey, max(level) AS levels, sum(boss)::BIGINT AS bosses FROM above GROUP BY s_suppkey""",
 )
+
+#: Customers (the smaller key first) that have lines of the same part that were shipped on the same day.
+SHARED = """WITH RECURSIVE bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_shipdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    edges AS (SELECT DISTINCT x.c AS a, y.c AS b FROM bought x JOIN bought y ON x.p = y.p AND x.d = y.d AND x.c < y.c)"""
+
+
+def _shared(t: Tables) -> DataFrame:
+    """The edges of SHARED; the customers of a part and a day are few."""
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("a"))
+    bought = t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate").join(orders, "l_orderkey").drop("l_orderkey").distinct()
+    return bought.join(bought.withColumnRenamed("a", "b"), ["l_partkey", "l_shipdate"]).where("a < b").select("a", "b")
+
+
+@QUERIES.add(
+    f"""{SHARED}, reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+    SELECT a AS from_key, b AS to_key FROM reach"""
+)
+def pf_reachability(t: Tables) -> DataFrame:
+    """Recursion over data: customers that steps to larger keys lead to."""
+    return graphs.reachable(_shared(t)).select(F.col("a").alias("from_key"), F.col("b").alias("to_key"))
+
+
+@QUERIES.add(
+    f"""{SHARED}, ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a)
+    SELECT a AS c_custkey, min(b) AS root FROM reach GROUP BY a"""
+)
+def pf_components(t: Tables) -> DataFrame:
+    """The smallest customer of each customer's component."""
+    return graphs.components(_shared(t)).select(F.col("v").alias("c_custkey"), "root")
+
+
+@QUERIES.add(
+    """WITH keyed AS (SELECT o_orderpriority, o_orderkey, o_totalprice,
+        -ln((('0x' || substr(md5(o_orderkey::VARCHAR || ':7'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / o_totalprice AS k
+        FROM orders WHERE o_totalprice > 0)
+    SELECT o_orderpriority, o_orderkey, o_totalprice, place FROM (SELECT *,
+        (row_number() OVER (PARTITION BY o_orderpriority ORDER BY k, o_orderkey))::INTEGER AS place FROM keyed) WHERE place <= 100"""
+)
+def pf_weighted_sample(t: Tables) -> DataFrame:
+    """100 orders of each priority, by price and without replacement."""
+    rows = t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return sampling.weighted_sample(rows, ["o_orderpriority"], "o_orderkey", "o_totalprice", 100, seed=7)
 QUERIES.same_sql(
     "pf_null_safe_equality",
     """SELECT count(*) AS n FROM (SELECT nullif(p_size, 5) AS a FROM part) x

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.lines import remove_repeated_lines
 from weftline.operators.nearest import exact_nearest
 from weftline.operators.overlap import overlap
 from weftline.operators.pages import ADDRESS, TRACKING, canonical_pages, page_texts
@@ -69,3 +70,18 @@ def x_page_text(t: Tables) -> DataFrame:
 def x_exact_knn(t: Tables) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, exactly."""
     return exact_nearest(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
+@QUERIES.add(
+    r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT rid, doc_id, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(13)) AS bare
+        FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+    repeated AS (SELECT bare FROM l WHERE bare != '' GROUP BY bare HAVING count(DISTINCT rid) >= 5),
+    marked AS (SELECT *, bare IN (FROM repeated) AS gone FROM l)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+        md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_md5 FROM marked GROUP BY rid, doc_id"""
+)
+def x_repeated_lines(t: Tables) -> DataFrame:
+    """Documents without the lines that five or more of them hold."""
+    found = remove_repeated_lines(t.documents.select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))

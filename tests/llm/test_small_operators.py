@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import hashlib
 import io
+import math
 import random
 import struct
 import time
@@ -80,6 +82,20 @@ def test_written_shards_hold_every_row_as_often_as_it_occurs(spark, odd, tmp_pat
     assert per_shard == Counter(r["shard"] for r in plan.collect())
 
 
+def test_written_shards_keep_rows_that_differ_in_little(spark, tmp_path):
+    """Microseconds, the sign of zero, NaN, maps, nested nulls; names that differ from the folder's in case only."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "y" * 50, at + dt.timedelta(microseconds=k), 0.0, {"a": k % 2}, (None, [k])) for k in range(5)]
+    rows += [(1, "y" * 50, at, x, {"a": None}, None) for x in (0.0, -0.0, float("nan"), None)] * 2
+    schema = "doc_id long, text string, at timestamp_ntz, x double, m map<string, int>, s struct<a: int, b: array<int>>"
+    docs = spark.createDataFrame(rows, schema).withColumn("Shard", F.lit(1)).withColumn("ROW", F.lit(2)).withColumn("held", F.lit(3))
+    write_shards(docs.repartition(2), f"{tmp_path}/out", 120)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == [*docs.columns, "_shard"]
+    assert Counter(str(tuple(r)) for r in back.drop("_shard").collect()) == Counter(str(tuple(r)) for r in docs.collect())
+    assert Counter(math.copysign(1, r["x"]) for r in back.collect() if r["x"] == 0) == {1.0: 7, -1.0: 2}
+
+
 # media
 
 
@@ -328,6 +344,16 @@ def test_without_limits_the_packing_is_optimal(seed):
     assert limited["lower_bound"] <= fewest_bins(sizes, capacity) <= limited["sequences"]
 
 
+def test_packing_meets_the_lower_bound_of_the_tables(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    lengths = packing.cut_pieces(docs, tokenizer_file(), 2048, "doc_id", "text").groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in lengths}
+    first = packing.packing_report(counts, packing.pack_histogram(counts, 2048, *packing.WIDTHS[0]), 2048)
+    best = packing.packing_report(counts, packing.search(counts, 2048), 2048)
+    assert first == {"sequences": 443, "lower_bound": 442} and best == {"sequences": 442, "lower_bound": 442}
+    assert packing.search({}, 2048) == []
+
+
 def test_every_undominated_filling_is_enumerated():
     assert packing.all_completions(10, {7: 1, 5: 2, 3: 1, 2: 2}) == [(7, 3), (5, 5)]
     assert packing.all_completions(4, {5: 1}) == [()] and packing.all_completions(6, {3: 1, 2: 5}) == [(2, 2, 2), (3, 2)]

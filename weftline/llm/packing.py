@@ -7,9 +7,10 @@ and applies one as often as the counts allow. Taking the best fit each time give
 solution. Branch and bound then tries the other fillings, and leaves a branch as soon as its
 waste exceeds what a solution with one sequence fewer could afford. It ends when the number of
 sequences equals the lower bound or when its limits, `breadth` fillings a node and `nodes`, are
-spent. Without limits (None) it enumerates every undominated filling, decides on one sequence at a
-time and never gives up a branch that could improve, so the result is optimal; that is for small
-histograms. `packing_report` says how far a solution is from the lower bound.
+spent. While the lower bound isn't met, the search starts anew with more fillings a node (WIDTHS), and the
+best solution of all counts. Without limits (None) it enumerates every undominated filling, decides on
+one sequence at a time and never gives up a branch that could improve, so the result is optimal; that is
+for small histograms. `packing_report` says how far a solution is from the lower bound.
 
 The solution is a list of slots: ranks a..b of length s go to sequences c.. at offset d. Pieces
 get their rank within their length from counts by hash group, so no length, however common, is
@@ -39,6 +40,7 @@ from weftline.llm.common import cut, map_columns, vocabulary
 END = (0).to_bytes(4, "little")
 CACHE_ENTRIES = 500_000  #: words that a worker keeps the ids of (about 100 bytes each)
 KEPT_ENTRIES = 100_000  #: words and parts that it keeps from one partition to the next
+WIDTHS = ((6, 100), (40, 500), (160, 50))  #: fillings a node and nodes, one search after the other until the lower bound is met
 GROUP_ROWS = 20_000  #: pieces that share a hash group when ranks are dealt
 
 # Words of Latin letters with ASCII punctuation after them; all others go through the whole tokenizer.
@@ -301,6 +303,21 @@ def pack_histogram(
     return best or []
 
 
+def search(
+    counts: dict[int, int], capacity: int, widths: tuple[tuple[int | None, int | None], ...] = WIDTHS
+) -> list[tuple[tuple[int, ...], int]]:
+    """The best solution of searches that get wider until one meets the lower bound."""
+    best: list[tuple[tuple[int, ...], int]] = []
+    for breadth, nodes in widths if counts else ():
+        found = pack_histogram(counts, capacity, breadth, nodes)
+        if not best or packing_report(counts, found, capacity)["sequences"] < packing_report(counts, best, capacity)["sequences"]:
+            best = found
+        report = packing_report(counts, best, capacity)
+        if report["sequences"] == report["lower_bound"]:
+            break
+    return best
+
+
 def packing_report(counts: dict[int, int], solution: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, int]:
     """Sequences of a solution and the fewest that any packing needs by the lower bound."""
     return {"sequences": sum(n for _, n in solution), "lower_bound": lower_bound(counts, capacity) if counts else 0}
@@ -328,10 +345,12 @@ def pack(
     capacity: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
-    nodes: int | None = 2000,
-    breadth: int | None = 6,
+    widths: tuple[tuple[int | None, int | None], ...] = WIDTHS,
 ) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    widths: fillings a node and nodes of the searches, ((None, None),) for an exhaustive one.
+    """
     pieces = cut(
         cut_pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn(
             "row", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
@@ -339,7 +358,7 @@ def pack(
     )
     by_length = pieces.groupBy("length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_length.collect()}  # at most `capacity` rows
-    slots = slots_of(pack_histogram(counts, capacity, breadth, nodes))
+    slots = slots_of(search(counts, capacity, widths))
 
     groups = 1 + sum(counts.values()) // GROUP_ROWS
     grouped = pieces.withColumn("g", F.pmod("row", F.lit(groups)))

@@ -78,20 +78,19 @@ def assign_shards(
     docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: doc_id, n_bytes, depth (hash bits of its shard), shard (string)."""
-    return _assign(docs, limit_bytes, id_col, text_col, F.lit(None).cast("string")).drop("content")
+    return _assign(docs, limit_bytes, id_col, text_col, F.monotonically_increasing_id()).drop("row")
 
 
-def _assign(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str, content: Column) -> DataFrame:
-    """The assignment with one more column, content."""
+def _assign(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """The assignment with one more column, the number of the row."""
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            content.alias("content"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
             F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10)
             .cast("long")
             .alias("h"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
         )
     )
     done: list[DataFrame] = []
@@ -113,7 +112,7 @@ def _assign(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str, conte
         rows, start = found.where("depth is null").drop("depth"), depth + 1
         if depth == BITS:
             start = BITS
-    columns = ["doc_id", "content", "n_bytes", "h", "depth", "page"]
+    columns = ["doc_id", "row", "n_bytes", "h", "depth", "page"]
     if not done:
         done = [rows.withColumn("depth", F.lit(0)).withColumn("page", F.lit(None).cast("string"))]
     out = done[0].select(*columns)
@@ -122,25 +121,29 @@ def _assign(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str, conte
     name = F.concat_ws(
         "-", F.col("depth").cast("string"), _prefix("depth").cast("string"), F.col("page")
     )
-    return out.select("doc_id", "content", "n_bytes", F.col("depth").cast("int").alias("depth"), name.alias("shard"))
+    return out.select("doc_id", "row", "n_bytes", F.col("depth").cast("int").alias("depth"), name.alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents as Parquet, one folder a shard; returns the assignment.
 
-    A row is known by its id and a digest of all its columns. Rows alike in both are one row that is
-    written once for each of their places in the assignment.
+    The rows are numbered and kept, with their numbers, in the shared folder until they are written, so each
+    row goes to its own place, whatever types its columns have and however alike rows are. The folders'
+    column is `shard`, with as many underscores in front as no column of the documents has, in any case.
     """
-    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
-    plan = cut(_assign(docs, limit_bytes, id_col, text_col, content))
+    held = docs.columns
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in held]).alias("held"),
+    )
+    kept = cut(numbered)
+    plan = cut(_assign(kept, limit_bytes, "id", "text", F.col("row")))
     folder = "shard"
-    while folder in docs.columns:
+    while folder in {c.lower() for c in held}:
         folder = "_" + folder
-    held = docs.columns
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), content.alias("content"), F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"))
-    one = rows.groupBy("id", "content").agg(F.first("row").alias("row"))
-    places = plan.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "shard")
-    met = one.join(places, F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
-    columns = [F.col("row").getField(c).alias(c) for c in held]
-    met.repartition("shard").select(*columns, F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
-    return plan.drop("content")
+    columns = [F.col("held").getField(c).alias(c) for c in held]
+    placed = kept.join(plan.select("row", "shard"), "row").repartition("shard")
+    placed.select(*columns, F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return plan.drop("row")

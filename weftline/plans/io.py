@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.base import Catalog, Tables
-from weftline.sources import formats
+from weftline.sources import formats, log_source
 from weftline.sources.folders import shared_folder
-from weftline.sources.sequence_source import Squares
 
 QUERIES = Catalog()
 
@@ -47,7 +46,11 @@ def io_bucketed_join(t: Tables) -> DataFrame:
     return customers.hint("merge").join(orders, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@QUERIES.add("SELECT range AS k, range * range AS square FROM range(1000)")
+@QUERIES.add("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND event_id >= 100 AND value > 0.5")
 def io_python_source(t: Tables) -> DataFrame:
-    t.spark.dataSource.register(Squares)
-    return t.spark.read.format("squares").option("n", 1000).option("parts", 4).load()
+    """Events through a Python source: two commits, read back with the filters that the source takes."""
+    path = shared_folder(t.spark, "log")
+    for k in (0, 1):
+        log_source.write_log(t.events.where(F.col("event_id") % 2 == k), path)
+    rows = log_source.read_log(t.spark, path, t.events.schema)
+    return rows.where("event_type = 'click' AND event_id >= 100 AND value > 0.5").select("event_id", "user_id", "value")

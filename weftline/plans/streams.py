@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.base import Catalog, Tables
+from weftline.sources import log_source
+from weftline.sources.folders import shared_folder
 from weftline.streaming import events as ev
 
 QUERIES = Catalog()
@@ -142,3 +144,13 @@ def st_state_processor(t: Tables) -> DataFrame:
     finally:
         t.spark.conf.set(key, before)
     return totals.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("most", "n").alias("most"))
+
+
+@QUERIES.add("SELECT event_id, user_id, ts, value FROM events WHERE user_id % 3 = 1")
+def st_python_source(t: Tables) -> DataFrame:
+    """Commits of a Python source as a stream."""
+    path = shared_folder(t.spark, "log")
+    for k in range(3):
+        log_source.write_log(t.events.where(F.col("event_id") % 3 == k), path)
+    rows = log_source.stream_log(t.spark, path, t.events.schema)
+    return ev.run_appending(rows.where("user_id % 3 = 1").select("event_id", "user_id", "ts", "value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,20 +56,39 @@ def _type(df: DataFrame, column: Column) -> str:
     return df.select(column.alias("x")).schema["x"].dataType.simpleString()
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float | None = None) -> DataFrame:
     """Point rows with every range row that has low <= at <= high.
 
-    Ranges are dealt to bins of the given width (choose about a range's usual length), points fall
-    into one bin, and bins are an equality condition; without them Spark compares all pairs.
+    Bins have sizes that are powers of two, and a range is dealt to bins of about its own width, of which
+    it meets three at most, so one very wide range is three rows. A point falls into one bin of each size
+    that ranges have (a short list, which the driver looks up), and size and bin are an equality
+    condition; without them Spark compares all pairs. width: no bins below this size, for fewer sizes.
+
+    Rows with a null, NaN or infinite end match nothing here, nor do points of such values.
     """
-    binned = ranges.where(F.col(low) <= F.col(high)).withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    )
+
+    def level_of(size: Column) -> Column:
+        return F.floor(F.log2(size)).cast("int")
+
+    a, b = F.col(low).cast("double"), F.col(high).cast("double")
+    real = F.lit(float("inf"))
+    kept = ranges.where((F.col(low) <= F.col(high)) & (F.abs(a) < real) & (F.abs(b) < real))
+    # a size far below the numbers themselves would have bins beyond a whole number
+    least = F.greatest(level_of(F.greatest(F.abs(a), F.abs(b), F.lit(1e-300))) - 40, F.lit(-1000))
+    if width:
+        least = F.greatest(least, F.lit(math.floor(math.log2(width))))
+    sized = kept.withColumn("_level", F.greatest(least, F.when(b > a, level_of(b - a)).otherwise(least)))
+    scale = F.pow(F.lit(2.0), F.col("_level"))
+    binned = sized.withColumn("_bin", F.explode(F.sequence(F.floor(a / scale), F.floor(b / scale))))
+    levels = sorted(r["_level"] for r in sized.select("_level").distinct().collect())  # at most some 2000
+    place = F.col(at).cast("double")
+    spread = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    inside = spread.where(F.abs(place) / F.pow(F.lit(2.0), F.col("_level")) < 2.0**62)
     return (
-        points.withColumn("_bin", F.floor(F.col(at) / width))
-        .join(binned, "_bin")
+        inside.withColumn("_bin", F.floor(place / F.pow(F.lit(2.0), F.col("_level"))))
+        .join(binned, ["_level", "_bin"])
         .where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
-        .drop("_bin")
+        .drop("_level", "_bin")
     )
 
 

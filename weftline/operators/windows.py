@@ -36,7 +36,7 @@ def groups_frame_sum(df: DataFrame, by: list[str], order: str, value: str, befor
 
 def _same(df: DataFrame, columns: list[str]) -> Column:
     """Null-safe equality of columns with those of another frame that have an underscore in front."""
-    return functools.reduce(operator.and_, [df[c].eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return functools.reduce(operator.and_, [df[c].eqNullSafe(F.col(f"_{c}")) for c in columns], F.lit(True))
 
 
 def with_positions(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def rows_frame(
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Exact percentiles of each group; wanted: name to ("cont" or "disc", share). Nulls don't count.
+    """Exact percentiles of each group; wanted: name to ("cont" or "disc", share). Nulls don't count; a group of nulls has null.
 
     The rows at the places that the shares fall on are picked out of the numbered rows, so no group's
     values meet in one task.
@@ -89,7 +89,9 @@ def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tupl
         part = at - low
         weight = F.when(low == high, F.when(F.col("_pos") == low, 1.0)).when(F.col("_pos") == low, 1 - part).when(F.col("_pos") == high, part)
         out.append(F.sum(F.col(value) * weight).alias(name))
-    return rows.groupBy(*by).agg(*out)
+    found = rows.groupBy(*by).agg(*out).select(*[F.col(c).alias(f"_{c}") for c in by], *wanted)
+    groups = df.select(*by).distinct()
+    return groups.join(found, _same(groups, by), "left").select(*by, *wanted) if by else found
 
 
 def exclude_current(total: Column, own: Column) -> Column:

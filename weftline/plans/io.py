@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.base import Catalog, Tables
-from weftline.sources import formats, log_source
+from weftline.sources import formats, jdbc, log_source
 from weftline.sources.folders import shared_folder
 
 QUERIES = Catalog()
@@ -54,3 +54,13 @@ def io_python_source(t: Tables) -> DataFrame:
         log_source.write_log(t.events.where(F.col("event_id") % 2 == k), path)
     rows = log_source.read_log(t.spark, path, t.events.schema)
     return rows.where("event_type = 'click' AND event_id >= 100 AND value > 0.5").select("event_id", "user_id", "value")
+
+
+@QUERIES.add("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AND c_custkey >= 10")
+def io_jdbc(t: Tables) -> DataFrame:
+    """Customers written to a database and read back in parts, with the filters in the database."""
+    url, driver = jdbc.database(t.spark)
+    table = f"customer_{uuid.uuid4().hex}"
+    jdbc.write_jdbc(t.customer, url, table, "c_name VARCHAR(100), c_mktsegment VARCHAR(20)", driver)
+    rows = jdbc.read_jdbc(t.spark, url, table, "c_custkey", jdbc.ends(t.customer, "c_custkey"), 4, driver)
+    return rows.where("c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AND c_custkey >= 10").select("c_custkey", "c_name", "c_acctbal")

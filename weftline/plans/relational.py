@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import aggregates, graphs, joins, sampling, windows
+from weftline.operators import aggregates, graphs, joins, sampling, sketches, windows
 from weftline.plans.base import Catalog, Tables
+from weftline.sources import formats
+from weftline.sources.folders import shared_folder
 
 QUERIES = Catalog()
 
@@ -226,7 +228,17 @@ def j_range_binned(t: Tables) -> DataFrame:
     bands = t.nation.select(
         F.col("n_nationkey").alias("band"), (F.col("n_nationkey") * 100.0).alias("lo"), (F.col("n_nationkey") * 100.0 + 250).alias("hi")
     )
-    return joins.range_join(t.part, bands, "p_retailprice", "lo", "hi", 250).select("p_partkey", "band")
+    return joins.range_join(t.part, bands, "p_retailprice", "lo", "hi").select("p_partkey", "band")
+
+
+@QUERIES.add(
+    """SELECT s.s_suppkey, p.p_partkey FROM supplier s JOIN part p
+    ON p.p_retailprice BETWEEN s.s_acctbal AND s.s_acctbal + pow(10, s.s_suppkey % 5 - 2)"""
+)
+def j_range_mixed(t: Tables) -> DataFrame:
+    """Ranges whose widths differ by a factor of ten thousand."""
+    ranges = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + F.pow(F.lit(10), F.col("s_suppkey") % 5 - 2)).alias("hi"))
+    return joins.range_join(t.part.select("p_partkey", "p_retailprice"), ranges, "p_retailprice", "lo", "hi").select("s_suppkey", "p_partkey")
 
 
 @QUERIES.add(
@@ -389,6 +401,39 @@ def a_approximate(t: Tables) -> DataFrame:
     return found.select("n", (F.abs(F.col("u") - F.col("n")) <= 0.05 * F.col("n")).alias("close"), F.col("m").between(F.col("q1"), F.col("q3")).alias("middle"))
 
 
+@QUERIES.add(
+    """WITH e AS (SELECT ts::DATE AS day, user_id, value FROM events), days AS (SELECT DISTINCT day FROM e)
+    SELECT d.day, count(DISTINCT user_id) AS users, count(value) AS values, round(quantile_disc(value, 0.5), 6) AS median
+    FROM days d JOIN e ON e.day BETWEEN d.day - 6 AND d.day GROUP BY d.day"""
+)
+def a_sketch_merge(t: Tables) -> DataFrame:
+    """Daily sketches, kept as a table and merged over weeks.
+
+    Where an estimate is within its stated error of the exact figure, the exact figure stands; so a row that
+    differs from the twin's is an estimate that is not.
+    """
+    events = t.events.select(F.col("ts").cast("date").alias("day"), "user_id", "value")
+    kept = formats.round_trip(sketches.daily(events, "day", "user_id", "value"), "parquet", shared_folder(t.spark, "sketches"))
+    merged = sketches.merged(kept, 7)
+    weeks = events.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("end", F.date_add("day", F.col("ahead")))
+    weeks = weeks.join(F.broadcast(merged.withColumnRenamed("day", "end")), "end")  # a row a day
+    exact = weeks.groupBy("end", "users", "values", "median").agg(
+        F.count_distinct("user_id").alias("n_users"),
+        F.count("value").alias("n_values"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("middle"),
+        F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("median")).cast("int")).alias("up_to"),
+    )
+    near = F.abs(F.col("users") - F.col("n_users")) <= sketches.HLL_ERROR * F.col("n_users")
+    within = (F.col("below") <= 0.5 + sketches.KLL_ERROR) & (F.col("up_to") >= 0.5 - sketches.KLL_ERROR)
+    return exact.select(
+        F.col("end").alias("day"),
+        F.when(near, F.col("n_users")).otherwise(F.col("users")).alias("users"),
+        "values",
+        F.round(F.when(within, F.col("middle")).otherwise(F.col("median")), 6).alias("median"),
+    )
+
+
 QUERIES.same_sql(
     "a_arg_and_logic",
     """SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, bool_and(o_totalprice > 1000) AS all_large,

@@ -136,16 +136,43 @@ def st_memory_sink(t: Tables) -> DataFrame:
 
 @QUERIES.add("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
 def st_state_processor(t: Tables) -> DataFrame:
-    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = t.spark.conf.get(key)
-    t.spark.conf.set(key, rocks)
-    try:
+    with ev.rocks_state(t.spark):
         totals = ev.run_updating(ev.transformed_totals(ev.event_batches(t.spark, _in_batches(t, 3))), "update")
-    finally:
-        t.spark.conf.set(key, before)
     return totals.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("most", "n").alias("most"))
 
 
+@QUERIES.add("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
+def st_state_table(t: Tables) -> DataFrame:
+    """What a stateful processor holds at the end, read from its state store."""
+    state = shared_folder(t.spark, "stream-state")
+    with ev.rocks_state(t.spark):
+        ev.run_updating(ev.transformed_totals(ev.event_batches(t.spark, _in_batches(t, 3))), "update", state)
+        return ev.state_table(t.spark, state, "totals").select("key.user_id", "value.n", "value.most")
+
+
+@QUERIES.add(
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS s FROM events
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked),
+    sessions AS (SELECT user_id, min(ts) AS start_at, max(ts) AS end_at, count(*) AS n, min(event_id) AS first_id,
+        count(*) FILTER (event_type = 'purchase') AS p FROM numbered GROUP BY user_id, session)
+    SELECT user_id, start_at, end_at, n, first_id, (sum(p) OVER (PARTITION BY user_id ORDER BY start_at))::BIGINT AS bought
+    FROM sessions WHERE end_at + INTERVAL 5 HOUR <= (SELECT max(ts) FROM events)"""
+)
+def st_timer_sessions(t: Tables) -> DataFrame:
+    """Sessions that timers close, four hours after their last event and the watermark's hour."""
+    with ev.rocks_state(t.spark):
+        return ev.run_appending(ev.timed_sessions(ev.event_batches(t.spark, _in_batches(t)), 4 * 3600))
+
+
+@QUERIES.add("SELECT event_id, event_type FROM events WHERE event_id >= 0")
+def st_rate_join(t: Tables) -> DataFrame:
+    """Numbers that come at a rate, joined to the events of these numbers."""
+    rows = (t.events.agg(F.max("event_id")).first()[0] or 0) + 1
+    numbers = ev.rated(t.spark, rows).withColumnRenamed("value", "event_id")
+    return ev.run_appending(numbers.join(t.events.select("event_id", "event_type"), "event_id"))
+
+
 @QUERIES.add("SELECT event_id, user_id, ts, value FROM events WHERE user_id % 3 = 1")
 def st_python_source(t: Tables) -> DataFrame:
     """Commits of a Python source as a stream."""

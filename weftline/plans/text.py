@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.fingerprints import GAPS, MARKED, MARKS, PLAIN, fingerprints
 from weftline.operators.lines import remove_repeated_lines
 from weftline.operators.nearest import exact_nearest
 from weftline.operators.overlap import overlap
@@ -85,3 +86,17 @@ def x_repeated_lines(t: Tables) -> DataFrame:
     """Documents without the lines that five or more of them hold."""
     found = remove_repeated_lines(t.documents.select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+@QUERIES.add(
+    rf"""WITH folded AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(translate(translate(text, '{MARKED}', '{PLAIN}'),
+        (SELECT string_agg(chr((65281 + k)::INTEGER), '' ORDER BY k) FROM range(94) r(k)), (SELECT string_agg(chr((33 + k)::INTEGER), '' ORDER BY k) FROM range(94) r(k)))),
+        '{MARKS}', '', 'g'), '{GAPS}', ' ', 'g'), ' ') AS words FROM documents),
+    made AS (SELECT doc_id, md5(text) AS text_md5, md5(CASE WHEN words != '' THEN words ELSE chr(1) || text END) AS words_md5 FROM folded)
+    SELECT doc_id, text_md5, CASE WHEN text_md5 IS NOT NULL THEN min(doc_id) OVER (PARTITION BY text_md5) END AS exact_id, words_md5,
+        CASE WHEN words_md5 IS NOT NULL THEN min(doc_id) OVER (PARTITION BY words_md5) END AS class_id,
+        CASE WHEN words_md5 IS NOT NULL THEN count(*) OVER (PARTITION BY words_md5) ELSE 0 END AS n_same FROM made"""
+)
+def x_fingerprints(t: Tables) -> DataFrame:
+    """Documents with the same text, and with the same words whatever their case, accents and punctuation."""
+    return fingerprints(t.documents)

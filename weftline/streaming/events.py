@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -56,10 +57,27 @@ def run_appending(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_updating(stream: DataFrame, mode: str = "complete") -> DataFrame:
+@contextlib.contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """RocksDB as the state store of the streams that start inside, which stateful processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def state_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A value state of a stateful processor as a table of key and value, from the folder of a stream's state."""
+    return spark.read.format("statestore").option("path", folder).option("stateVarName", name).load().select("key", "value")
+
+
+def run_updating(stream: DataFrame, mode: str = "complete", state: str | None = None) -> DataFrame:
     """Run over all input there is; each batch's result replaces the table (complete) or adds to it (update).
 
-    A batch that is run again writes over what it wrote before.
+    A batch that is run again writes over what it wrote before. state: a folder for the stream's state.
     """
     spark = stream.sparkSession
     path = shared_folder(spark, "stream-out")
@@ -69,7 +87,7 @@ def run_updating(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = (
         stream.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", shared_folder(spark, "stream-state"))
+        .option("checkpointLocation", state or shared_folder(spark, "stream-state"))
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()
@@ -106,6 +124,80 @@ def running_totals(stream: DataFrame) -> DataFrame:
     )
 
 
+def rated(spark: SparkSession, rows: int, parts: int = 4) -> DataFrame:
+    """Numbers from 0 on as they come at a rate, `rows` a batch: column value."""
+    source = spark.readStream.format("rate-micro-batch").options(rowsPerBatch=rows, numPartitions=parts)
+    return source.load().select("value")
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a key's events, closed by event-time timers.
+
+    A list holds the events of sessions that may still grow, a map the purchases of closed ones by the
+    key's type of event. A timer is set to the gap after the earliest session; when the watermark passes it, all
+    sessions that ended a gap before are given out, in order, and the next one gets its own timer. So events
+    may come in any order within the watermark.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "at long, event_id long, event_type string")
+        self.closed = handle.getMapState("closed", "event_type string", "n long")
+
+    def split(self) -> list[list[tuple]]:
+        """The sessions of the events that wait, in order."""
+        sessions: list[list[tuple]] = []
+        for event in sorted(self.open.get()):
+            if not sessions or event[0] - sessions[-1][-1][0] > self.gap * 1000:
+                sessions.append([])
+            sessions[-1].append(event)
+        return sessions
+
+    def ends(self, session: list[tuple]) -> int:
+        """When no event can belong to a session any more, in milliseconds."""
+        return session[-1][0] // 1000 + self.gap + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.open.appendList(list(zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)))
+        self.handle.registerTimer(self.ends(self.split()[0]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        sessions = self.split()
+        while sessions and self.ends(sessions[0]) <= mark:
+            own = sessions.pop(0)
+            for _, _, kind in own:
+                before = self.closed.getValue((kind,))[0] if self.closed.containsKey((kind,)) else 0
+                self.closed.updateValue((kind,), (before + 1,))
+            bought = self.closed.getValue(("purchase",))[0] if self.closed.containsKey(("purchase",)) else 0
+            out.append((key[0], own[0][0], own[-1][0], len(own), own[0][1], bought))
+        if sessions:
+            self.open.put([event for own in sessions for event in own])
+            self.handle.registerTimer(self.ends(sessions[0]))
+        else:
+            self.open.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "first_at", "last_at", "n", "first_id", "bought"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(stream: DataFrame, gap_seconds: int) -> DataFrame:
+    """user_id, start_at, end_at, n, first_id, bought (the user's purchases so far) of closed sessions."""
+    events = stream.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    found = events.groupBy("user_id").transformWithStateInPandas(
+        Sessions(gap_seconds * 1000), "user_id long, first_at long, last_at long, n long, first_id long, bought long", outputMode="Append", timeMode="EventTime"
+    )
+    times = [F.timestamp_micros(f"{c}_at").cast("timestamp_ntz").alias(n) for c, n in (("first", "start_at"), ("last", "end_at"))]
+    return found.select("user_id", *times, "n", "first_id", "bought")
+
+
 class Totals(StatefulProcessor):
     """Per key the number of events and the largest value so far."""
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import near_dedup
 from weftline.llm.near_dedup import COMPONENTS, PROMISING, WORDS, keep_one, near_classes, normal, shingles, signatures, similarity_of
@@ -156,3 +157,12 @@ def test_keep_one_keeps_other_columns(spark, odd, empty):
     want = {c for i, c in classes(odd).items() if i == c}
     assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want)
     assert near_classes(empty).count() == 0 and keep_one(empty, near_classes(empty)).count() == 0
+
+
+def test_keep_one_makes_the_same_choice_again(spark):
+    rows = [(5, t, "en", s, n) for t in ("b b", "a a", "a a") for s in ("x", None) for n in (3, 2)] + [(7, "c", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    for n in (1, 4):
+        dealt = df.repartition(n)
+        got = [tuple(r)[:5] for r in keep_one(dealt, near_classes(dealt)).orderBy("doc_id").collect()]
+        assert got == [(5, "a a", "en", "x", 2), (7, "c", None, None, None)]

@@ -127,6 +127,48 @@ def test_values_full_of_magic_bytes_cost_their_length():
     assert time.monotonic() - begin < 30
 
 
+def plain_riff(b, at):
+    end, form = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), b[at + 8 : at + 12]
+    if len(b) < at + 12 or end > len(b) or form not in (b"WAVE", b"WEBP"):
+        return None
+    p, seen = at + 12, []
+    while p + 8 <= end:
+        seen.append(b[p : p + 4])
+        n = int.from_bytes(b[p + 4 : p + 8], "little")
+        p += 8 + n + n % 2
+    if p not in (end, end + 1):
+        return None
+    if form == b"WEBP":
+        return end if seen and seen[0] in (b"VP8 ", b"VP8L", b"VP8X") else None
+    return end if b"fmt " in seen and b"data" in seen and seen.index(b"fmt ") < seen.index(b"data") else None
+
+
+def test_chains_of_chunks_equal_walking_them():
+    rng, good = random.Random(1), 0
+    for _ in range(1500):
+        b = bytearray()
+        for _ in range(rng.randint(1, 12)):
+            n = rng.choice([0, 1, 2, 4, 12, 20])
+            head = b"RIFF" + rng.choice([4, 12, 13, 20, 28, 36, 44, 60, 100]).to_bytes(4, "little") + rng.choice([b"WAVE", b"WEBP", b"XXXX"])
+            chunk = rng.choice([b"fmt ", b"data", b"VP8 ", b"abcd"]) + n.to_bytes(4, "little") + bytes(rng.choice([n, n + n % 2]))
+            b += head if rng.random() < 0.4 else chunk
+        value = media.Value(bytes(b))
+        places = [m for m in range(len(b)) if b[m : m + 4] == b"RIFF"]
+        rng.shuffle(places)
+        for at in places:
+            want = plain_riff(value.raw, at)
+            assert media._riff(value, at) == want
+            good += want is not None
+    assert good > 5
+
+
+def test_a_long_chain_with_a_header_in_each_chunk_takes_little_time():
+    n = 1_000_000 // 20
+    unit = [b"abcd" + (12).to_bytes(4, "little") + b"RIFF" + (20 * (n - i) - 16).to_bytes(4, "little") + b"WAVE" for i in range(n)]
+    begin = time.monotonic()
+    assert media.sniff(b"".join(unit)) == [] and time.monotonic() - begin < 5
+
+
 def test_checksums_of_parts_equal_zlib():
     rng = random.Random(3)
     value = media.Value(rng.randbytes(60_000))
@@ -541,6 +583,16 @@ def test_repeated_rows_count_once(spark):
     assert any(j == 206 for near in got.values() for _, j in near)
 
 
+def test_exact_search_loses_nothing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(900)]  # no clusters: some neighbours lie in cells that a search would not probe
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in search(df, F.expr("vec_id % 20 = 0"), k=9, rows_a_cell=20, coverage=0.3, rerank=1, exact=True).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {i: [j for _, j in near] for i, near in brute_nearest(rows, 9).items()}
+
+
 def test_few_candidates_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], schema)

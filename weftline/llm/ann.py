@@ -261,8 +261,9 @@ def _answers(index, dims: int, k: int, rerank: int):
         by_cell = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
         keep = min(rerank, len(x))
         out_q, out_s, out_rows = [], [], []
-        for a in range(0, asks.num_rows, AT_ONCE):
-            part = asks.slice(a, AT_ONCE)
+        step = max(1, AT_ONCE * 256 // max(256, keep))  # as many products at once, however many are kept
+        for a in range(0, asks.num_rows, step):
+            part = asks.slice(a, step)
             q, probing = _matrix(part.column("v"), dims), part.column("probes")
             wanted = probing.flatten().to_numpy()
             who = np.repeat(np.arange(len(q)), probing.value_lengths().to_numpy())
@@ -314,11 +315,13 @@ def search(
     coverage: float = 0.97,
     rerank: int = 200,
     sample_rows: int = 20_000,
+    exact: bool = False,
 ) -> DataFrame:
     """For each row that `queries` (a condition on the id, named vec_id) selects: its k nearest other rows.
 
     coverage: the part of the true neighbours that the probed cells must hold, and as many the
-    reranked candidates, measured on the sample; rerank: candidates of a block at least.
+    reranked candidates, measured on the sample; rerank: candidates of a block at least. exact: all cells
+    are probed and all their vectors reranked, so nothing is lost, at the cost of comparing all.
     Columns: query_id, rank, vec_id, score.
     """
     spark = table.sparkSession
@@ -346,7 +349,7 @@ def search(
     )
     fitted = fit(sample, max(1, min(round(math.sqrt(n_entries)), n_entries // rows_a_cell)))
     lay_out(fitted, fitted.cell(sample), n_entries)
-    fitted.probes, share = measure(fitted, sample, k, coverage)
+    fitted.probes, share = (len(fitted.coarse) * len(fitted.fine), 1.0) if exact else measure(fitted, sample, k, coverage)
     index = spark.sparkContext.broadcast(fitted)
 
     vectors = entries.mapInArrow(_index_rows(index, dims), f"block long, cell int, codes binary, v array<{kind}>, ids array<bigint>")
@@ -362,7 +365,7 @@ def search(
     met = (
         both.repartition("block")
         .sortWithinPartitions("block", "asks")
-        .mapInArrow(_answers(index, dims, k, max(rerank, math.ceil(share * BLOCK))), "qid bigint, score double, ids array<bigint>")
+        .mapInArrow(_answers(index, dims, k, n_entries if exact else max(rerank, math.ceil(share * BLOCK))), "qid bigint, score double, ids array<bigint>")
     )
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0]))
     found = met.withColumn("n", first).where(F.col("n") <= k + 1).select("qid", "score", "ids")

@@ -6,8 +6,9 @@ counts for nothing. The medium at the start gives the value's type, whatever typ
 media that start later, inside or after it, are carved with their place and length.
 
 Validators look up what lies ahead (end marks, markers, block ends, checksums) in indexes that are
-made once for a value, so a value full of magic bytes costs its length and not its square. RIFF
-chunks and compressed data alone are walked anew for each magic whose header is right.
+made once for a value, so a value full of magic bytes costs its length and not its square; chains of
+RIFF chunks are followed once, with pointers that jump along them. Compressed data alone are walked
+anew for each magic whose header is right.
 
 `store_text` keeps any text losslessly as a WAV file of 8-bit samples.
 
@@ -46,6 +47,7 @@ class Value:
         self._places: dict[bytes, list[int]] = {}
         self._ends: dict[int, int] = {}
         self._sums: list[int] | None = None
+        self._chunks: dict[int, tuple[int, int, int, int]] = {}
 
     def places(self, pattern: bytes) -> list[int]:
         """Where a regular expression matches, in order."""
@@ -69,6 +71,39 @@ class Value:
         self._ends.update(dict.fromkeys(way, end))
         return end
 
+    def chunk(self, at: int) -> tuple[int, int, int, int]:
+        """Of the chain of RIFF chunks from a place on: its length, a place further on to jump to, where fmt and data are next.
+
+        A chain ends where a chunk's header doesn't fit; a jump leads twice as far as the last two, so any
+        place of a chain is found in few steps.
+        """
+        way, none = [], len(self.raw) + 1
+        while at not in self._chunks and at + 8 <= len(self.raw):
+            way.append(at)
+            n = int.from_bytes(self.raw[at + 4 : at + 8], "little")
+            at += 8 + n + n % 2
+        if at not in self._chunks:
+            self._chunks[at] = (0, at, none, none)
+        for p in reversed(way):
+            depth, jump, fmt, data = self._chunks[at]
+            far, further = self._chunks[jump][:2]
+            kind = self.raw[p : p + 4]
+            onwards = further if depth - far == far - self._chunks[further][0] else at
+            self._chunks[p] = (depth + 1, onwards, p if kind == b"fmt " else fmt, p if kind == b"data" else data)
+            at = p
+        return self._chunks[at]
+
+    def chain_end(self, at: int, end: int) -> int:
+        """The first place of the chain of chunks from `at` on where no header fits before `end`."""
+        while at + 8 <= end:
+            jump = self.chunk(at)[1]
+            if jump + 8 <= end:
+                at = jump
+            else:
+                n = int.from_bytes(self.raw[at + 4 : at + 8], "little")
+                at += 8 + n + n % 2
+        return at
+
     def crc(self, a: int, b: int) -> int:
         """CRC-32 of the bytes from a to b, from checksums of the value up to places every few kilobytes."""
         if b - a < 2 * STRIDE:
@@ -185,17 +220,13 @@ def _riff(v: Value, at: int) -> int | None:
     end, form = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), b[at + 8 : at + 12]
     if end > len(b) or form not in (b"WAVE", b"WEBP"):
         return None
-    p, seen = at + 12, []
-    while p + 8 <= end:
-        seen.append(b[p : p + 4])
-        n = int.from_bytes(b[p + 4 : p + 8], "little")
-        p += 8 + n + n % 2
-    if p not in (end, end + 1):
+    if v.chain_end(at + 12, end) not in (end, end + 1):
         return None
     if form == b"WAVE":
-        good = b"fmt " in seen and b"data" in seen and seen.index(b"fmt ") < seen.index(b"data")
+        _, _, fmt, data = v.chunk(at + 12)
+        good = fmt < data <= end - 8
     else:
-        good = bool(seen) and seen[0] in (b"VP8 ", b"VP8L", b"VP8X")
+        good = at + 20 <= end and b[at + 12 : at + 16] in (b"VP8 ", b"VP8L", b"VP8X")
     return end if good else None
 
 

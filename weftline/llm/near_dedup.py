@@ -438,11 +438,19 @@ def near_classes(
     )
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is their class's, once each, and those without an id."""
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is their class's, once each, and those without an id.
+
+    Of rows that share an id the one with the smallest text is kept, of rows with the same text the smallest
+    in all columns that have an order, so reruns keep the same.
+    """
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
     with_id = docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi")
     repeated = classes.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
-        with_id = with_id.dropDuplicates([id_col])
+        ordered = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "array", "struct", "variant", "interval")]
+        rest = [F.col(f"`{c}`").asc_nulls_last() for c in ordered if c not in (id_col, text_col)]
+        place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *rest))
+        rows = with_id.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), place.alias("_place"))
+        with_id = rows.where("_place = 1").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))

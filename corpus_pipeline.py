@@ -73,6 +73,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, f"pipeline-{uuid.uuid4().hex}-{k}")
         try:
             stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            delete_path(spark, path)
+            raise
         finally:
             if before:
                 delete_path(spark, before)

@@ -50,11 +50,6 @@ def map_columns(
     return df.mapInArrow(run, fields)
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    """A session setting as a number."""
-    return int(spark.conf.get(key, str(default)))
-
-
 def vocabulary(path: str) -> str:
     """The place of a vocabulary file on this machine: a path is one, a bare name is that of a public vocabulary."""
     if "/" in path:

@@ -60,3 +60,20 @@ def test_fingerprints_put_case_accents_and_punctuation_aside(spark):
     assert [got[k][1:] for k in (6, 7, 8, 9, 10, 11, 12)] == [(6, 2), (7, 1), (6, 2), (9, 2), (9, 2), (None, 0), (None, 0)]
     assert got[13][1] == got[14][1] == 13 and got[8][0] == 6 and got[None] == (None, 0, 6)
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
+
+
+def test_states_of_parts_give_the_whole(spark, monkeypatch):
+    from weftline.functions import states
+
+    monkeypatch.setattr(states, "HELD", 3)
+    rows = [(k % 7 if k % 11 else None, f"s{k % 2}", float(k * k % 101) if k % 5 else None) for k in range(500)] + [(99, "s0", None)]
+    df = spark.createDataFrame(rows, "k long, s string, x double").repartition(6)
+    made = {"n": "long", "mean": "double", "squares": "double"}
+    got = states.aggregate_states(df, ["k", "s"], ["x"], made, states.moments, states.merge_moments).collect()
+    want = df.groupBy("k", "s").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v")).collect()
+    as_dict = {(r["k"], r["s"]): r for r in got}
+    assert len(got) == len(as_dict) == len(want)
+    for r in want:
+        mine = as_dict[r["k"], r["s"]]
+        assert mine["n"] == r["n"] and (not r["n"] or (mine["mean"] == pytest.approx(r["mean"]) and mine["squares"] / r["n"] == pytest.approx(r["v"])))
+    assert states.aggregate_states(df.limit(0), ["k"], ["x"], made, states.moments, states.merge_moments).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.base import Catalog, Tables
 from weftline.sources import formats, jdbc, log_source
-from weftline.sources.folders import shared_folder
+from weftline.sources.folders import cut, delete_folder, shared_folder
 
 QUERIES = Catalog()
 
@@ -41,9 +41,19 @@ def io_bucketed_join(t: Tables) -> DataFrame:
     """Two tables with buckets of the join key: the join reads them without a shuffle."""
     keyed = t.orders.withColumnRenamed("o_custkey", "c_custkey")
     run = uuid.uuid4().hex
-    orders = formats.bucketed(keyed, f"weftline_orders_{run}", 8, "c_custkey", shared_folder(t.spark, "orders"))
-    customers = formats.bucketed(t.customer, f"weftline_customers_{run}", 8, "c_custkey", shared_folder(t.spark, "customers"))
-    return customers.hint("merge").join(orders, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    made = []
+    try:
+        for rows, name in ((keyed, "orders"), (t.customer, "customers")):
+            path, table = shared_folder(t.spark, name), f"weftline_{name}_{run}"
+            made.append((path, table))
+            formats.bucketed(rows, table, 8, "c_custkey", path)
+        orders, customers = (t.spark.table(table) for _, table in made)
+        joined = customers.hint("merge").join(orders, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+        return cut(joined)  # a row a segment, so that the tables can go
+    finally:
+        for path, table in made:
+            t.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            delete_folder(t.spark, path)
 
 
 @QUERIES.add("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND event_id >= 100 AND value > 0.5")

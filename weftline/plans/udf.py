@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import grouped, udfs
+from weftline.functions import grouped, states, udfs
 from weftline.plans.base import Catalog, Tables
 
 QUERIES = Catalog()
@@ -23,6 +23,17 @@ def f_pandas_aggregate(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(F.round(udfs.middle("c_acctbal"), 4).alias("mid"))
 
 
+@QUERIES.add(
+    """SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(var_pop(l_extendedprice) / 1000, 3) AS spread
+    FROM lineitem GROUP BY 1"""
+)
+def f_partial_states(t: Tables) -> DataFrame:
+    """Mean and variance by a Python aggregate whose states are merged; no group is whole in one worker."""
+    made = {"n": "long", "mean": "double", "squares": "double"}
+    found = states.aggregate_states(t.lineitem, ["l_returnflag"], ["l_extendedprice"], made, states.moments, states.merge_moments)
+    return found.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), F.round(F.col("squares") / F.col("n") / 1000, 3).alias("spread"))
+
+
 @QUERIES.add("SELECT n_nationkey, (n_nationkey * 2)::BIGINT AS twice, regexp_replace(n_name, '[^A-Z0-9]', '', 'g') AS short FROM nation")
 def f_arrow_and_row(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", udfs.doubled(F.col("n_nationkey").cast("long")).alias("twice"), udfs.initials("n_name").alias("short"))

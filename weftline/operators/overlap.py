@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,19 @@ STOCK = 20  #: an n-gram that more items hold is a stock phrase
 
 
 def words(text: str) -> Column:
-    """The words of a column."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+    """The words of a column, each by its hash of 64 bits."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), lambda x: F.xxhash64(x))
 
 
 def _grams(n: int) -> Column:
-    """The n-grams of a column `w` of words: hashes of 64 and of 32 bits, by which together n-grams are told apart."""
+    """The n-grams of a column `w` of words: a hash of the words in order, and one of the words in any order.
+
+    N-grams are told apart by both, so only n-grams of the same words need the first to differ.
+    """
 
     def gram(i: Column) -> Column:
-        own = F.slice("w", i + 1, n)
-        return F.struct(F.xxhash64(own).alias("gram"), F.hash(own).alias("check"))
+        own = [F.get("w", i + k) for k in range(n)]
+        return F.struct(F.xxhash64(*own).alias("gram"), functools.reduce(lambda a, b: a.bitwiseXOR(b), own).alias("check"))
 
     # sequence() counts down where there are fewer than n words
     return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), gram))

@@ -77,3 +77,37 @@ def test_states_of_parts_give_the_whole(spark, monkeypatch):
         mine = as_dict[r["k"], r["s"]]
         assert mine["n"] == r["n"] and (not r["n"] or (mine["mean"] == pytest.approx(r["mean"]) and mine["squares"] / r["n"] == pytest.approx(r["v"])))
     assert states.aggregate_states(df.limit(0), ["k"], ["x"], made, states.moments, states.merge_moments).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_carried_values_and_sessions_of_a_hot_key(spark, parts):
+    import datetime as dt
+
+    rng = random.Random(6)
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(200_000)) if rng.random() < 0.97 else None for _ in range(900)]
+    rows = [(k, rng.choice(["hot", "hot", "hot", "b", None]), t, rng.choice([None, k])) for k, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "id int, u string, t timestamp_ntz, v int")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        last = {r["id"]: r["last"] for r in windows.carried(df, ["u"], ["t", "id"], F.col("v"), "last").collect()}
+        session = {r["id"]: r["session"] for r in windows.sessionize(df, "u", "t", 600, ["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for u in ("hot", "b", None):
+        value, n, before = None, 0, None
+        for k, _, t, v in sorted((r for r in rows if r[1] == u), key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+            value = v if v is not None else value
+            n += bool(t and before and t - before > dt.timedelta(seconds=600))
+            before = t
+            assert last[k] == value and session[k] == n
+
+
+def test_parts_become_batches_of_equal_numbers_of_files(spark, tmp_path):
+    from weftline.streaming import events
+
+    df = spark.createDataFrame([(k, k) for k in range(7)], "event_id long, ts long").withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+    stream = events.event_batches(spark, [df.where("event_id < 1"), df.where("event_id = 99"), df.where("event_id >= 1")])
+    seen = []
+    writer = stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r["event_id"] for r in b.collect())))
+    writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [s for s in seen if s] == [[0], [1, 2, 3, 4, 5, 6]] and seen[0] == [0]

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from weftline.sources.folders import shared_folder
+from weftline.sources.folders import cut
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank_name: str = "rn") -> DataFrame:
@@ -39,15 +39,22 @@ def _same(df: DataFrame, columns: list[str]) -> Column:
     return functools.reduce(operator.and_, [df[c].eqNullSafe(F.col(f"_{c}")) for c in columns], F.lit(True))
 
 
+def _in_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The rows with _part, their range of group and order (nulls last); kept in the shared folder, where they are cut from their lineage.
+
+    A range holds about as many rows as the others, however many a group has; this runs when it is called.
+    """
+    return cut(df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in (*by, *order)]).withColumn("_part", F.spark_partition_id()))
+
+
 def with_positions(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Adds each row's place in its group (from 0), with no group in one task.
 
-    Rows are sorted into ranges of group and order, written once, and numbered within their range; the
-    ranges' counts, one row for each range of a group, are added up. order must tell rows apart.
+    Rows are sorted into ranges of group and order, kept once, and numbered within their range; the
+    ranges' counts, one row for each range of a group, are added up. order must tell rows apart. The rows
+    are sorted and kept when this is called.
     """
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "positions")
-    df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in (*by, *order)]).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
-    dealt = spark.read.parquet(folder)
+    dealt = _in_ranges(df, by, order)
     keys = [*by, "_part"]
     below = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -57,6 +64,24 @@ def with_positions(df: DataFrame, by: list[str], order: list[str], name: str) ->
     return placed.select(*df.columns, (F.col("_own") + F.col("_base")).alias(name))
 
 
+def carried(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the last value that is not null up to each row of its group, with no group in one task.
+
+    Within a range of rows a window carries it; what the ranges before leave comes from one row for each
+    range of a group. order must tell rows apart. The rows are sorted and kept when this is called.
+    """
+    dealt = _in_ranges(df.withColumn("_value", value), by, order)
+    keys = [*by, "_part"]
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    own = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0))
+    near = dealt.withColumn("_near", own)
+    place = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = near.groupBy(*keys).agg(F.max_by("_value", place).alias("_end"))
+    below = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*[F.col(c).alias(f"_{c}") for c in keys], F.last("_end", ignorenulls=True).over(below).alias("_before"))
+    return near.join(before, _same(near, keys)).select(*df.columns, F.coalesce("_near", "_before").alias(name))
+
+
 def rows_frame(
     df: DataFrame, by: list[str], order: list[str], agg: Callable[[WindowSpec], Column], before: int, after: int, name: str, chunk: int = 10_000
 ) -> DataFrame:
@@ -100,13 +125,22 @@ def exclude_current(total: Column, own: Column) -> Column:
 
 
 def sessionize(df: DataFrame, by: str, time: str, gap_seconds: int, order: list[str]) -> DataFrame:
-    """Adds session (from 0 for each key): a new one starts after more than gap_seconds without a row."""
-    frame = Window.partitionBy(by).orderBy(time, *order)
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.lag(F.unix_micros(F.col(time).cast("timestamp"))).over(frame)
-    starts = F.when(gap > gap_seconds * 1_000_000, 1).otherwise(0)
-    return df.withColumn("_starts", starts).withColumn("session", F.sum("_starts").over(frame).cast("long")).drop("_starts")
-
+    """Adds session (from 0 for each key): a new one starts after more than gap_seconds without a row.
 
-def running(by: list[str], order: list) -> WindowSpec:
-    """The frame from a group's first row to the current one."""
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    Starts are found and counted within ranges of a key's rows; whether a range's first row starts a session
+    and how many started before come from one row for each range of a key, so no key is in one task. Rows
+    without a time come last and start nothing. The rows are sorted and kept when this is called.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    keys, most = [by, "_part"], gap_seconds * 1_000_000
+    dealt = _in_ranges(df.withColumn("_at", micros), [by], [time, *order])
+    within = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in (time, *order)])
+    marked = dealt.withColumn("_starts", F.when(F.col("_at") - F.lag("_at").over(within) > most, 1).otherwise(0))
+    ranges = marked.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("_starts").alias("_n"))
+    parts = Window.partitionBy(by).orderBy("_part")
+    begins = F.when(F.col("_first") - F.lag("_last").over(parts) > most, 1).otherwise(0)
+    earlier = F.coalesce(F.sum(F.col("_n") + F.col("_begins")).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ranges.withColumn("_begins", begins).select(*[F.col(c).alias(f"_{c}") for c in keys], (earlier + F.col("_begins")).alias("_base"))
+    so_far = F.sum("_starts").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    found = marked.withColumn("_so_far", so_far).join(bases, _same(marked, keys))
+    return found.select(*df.columns, (F.col("_base") + F.col("_so_far")).cast("long").alias("session"))

@@ -269,9 +269,9 @@ def j_asof(t: Tables) -> DataFrame:
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_view FROM events"""
 )
 def j_asof_one_stream(t: Tables) -> DataFrame:
-    frame = windows.running(["user_id"], ["ts", "event_id"])
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("value")), ignorenulls=True).over(frame)
-    return t.events.select("event_id", seen.alias("last_view"))
+    events = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    viewed = F.when(F.col("event_type") == "view", F.col("value"))
+    return windows.carried(events, ["user_id"], ["ts", "event_id"], viewed, "last_view").select("event_id", "last_view")
 
 
 @QUERIES.add(
@@ -563,7 +563,7 @@ def w_top_n(t: Tables) -> DataFrame:
     FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS s FROM events)) GROUP BY 1, 2"""
 )
 def w_sessions(t: Tables) -> DataFrame:
-    found = windows.sessionize(t.events, "user_id", "ts", 4 * 3600, ["event_id"])
+    found = windows.sessionize(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", 4 * 3600, ["event_id"])
     return found.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 

@@ -25,12 +25,15 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def event_batches(spark: SparkSession, parts: list[DataFrame], delay: str = "1 hour") -> DataFrame:
-    """A stream that reads the parts one after the other, each as one batch."""
-    folder = shared_folder(spark, "stream-in")
+def event_batches(spark: SparkSession, parts: list[DataFrame], delay: str = "1 hour", files: int = 4) -> DataFrame:
+    """A stream that reads the parts one after the other, each as one batch of so many files."""
+    folder, schema = shared_folder(spark, "stream-in"), parts[0].schema
     for k, part in enumerate(parts):  # files are read in the order of their times
-        part.coalesce(1).write.parquet(f"{folder}/{k:04d}")
-    raw = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        place = f"{folder}/{k:04d}"
+        part.repartition(files).write.parquet(place)
+        for _ in range(files - len(spark.read.schema(schema).parquet(place).inputFiles())):  # tasks without rows wrote none
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(place)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 

@@ -222,8 +222,10 @@ def test_trees_learn_an_interaction():
 def test_masked_words_count_as_what_they_stand_for():
     lexicon = toxicity.Lexicon({"idiot": 5.0}, {"stup": 4.0})
     f = dict(zip(toxicity.NAMES, toxicity.text_features("YOU 1d1ot, you id!ot; STUPIDO i.d.i.o.t", lexicon, {}), strict=True))
+    alone = dict(zip(toxicity.NAMES, toxicity.text_features("you are an id!ot", lexicon, {}), strict=True))
+    assert alone["hits"] == alone["masked_hits"] == 1 and alone["near_hits"] == 0  # has no place among the words
     assert f["masked"] == f["masked_hits"] == 3 and toxicity.undone("1d1ot") == "idiot"
-    assert f["hits"] == 1 and f["whole_hits"] == 0 and f["nearest"] <= 5 and f["second_person"] > 0
+    assert f["hits"] == 4 and f["strong_hits"] == 3 and f["whole_hits"] == 0 and f["nearest"] <= 5 and f["second_person"] > 0
 
 
 def test_toxicity_query_on_held_out_rows(spark):

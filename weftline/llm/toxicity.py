@@ -52,8 +52,10 @@ _SHOUTED = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 _PLAIN = str.maketrans("013457@$!|", "oieastasil", "*._-+")
 _CACHED = 200_000  # words whose weights a worker keeps
 
+STRONG = 5.0  #: log odds from which on an entry is strong
+
 NAMES = (
-    "n_words", "mean_length", "hits", "hit_density", "weight_density", "strongest", "distinct_hits", "whole_hits",
+    "strong_hits", "strong_density", "n_words", "mean_length", "hits", "hit_density", "weight_density", "strongest", "distinct_hits", "whole_hits",
     "whole_density", "masked", "masked_density", "masked_hits", "second_person", "near_hits", "nearest", "capitals",
     "shouted", "exclamations", "questions", "signs", "punctuation", "digits", "stretched", "distinct_share",
     "commonest_share", "lines",
@@ -109,13 +111,17 @@ def text_features(text: str | None, lexicon: Lexicon, cache: dict[str, tuple[flo
         if found[0]:
             hit[w] = found[0]
             whole += found[1] * counts[w]
-    hits = sum(counts[w] for w in hit)
     masked = masked_tokens(text)
-    masked_hits = sum(lexicon.weight(undone(t))[0] > 0 for t in masked)
+    unmasked = [w for w in map(undone, masked) if lexicon.weight(w)[0]]
+    for w in unmasked:  # what a masked word stands for is a hit like others
+        hit[w] = lexicon.weight(w)[0]
+        counts[w] += 1
+    hits = sum(counts[w] for w in hit)
+    strong = sum(counts[w] for w, v in hit.items() if v >= STRONG)
     near, nearest, second = 0, 100.0, sum(counts[w] for w in SECOND_PERSON & counts.keys())
-    if second and hit:
+    at = np.array([i for i, w in enumerate(words) if w in hit]) if second and hit else np.zeros(0)
+    if len(at):
         persons = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
-        at = np.array([i for i, w in enumerate(words) if w in hit])
         after = np.searchsorted(persons, at)
         gap = np.minimum(
             np.abs(at - persons[np.minimum(after, len(persons) - 1)]), np.abs(at - persons[np.maximum(after - 1, 0)])
@@ -127,8 +133,8 @@ def text_features(text: str | None, lexicon: Lexicon, cache: dict[str, tuple[flo
     punctuation = int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum() + data[123:127].sum())
     size, some = max(1, int(data.sum())), max(1, n)
     return [
-        math.log1p(n), sum(map(len, words)) / some, hits, hits / some, sum(v * counts[w] for w, v in hit.items()) / some,
-        max(hit.values(), default=0.0), len(hit), whole, whole / some, len(masked), len(masked) / some, masked_hits, second / some,
+        strong, strong / some, math.log1p(n), sum(map(len, words)) / some, hits, hits / some, sum(v * counts[w] for w, v in hit.items()) / some,
+        max(hit.values(), default=0.0), len(hit), whole, whole / some, len(masked), len(masked) / some, len(unmasked), second / some,
         near, nearest, capitals / max(1, capitals + small), len(_SHOUTED.findall(text)) / some, data[33] / size, data[63] / size,
         signs / size, punctuation / size, digits / size, len(_STRETCHED.findall(text)) / some, len(counts) / some,
         max(counts.values(), default=0) / some, math.log1p(int(data[10])),

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import cut
+
 
 def _folds() -> tuple[str, str]:
     """Letters that are a basic letter with marks, from U+00C0 to U+024F and U+1E00 to U+1EFF, and their basic letters."""
@@ -29,7 +31,7 @@ def folded(text: Column) -> Column:
     """The words of a text with single blanks: full-width forms and accented Latin letters as basic ones, in lower case."""
     wide = "".join(chr(0xFF01 + k) for k in range(94))
     narrow = "".join(chr(0x21 + k) for k in range(94))
-    basic = F.lower(F.translate(F.translate(text, MARKED, PLAIN), wide, narrow))
+    basic = F.lower(F.translate(text, MARKED + wide, PLAIN + narrow))
     return F.btrim(F.regexp_replace(F.regexp_replace(basic, MARKS, ""), GAPS, " "), F.lit(" "))
 
 
@@ -43,9 +45,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col(text_col)
     words = folded(text)
-    made = docs.select(
-        F.col(id_col).alias("doc_id"), F.md5(text).alias("text_md5"), F.md5(F.when(words != "", words).otherwise(F.concat(F.lit("\x01"), text))).alias("words_md5")
-    )
+    words_md5 = F.md5(F.when(words != "", words).otherwise(F.concat(F.lit("\x01"), text)))
+    # kept, so that each text is folded once
+    made = cut(docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_md5"), words_md5.alias("words_md5")))
     exact = made.where("text_md5 is not null").groupBy(F.col("text_md5").alias("e")).agg(F.min("doc_id").alias("exact_id"))
     same = made.where("words_md5 is not null").groupBy(F.col("words_md5").alias("w")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_same"))
     both = made.join(exact, F.col("text_md5") == F.col("e"), "left").join(same, F.col("words_md5") == F.col("w"), "left")

@@ -13,8 +13,10 @@ several blocks. Every vector is sent to its block once, and a query once to each
 cell it probes. A task holds one block and reads its queries as a stream.
 
 Centres and codebooks are fitted on a bounded sample (`sample_rows`, the rows with the smallest
-hashes); every vector is indexed. How many cells are probed and how many candidates are reranked is
-measured on the sample, against brute force. Equal vectors are indexed once, with as many of their
+hashes); every vector is indexed. How many cells are probed, and how far a candidate's rough score may
+be off to be reranked, is measured on a bounded sample of the queries against the sample by brute force,
+so queries may be unlike the vectors. Vectors that the codes describe worse than nearly all of the
+sample (about OUTLYING of it) lie in a cell of their own, which every query probes exactly. Equal vectors are indexed once, with as many of their
 smallest ids as an answer can need, so a vector that fills a third of the table is one entry. Equal
 query vectors are searched once. Repeated rows (the same id and vector) count once, as candidates
 and as queries.
@@ -41,6 +43,8 @@ from weftline.llm.common import cut
 BLOCK = 16_384  #: distinct vectors, about, that a task holds at once
 FINE = 64  #: second centres for each coarse one at most
 AT_ONCE = 256  #: queries that are answered together
+ASKED = 512  #: queries by which probes and margin are measured
+OUTLYING = 1 / 1000  #: share of the sample whose codes err most
 
 
 @dataclass
@@ -54,6 +58,9 @@ class Index:
     first: np.ndarray | None = None  # per cell: its first block
     splits: np.ndarray | None = None  # per cell: the blocks it is dealt to
     probes: int = 1
+    margin: float = math.inf  # by which a rough score may be off, for a query of length 1
+    outlying: float = math.inf  # error of the codes beyond which a vector is in the last cell
+    size: float = 1.0  # length of the sample's longest vector
 
     @property
     def centres(self) -> np.ndarray:
@@ -137,32 +144,54 @@ def fit(x: np.ndarray, cells: int, threshold: float = 0.2, rounds: int = 6) -> I
     return index
 
 
-def measure(index: Index, x: np.ndarray, k: int, coverage: float, asked: int = 256) -> tuple[int, float]:
-    """By brute force for some sample rows: the least number of cells that hold `coverage` of the k nearest, and
-    the least share of all rows that, best by codes first, holds as many of them."""
-    x = x.astype(np.float64)
-    if len(x) < 2:
-        return 1, 1.0
-    cell, centres = index.cell(x), index.centres
-    codes = encode(x - centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True), index.books, index.parallel)
-    decoded = centres[cell] + np.take_along_axis(index.books, codes.T[:, :, None], 1).transpose(1, 0, 2).reshape(len(x), -1)
-    q = x[:asked]
-    exact, rough = q @ x.T, q @ decoded.T
-    for scores in (exact, rough):
-        np.fill_diagonal(scores, -np.inf)
-    true = np.argsort(-exact, axis=1)[:, : min(k, len(x) - 1)]
-
-    def needed(scores: np.ndarray, found: np.ndarray) -> int:
-        place = np.argsort(np.argsort(-scores, axis=1), axis=1)
-        places = np.sort(np.take_along_axis(place, found, axis=1).ravel()) + 1
-        return int(places[min(len(places) - 1, math.ceil(coverage * len(places)))])
-
-    return needed(q @ centres.T, cell[true]), needed(rough, true) / len(x)
+def decode(index: Index, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The vectors as cells and codes describe them."""
+    return index.centres[cell] + np.take_along_axis(index.books, codes.T[:, :, None], 1).transpose(1, 0, 2).reshape(len(codes), -1)
+
+
+def errors(index: Index, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(x - decode(index, cell, codes), axis=1)
+
+
+def measure(index: Index, x: np.ndarray, queries: np.ndarray, k: int, coverage: float) -> None:
+    """Set outlying, probes and margin by brute force for some queries: the cells that hold `coverage` of the k nearest
+    of all queries, and 9 in 10 of those of `coverage` of the queries, and the error that as many of the rough scores keep."""
+    index.size = float(np.linalg.norm(x, axis=1).max()) if len(x) else 1.0
+    cells = len(index.centres)
+    cell = index.cell(x)
+    codes = encode(x - index.centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True), index.books, index.parallel)
+    off = errors(index, x, cell, codes)
+    index.outlying = float(np.sort(off)[-1 - int(len(x) * OUTLYING)]) if len(x) else math.inf
+    inner = off <= index.outlying
+    x, cell, decoded = x[inner], cell[inner], decode(index, cell[inner], codes[inner])
+    own = {v.tobytes(): i for i, v in enumerate(x)}
+    index.probes, index.margin = cells, math.inf
+    if len(x) < 2 or not len(queries):
+        return
+    places, wrong, kept = [], [], min(k, len(x) - 1)
+    for q in np.array_split(queries / np.linalg.norm(queries, axis=1, keepdims=True), -(-len(queries) // 64)):
+        exact = q @ x.T
+        for i, v in enumerate(queries[sum(map(len, places)) :][: len(q)]):
+            if v.tobytes() in own:
+                exact[i, own[v.tobytes()]] = -np.inf
+        true = np.argpartition(-exact, kept - 1, axis=1)[:, :kept]
+        place = np.argsort(np.argsort(-(q @ index.centres.T), axis=1, kind="stable"), axis=1)
+        places.append(np.sort(np.take_along_axis(place, cell[true], axis=1), axis=1) + 1)
+        found = np.take_along_axis(exact, true, axis=1)
+        wrong.append(np.abs(found - np.einsum("qd,qkd->qk", q, decoded[true])).ravel())
+    ranks = np.concatenate(places)
+
+    def at_least(values: np.ndarray) -> float:
+        return np.sort(values.ravel())[min(values.size - 1, math.ceil(coverage * values.size))]
+
+    index.probes = int(max(at_least(ranks), at_least(ranks[:, math.ceil(0.9 * kept) - 1])))
+    index.margin = float(at_least(np.concatenate(wrong))) / index.size
 
 
 def lay_out(index: Index, sample_cells: np.ndarray, n: int) -> None:
     """Deal the cells to blocks by the sizes that the sample lets expect, near cells together."""
     expected = np.bincount(sample_cells, minlength=len(index.coarse) * len(index.fine)) * (n / max(1, len(sample_cells)))
+    outside = max(1, math.ceil(n * OUTLYING / BLOCK))
     near = _nearest(index.coarse, _kmeans(index.coarse, math.isqrt(len(index.coarse))))
     order = np.argsort(np.repeat(near, len(index.fine)), kind="stable")
     index.first, index.splits = np.zeros(len(order), np.int64), np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64)
@@ -174,6 +203,7 @@ def lay_out(index: Index, sample_cells: np.ndarray, n: int) -> None:
         filled += expected[c]
         if index.splits[c] > 1:
             block, filled = block + int(index.splits[c]), 0.0
+    index.first, index.splits = np.append(index.first, block + 1), np.append(index.splits, outside)
 
 
 def scan(index: Index, centre: np.ndarray, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -209,8 +239,10 @@ def _index_rows(index, dims: int):
             x = _even(_matrix(batch.column("v"), dims))
             cell = held.cell(x)
             codes = encode(x - centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True), held.books, held.parallel)
+            off = errors(held, x, cell, codes)
             codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
             packed = codes[:, 0::2] | codes[:, 1::2] << 4
+            cell = np.where(off > held.outlying, len(centres), cell)
             block = held.first[cell].copy()
             for i in np.flatnonzero(held.splits[cell] > 1):
                 block[i] += zlib.crc32(x[i].tobytes()) % int(held.splits[cell[i]])
@@ -232,8 +264,10 @@ def _probe_rows(index, dims: int):
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 q = _even(_matrix(part.column("v"), dims))
-                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, : held.probes].ravel()
-                who = np.repeat(np.arange(len(q)), held.probes)
+                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, : held.probes]
+                near = np.pad(near, ((0, 0), (0, 1)), constant_values=len(centres))  # and the last cell
+                who = np.repeat(np.arange(len(q)), near.shape[1])
+                near = near.ravel()
                 splits = held.splits[near]
                 block = np.repeat(held.first[near], splits) + np.arange(splits.sum()) - np.repeat(np.cumsum(splits) - splits, splits)
                 who, near = np.repeat(who, splits), np.repeat(near, splits).astype(np.int32)
@@ -258,30 +292,41 @@ def _answers(index, dims: int, k: int, rerank: int):
         packed = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(rows.num_rows, -1)[:, : len(held.books)]
         x, cell = _matrix(rows["v"], dims), rows["cell"].to_numpy()
+        outer = len(held.centres)
         by_cell = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
-        keep = min(rerank, len(x))
+        keep, few = min(rerank, len(x)), min(k + 1, len(x))
         out_q, out_s, out_rows = [], [], []
-        step = max(1, AT_ONCE * 256 // max(256, keep))  # as many products at once, however many are kept
-        for a in range(0, asks.num_rows, step):
-            part = asks.slice(a, step)
+        for a in range(0, asks.num_rows, AT_ONCE):
+            part = asks.slice(a, AT_ONCE)
             q, probing = _matrix(part.column("v"), dims), part.column("probes")
+            unit = _even(q) / (np.linalg.norm(q, axis=1, keepdims=True) * held.size)
             wanted = probing.flatten().to_numpy()
             who = np.repeat(np.arange(len(q)), probing.value_lengths().to_numpy())
             rough = np.full((len(q), len(x)), -np.inf, np.float32)
             for c, at in by_cell.items():
                 asking = who[wanted == c]
-                if len(asking):
+                if len(asking) and c == outer:  # no codes describe these
+                    rough[np.ix_(asking, at)] = unit[asking] @ _even(x[at]).T
+                elif len(asking):
                     centre = held.coarse[c // len(held.fine)] + held.fine[c % len(held.fine)]
-                    rough[np.ix_(asking, at)] = scan(held, centre, codes[at], _even(q[asking]))
-            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-            exact = np.einsum("qd,qkd->qk", q, x[top])
-            exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            score = np.take_along_axis(exact, best, 1)
-            real = score > -np.inf
+                    rough[np.ix_(asking, at)] = scan(held, centre, codes[at], unit[asking])
+            # the best by codes, and all that may be among the k best if scores are off by the margin
+            sure = np.partition(rough, (len(x) - few, len(x) - keep), axis=1)
+            least = np.minimum(sure[:, len(x) - few] - 2 * held.margin, sure[:, len(x) - keep])
+            chosen = (rough >= least[:, None]) & (rough > -np.inf)
+            some = np.flatnonzero(chosen.any(axis=0))
+            if not len(some):
+                continue
+            exact = q @ x[some].T
+            exact[~chosen[:, some]] = -np.inf
+            best = np.argsort(-exact, axis=1, kind="stable")[:, :few]
+            real = np.take_along_axis(exact, best, 1) > -np.inf
+            score = np.einsum("qd,qkd->qk", q, x[some[best]])
             out_q.append(np.repeat(part.column("qid").to_numpy(), real.sum(1)))
-            out_rows.append(np.take_along_axis(top, best, 1)[real])
+            out_rows.append(some[best][real])
             out_s.append(score[real])
+        if not out_q:
+            return pa.RecordBatch.from_pydict({"qid": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": rows["ids"].combine_chunks()[:0]})
         ids = rows["ids"].combine_chunks().take(pa.array(np.concatenate(out_rows)))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_s)), ids], names=["qid", "score", "ids"]
@@ -319,8 +364,8 @@ def search(
 ) -> DataFrame:
     """For each row that `queries` (a condition on the id, named vec_id) selects: its k nearest other rows.
 
-    coverage: the part of the true neighbours that the probed cells must hold, and as many the
-    reranked candidates, measured on the sample; rerank: candidates of a block at least. exact: all cells
+    coverage: the part of the true neighbours that the probed cells must hold, and of rough scores that the
+    margin must hold, measured on ASKED of the queries; rerank: candidates of a block at least. exact: all cells
     are probed and all their vectors reranked, so nothing is lost, at the cost of comparing all.
     Columns: query_id, rank, vec_id, score.
     """
@@ -349,11 +394,14 @@ def search(
     )
     fitted = fit(sample, max(1, min(round(math.sqrt(n_entries)), n_entries // rows_a_cell)))
     lay_out(fitted, fitted.cell(sample), n_entries)
-    fitted.probes, share = (len(fitted.coarse) * len(fitted.fine), 1.0) if exact else measure(fitted, sample, k, coverage)
+    asked = raw.where(queries).distinct()
+    some = asked.select("v").distinct().orderBy(F.xxhash64("v", F.lit(1)), "v").limit(ASKED)
+    measure(fitted, sample, _even(_matrix(some.toArrow()["v"], dims)), k, coverage)
+    if exact:
+        fitted.probes, fitted.margin = len(fitted.centres), math.inf
     index = spark.sparkContext.broadcast(fitted)
 
     vectors = entries.mapInArrow(_index_rows(index, dims), f"block long, cell int, codes binary, v array<{kind}>, ids array<bigint>")
-    asked = raw.where(queries).distinct()
     # one search for each distinct query vector, under the smallest id that asks it
     leaders = cut(asked.join(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "v"))
     probed = (
@@ -365,7 +413,7 @@ def search(
     met = (
         both.repartition("block")
         .sortWithinPartitions("block", "asks")
-        .mapInArrow(_answers(index, dims, k, n_entries if exact else max(rerank, math.ceil(share * BLOCK))), "qid bigint, score double, ids array<bigint>")
+        .mapInArrow(_answers(index, dims, k, rerank), "qid bigint, score double, ids array<bigint>")
     )
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0]))
     found = met.withColumn("n", first).where(F.col("n") <= k + 1).select("qid", "score", "ids")

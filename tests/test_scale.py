@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry
+import pandas as pd
+
+from weftline.functions import grouped
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +21,8 @@ def test_the_latest_view_is_found_without_comparing_all(spark):
 def test_the_latest_order_is_numbered_in_the_order_asked_for(spark):
     windows = [line for line in _plan(spark, "j_lateral_sql").splitlines() if "row_number" in line and "Window " in line]
     assert windows and all("o_orderdate" in line.split("specifiedwindowframe")[0] for line in windows)
+
+
+def test_a_call_of_the_grouped_map_takes_many_groups():
+    rows = pd.DataFrame({"o_custkey": [1, 2, 1, None, None], "o_orderkey": range(5), "o_totalprice": [1.0, 5.0, 3.0, 2.0, 6.0]})
+    assert grouped.ranked_share(rows)["share"].tolist() == [0.25, 1.0, 0.75, 0.25, 0.75]

@@ -26,3 +26,7 @@ def test_the_latest_order_is_numbered_in_the_order_asked_for(spark):
 def test_a_call_of_the_grouped_map_takes_many_groups():
     rows = pd.DataFrame({"o_custkey": [1, 2, 1, None, None], "o_orderkey": range(5), "o_totalprice": [1.0, 5.0, 3.0, 2.0, 6.0]})
     assert grouped.ranked_share(rows)["share"].tolist() == [0.25, 1.0, 0.75, 0.25, 0.75]
+
+
+def test_pages_leave_a_task_in_small_batches(spark):
+    assert "MapInArrow" in _plan(spark, "x_page_text") and "ArrowEvalPython" not in _plan(spark, "x_page_text")

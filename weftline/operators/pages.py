@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +52,23 @@ def canonical_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     return both.select("page_id", "canonical", "host", "first_page_id", F.coalesce("n_same", F.lit(0)).alias("n_same"))
 
 
+PAGES_AT_ONCE = 256  #: pages whose texts a task holds beside the batch that it reads
 PAGE = "title string, text string, n_blocks long, n_kept long, n_links long, chars long, link_chars long"
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", link_share: float = 0.5) -> DataFrame:
     """page_id and what `read_page` gives of each whole page; a null page is an empty one, rows are independent."""
 
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(p, link_share) for p in pages], columns=[c.split()[0] for c in PAGE.split(", ")])
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = [(name, kinds[kind]) for name, kind in (c.split() for c in PAGE.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                read = [read_page(p, link_share) for p in part.column("html").to_pylist()]
+                made = [pa.array([r[name] for r in read], kind) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), *made], names=["page_id", *(name for name, _ in fields)])
 
     named = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    return named.select("page_id", F.pandas_udf(run, PAGE)("html").alias("p")).select("page_id", "p.*")
+    return named.mapInArrow(run, f"page_id {named.schema['page_id'].dataType.simpleString()}, {PAGE}")

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import pandas as pd
 
 from weftline.functions import grouped
+from weftline.sources import formats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,3 +36,9 @@ def test_pages_leave_a_task_in_small_batches(spark):
 def test_no_percentile_is_kept_for_every_user(spark):
     keyed = [line for line in _plan(spark, "a_approximate").splitlines() if "Aggregate(key" in line and "percentile" in line]
     assert keyed and not any("user_id" in line.split("functions=")[0] for line in keyed)
+
+
+def test_xml_files_have_a_bound(spark, tmp_path):
+    formats.write(spark.range(250_000).coalesce(1), "xml", f"{tmp_path}/x")
+    back = formats.read(spark, "xml", f"{tmp_path}/x", "id long")
+    assert len(back.inputFiles()) == 3 and back.count() == 250_000

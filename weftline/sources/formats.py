@@ -11,7 +11,8 @@ OPTIONS = {
     "orc": {},
     "json": {"ignoreNullFields": "false"},
     "csv": {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue": ""},
-    "xml": {"rowTag": "row", "rootTag": "rows"},
+    # a task reads an XML file whole, so files have a bound
+    "xml": {"rowTag": "row", "rootTag": "rows", "maxRecordsPerFile": "100000"},
     "text": {},
 }
 

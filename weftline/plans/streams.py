@@ -147,7 +147,7 @@ def st_state_table(t: Tables) -> DataFrame:
     state = shared_folder(t.spark, "stream-state")
     with ev.rocks_state(t.spark):
         ev.run_updating(ev.transformed_totals(ev.event_batches(t.spark, _in_batches(t, 3))), "update", state)
-        return ev.state_table(t.spark, state, "totals").select("key.user_id", "value.n", "value.most")
+        return ev.held_totals(ev.state_table(t.spark, state, "totals"))
 
 
 @QUERIES.add(

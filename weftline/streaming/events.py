@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,59 +134,80 @@ def rated(spark: SparkSession, rows: int, parts: int = 4) -> DataFrame:
     return source.load().select("value")
 
 
+BUCKETS = 1024  #: keys of stateful processors: a key costs some calls to the state store each batch, so it is many users
+
+
+def bucket() -> F.Column:
+    """The key of a user; null, which is a user of its own, has -1."""
+    return F.when(F.col("user_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS))).cast("long").alias("bucket")
+
+
+def _users(key: tuple, ids: np.ndarray) -> pd.Series:
+    return pd.Series(pd.array(ids, "Int64") if key[0] >= 0 else pd.array([pd.NA] * len(ids), "Int64"))
+
+
 class Sessions(StatefulProcessor):
-    """Sessions of a key's events, closed by event-time timers.
+    """Sessions of the users of a bucket, closed by event-time timers.
 
-    A list holds the events of sessions that may still grow, a map the purchases of closed ones by the
-    key's type of event. A timer is set to the gap after the earliest session; when the watermark passes it, all
-    sessions that ended a gap before are given out, in order, and the next one gets its own timer. So events
-    may come in any order within the watermark.
+    One value holds the events of sessions that may still grow, one the purchases of each user's closed ones.
+    A timer is set to the gap after the earliest end; when the watermark passes it, all sessions that ended a
+    gap before are given out, and the earliest end that is left gets its own timer. So events may come in any
+    order within the watermark.
     """
 
+    OPEN = ["user_id", "at", "event_id", "event_type"]
+
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at long, event_id long, event_type string")
-        self.closed = handle.getMapState("closed", "event_type string", "n long")
-
-    def split(self) -> list[list[tuple]]:
-        """The sessions of the events that wait, in order."""
-        sessions: list[list[tuple]] = []
-        for event in sorted(self.open.get()):
-            if not sessions or event[0] - sessions[-1][-1][0] > self.gap * 1000:
-                sessions.append([])
-            sessions[-1].append(event)
-        return sessions
-
-    def ends(self, session: list[tuple]) -> int:
-        """When no event can belong to a session any more, in milliseconds."""
-        return session[-1][0] // 1000 + self.gap + 1
+        self.open = handle.getValueState("open", "user_id array<bigint>, at array<bigint>, event_id array<bigint>, event_type array<string>")
+        self.closed = handle.getValueState("closed", "user_id array<bigint>, bought array<bigint>")
+
+    def waiting(self) -> pd.DataFrame:
+        held = self.open.get() if self.open.exists() else ([], [], [], [])
+        kinds = {"user_id": "int64", "at": "int64", "event_id": "int64", "event_type": "object"}
+        return pd.DataFrame(dict(zip(self.OPEN, map(list, held), strict=True))).astype(kinds)
+
+    def split(self, events: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Of events by user and time: each one's session, and when no event can belong to a session any more, in milliseconds."""
+        user, at = events["user_id"].to_numpy(), events["at"].to_numpy()
+        starts = np.append(True, (np.diff(user) != 0) | (np.diff(at) > self.gap * 1000))[: len(at)]
+        last = np.append(starts[1:], True)[: len(at)]
+        return np.cumsum(starts) - 1, at[last] // 1000 + self.gap + 1
+
+    def keep(self, events: pd.DataFrame, ends: np.ndarray) -> None:
+        self.open.update(tuple(events[c].tolist() for c in self.OPEN))
+        self.handle.registerTimer(int(ends.min()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.open.appendList(list(zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)))
-        self.handle.registerTimer(self.ends(self.split()[0]))
+        events = pd.concat([self.waiting(), *(frame[self.OPEN] for frame in rows)]).sort_values(["user_id", "at", "event_id"])
+        self.keep(events, self.split(events)[1])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, out = timerValues.getCurrentWatermarkInMs(), []
-        sessions = self.split()
-        while sessions and self.ends(sessions[0]) <= mark:
-            own = sessions.pop(0)
-            for _, _, kind in own:
-                before = self.closed.getValue((kind,))[0] if self.closed.containsKey((kind,)) else 0
-                self.closed.updateValue((kind,), (before + 1,))
-            bought = self.closed.getValue(("purchase",))[0] if self.closed.containsKey(("purchase",)) else 0
-            out.append((key[0], own[0][0], own[-1][0], len(own), own[0][1], bought))
-        if sessions:
-            self.open.put([event for own in sessions for event in own])
-            self.handle.registerTimer(self.ends(sessions[0]))
-        else:
+        events = self.waiting()
+        session, ends = self.split(events)
+        over = ends <= timerValues.getCurrentWatermarkInMs()
+        if not over.any():
+            if len(ends):
+                self.handle.registerTimer(int(ends.min()))
+            return
+        past = over[session]
+        done = events[past].assign(session=session[past], bought=events["event_type"][past] == "purchase")
+        made = done.groupby("session").agg(
+            user_id=("user_id", "first"), first_at=("at", "first"), last_at=("at", "last"), n=("at", "size"), first_id=("event_id", "first"), own=("bought", "sum")
+        )
+        before = dict(zip(*self.closed.get(), strict=True)) if self.closed.exists() else {}
+        made["bought"] = made.groupby("user_id")["own"].cumsum() + made["user_id"].map(lambda u: before.get(u, 0))
+        before.update(made.groupby("user_id")["bought"].last().items())
+        self.closed.update(([int(u) for u in before], [int(n) for n in before.values()]))
+        if past.all():
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "first_at", "last_at", "n", "first_id", "bought"])
+        else:
+            self.keep(events[~past], ends[~over])
+        yield pd.DataFrame({"user_id": _users(key, made["user_id"].to_numpy()), **{c: made[c].to_numpy() for c in ("first_at", "last_at", "n", "first_id", "bought")}})
 
     def close(self) -> None:
         pass
@@ -193,8 +215,9 @@ class Sessions(StatefulProcessor):
 
 def timed_sessions(stream: DataFrame, gap_seconds: int) -> DataFrame:
     """user_id, start_at, end_at, n, first_id, bought (the user's purchases so far) of closed sessions."""
-    events = stream.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
-    found = events.groupBy("user_id").transformWithStateInPandas(
+    user = F.coalesce("user_id", F.lit(0)).alias("user_id")
+    events = stream.where("ts is not null").select(bucket(), user, "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    found = events.groupBy("bucket").transformWithStateInPandas(
         Sessions(gap_seconds * 1000), "user_id long, first_at long, last_at long, n long, first_id long, bought long", outputMode="Append", timeMode="EventTime"
     )
     times = [F.timestamp_micros(f"{c}_at").cast("timestamp_ntz").alias(n) for c, n in (("first", "start_at"), ("last", "end_at"))]
@@ -202,17 +225,22 @@ def timed_sessions(stream: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 class Totals(StatefulProcessor):
-    """Per key the number of events and the largest value so far."""
+    """Per user of a bucket the number of events and the largest value so far; a batch gives the users it has."""
+
+    HELD = ["user_id", "n", "most"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("totals", "n long, most double")
+        self.held = handle.getValueState("totals", "user_id array<bigint>, n array<bigint>, most array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, most = self.held.get() if self.held.exists() else (0, float("-inf"))
-        for frame in rows:
-            n, most = n + len(frame), max(most, float(frame["value"].max()))
-        self.held.update((n, most))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
+        new = pd.concat(list(rows)).groupby("user_id").agg(n=("user_id", "size"), most=("value", "max")).reset_index()
+        both = new
+        if self.held.exists():
+            before = pd.DataFrame(dict(zip(self.HELD, map(list, self.held.get()), strict=True))).astype({"most": "float64"})
+            both = pd.concat([before, new]).groupby("user_id").agg({"n": "sum", "most": "max"}).reset_index()
+        self.held.update((both["user_id"].tolist(), both["n"].tolist(), [None if x != x else x for x in both["most"].tolist()]))
+        now = both[both["user_id"].isin(new["user_id"])]
+        yield pd.DataFrame({"user_id": _users(key, now["user_id"].to_numpy()), "n": now["n"].to_numpy(), "most": now["most"].to_numpy()})
 
     def close(self) -> None:
         pass
@@ -220,6 +248,12 @@ class Totals(StatefulProcessor):
 
 def transformed_totals(stream: DataFrame) -> DataFrame:
     """running_totals by a stateful processor; its state store must be RocksDB's."""
-    return stream.groupBy("user_id").transformWithStateInPandas(
+    return stream.select(bucket(), F.coalesce("user_id", F.lit(0)).alias("user_id"), "value").groupBy("bucket").transformWithStateInPandas(
         Totals(), "user_id long, n long, most double", outputMode="Update", timeMode="None"
     )
+
+
+def held_totals(state: DataFrame) -> DataFrame:
+    """user_id, n, most from the state table of the totals."""
+    each = state.select("key.bucket", F.explode(F.arrays_zip("value.user_id", "value.n", "value.most")).alias("u"))
+    return each.select(F.when(F.col("bucket") >= 0, F.col("u.user_id")).alias("user_id"), "u.n", "u.most")

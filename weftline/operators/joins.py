@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PAIRS_A_TASK = 20_000_000  #: pairs of a point and a range of its bin that a task compares, about
+ROWS_A_TASK = 250_000  #: rows of a salted join's large side that a task sorts, about
+
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: str, time: str, bucket_seconds: int = 86_400, prefix: str = "r_"
@@ -84,14 +87,31 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     place = F.col(at).cast("double")
     spread = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
     inside = spread.where(F.abs(place) / F.pow(F.lit(2.0), F.col("_level")) < 2.0**62)
+    placed = inside.withColumn("_bin", F.floor(place / F.pow(F.lit(2.0), F.col("_level"))))
+    # a bin of many points and many ranges is several tasks, each with a part of its points
+    keys = ["_level", "_bin"]
+    pairs = placed.groupBy(*keys).agg(F.count("*").cast("double").alias("_p")).join(binned.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    pairs = pairs.select(*keys, (F.col("_p") * F.col("_r")).alias("_pairs"))
+    total = pairs.agg(F.sum("_pairs")).first()[0] or 0.0
+    parts = _parts(points, min(20_000, int(total // PAIRS_A_TASK) + 1))
+    full = F.broadcast(pairs.where(F.col("_pairs") > PAIRS_A_TASK).select(*keys, F.ceil(F.col("_pairs") / PAIRS_A_TASK).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = placed.join(full, keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("_salts")
+    repeated = binned.join(full, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    keys = [*keys, "_salt"]
     return (
-        inside.withColumn("_bin", F.floor(place / F.pow(F.lit(2.0), F.col("_level"))))
-        .join(binned, ["_level", "_bin"])
+        dealt.repartition(parts, *keys)
+        .join(repeated.repartition(parts, *keys), keys)
         .where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
-        .drop("_level", "_bin")
+        .drop(*keys)
     )
 
 
+def _parts(df: DataFrame, least: int) -> int:
+    """At least so many partitions, and as many as the session shuffles into; an exact number, which Spark doesn't coalesce."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+
+
 def interval_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, seconds: int) -> DataFrame:
     """Rows of one key with left_time <= right_time <= left_time + seconds.
 

@@ -14,3 +14,10 @@ def test_a_full_bin_is_several_tasks(spark, monkeypatch):
     met = joins.range_join(points, ranges, "x", "lo", "hi")
     tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == met.distinct().count() == 40_000 and max(tasks) < 10_000
+
+
+def test_a_salted_join_has_tasks_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 100, raising=False)
+    large, small = spark.range(1000).select((F.col("id") % 7).alias("k"), "id"), spark.range(5).withColumnRenamed("id", "k")
+    met = joins.salted_join(large, small, "k", 4)
+    assert met.rdd.getNumPartitions() >= 11 and met.count() == sum(k % 7 < 5 for k in range(1000))

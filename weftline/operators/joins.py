@@ -140,7 +140,12 @@ def top_per_row(left: DataFrame, right: DataFrame, on: str, order: list[Column],
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:
-    """An inner join in which a key of the large side is dealt to `salts` tasks and the small side's rows repeat."""
+    """An inner join in which a key of the large side is dealt to `salts` tasks and the small side's rows repeat.
+
+    There are as many tasks as the large side's rows ask for, so what a task sorts doesn't grow with the table.
+    """
+    parts = _parts(large, large.count() // ROWS_A_TASK + 1)
     dealt = large.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [on, "_salt"]).drop("_salt")
+    keys = [on, "_salt"]
+    return dealt.repartition(parts, *keys).join(repeated.repartition(parts, *keys), keys).drop("_salt")

@@ -10,17 +10,20 @@ id. Strings are compared as they are in the input, and never across documents.
 2. Each string of `length` bytes has a seed: the 20-byte substring with the smallest hash. Equal
    strings have equal seeds, and neighbouring strings mostly share one, so a text is a row of
    pieces: runs of strings with one seed.
-3. Seeds are counted; pieces whose seed occurs in one text only are done. Seeds that a large part of
+3. Seeds are counted; pieces whose seed occurs in one text only are done. Texts go to the counts in batches, and
+   the answers come back by batch, so a text has one answer however many groups count. Seeds that a large part of
    all texts has would crowd one group of the count. A sample of texts shows them beforehand; they are
    not counted but taken as common at once (5). The sample only says how work is dealt, not what is lost.
-4. The other pieces meet by seed. Equal pieces are laid down once with their smallest id, the
-   pieces of a seed make one string, and its suffix array (see suffix_array.py) brings equal
+4. The other pieces meet by seed. Equal pieces are laid down once with their smallest id. Pieces of
+   one seed are cut by longer seeds (`refined`), so that those that share a seed by chance part; the
+   pieces of a longer seed make one string, and its suffix array (see suffix_array.py) brings equal
    strings next to each other: neighbours that share `length` bytes form a group, and all but the
    group's smallest id lose these bytes.
-5. The strings of a seed that very many texts share don't fit one group. They are dealt by their
-   own hash, and each such group is salted by text: a salted group lays equal strings down once,
-   the suffix arrays are built over what the salted groups have left, and the smallest ids go back
-   to them. So neither a common seed nor a common string is ever one task's work.
+5. The pieces of a seed that very many texts share don't fit one group. They are cut by nearly whole
+   strings, dealt by these, and each such group is salted by batches of texts: a salted group lays equal pieces down
+   once, the suffix arrays are built over what the salted groups have left, and the smallest ids go back
+   to them. So neither a common seed nor a common string is ever one task's work, and there are as many salted
+   groups as the bytes of text ask for.
 
 Lost ranges of a text are merged and cut out where the text is.
 
@@ -34,10 +37,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,13 @@ from weftline.llm.suffix_array import sort_many, sort_one
 
 SEED = 20  #: bytes of a seed; a string of `length` bytes holds length - SEED + 1 of them
 CHUNK = 1 << 17  #: bytes of text that are cut into pieces at once
-SENT = 1 << 21  #: bytes of text whose pieces make one row for each group
+SENT = 1 << 22  #: bytes of text whose pieces make one row for each group
 COUNTED = 1 << 28  #: bytes of text for whose seeds one group of rows is counted together
 COMPARED = 1 << 23  #: bytes of text for whose pieces one group of rows is compared together
+PART = 1 << 18  #: bytes of pieces that are hashed, or cut by longer seeds, at once
+LEVELS = (2, 4)  #: of longer seeds: before the first comparison, and again for keys that still have more than LONG symbols
+FINEST = 4  #: level of the longer seeds of common seeds' pieces: with 50 bytes, a piece has two strings at most
+SALTED = 1 << 16  #: texts for which there is one salt
 ARRAY = 1 << 22  #: symbols that are sorted at once, except that a seed's are never split
 PIECE = 64  #: strings in a piece at most
 COMMON = 20_000  #: texts above which a seed's strings are dealt by their own hash
@@ -64,12 +71,17 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
+@cache
+def _all_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return _all_powers(int(base), 1 << n.bit_length() if n < 2 * CHUNK else n)[:n]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (constants of splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -97,17 +109,18 @@ def pieces(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarr
     if width < span:
         low = np.minimum(low[: n - length + 1], low[span - width : span - width + n - length + 1])
     ends = np.cumsum(lengths)
-    text = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - length + 1))
-    first = np.cumsum(np.maximum(0, lengths - length + 1)) - np.maximum(0, lengths - length + 1)
-    start = np.arange(len(text)) - first[text] + (ends - lengths)[text]
-    if not len(start):
-        return none, none, none, np.zeros(0, _U)
-    seed = low[start]
-    fresh = np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])])
+    fresh = np.concatenate([[True], low[1:] != low[:-1]])
+    for edge in (ends - lengths, ends - np.minimum(lengths, length - 1)):  # of a text, and of its last strings' ends
+        fresh[edge[edge < len(fresh)]] = True
     run = np.flatnonzero(fresh)
-    place = np.arange(len(seed)) - np.repeat(run, np.diff(np.concatenate([run, [len(seed)]])))
-    at = np.flatnonzero(fresh | (place % PIECE == 0))
-    return text[at], start[at], np.diff(np.concatenate([at, [len(seed)]])), seed[at]
+    n = np.diff(np.append(run, len(fresh)))
+    text = np.searchsorted(ends, run, "right")
+    whole = run + length <= ends[text]
+    run, n, text = run[whole], n[whole], text[whole]
+    parts = -(-n // PIECE)
+    place = PIECE * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+    start = np.repeat(run, parts) + place
+    return np.repeat(text, parts), start, np.minimum(np.repeat(n, parts) - place, PIECE), low[start]
 
 
 def _seeds_by_text(text: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +161,8 @@ def _ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
-KEYS = "bucket int, shas binary, sizes binary, keys binary"
+KEYS = "bucket int, batch binary, shas binary, owners binary, sizes binary, keys binary, of_known binary, known binary"
+_KEYS_ARROW = pa.schema([("bucket", pa.int32()), *[(c.split()[0], pa.binary()) for c in KEYS.split(", ")[1:]]])
 
 
 def _frequent_seeds(texts: DataFrame, rows: int, total: int, length: int, counted: int) -> np.ndarray:
@@ -171,70 +185,106 @@ def _frequent_seeds(texts: DataFrame, rows: int, total: int, length: int, counte
 
 
 def _count_rows(length: int, counted: int, frequent):
-    """Texts to 32 bits of their distinct seeds but the frequent ones (a broadcast), by group: digests, seeds of each, seeds."""
-    schema = pa.schema([("bucket", pa.int32()), ("shas", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+    """Batches of texts to 32 bits of their distinct seeds, by group: places of texts in the batch, seeds of each, seeds.
+
+    A batch is named by its first text. Its first row also has the digests of its texts, and their seeds that are known
+    to be frequent (a broadcast) and not counted.
+    """
 
-    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sha, code = (np.concatenate(x) for x in zip(*held, strict=True))
+    def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        sha, owner, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        known = _among(code, frequent.value)
+        first = {"shas": sha.tobytes(), "of_known": owner[known].tobytes(), "known": code[known].tobytes()}
+        owner, code = owner[~known], code[~known]
         bucket = (code >> _U(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sha, code, bucket = sha[order], code[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        out: dict[str, list] = {c: [] for c in schema.names}
+        owner, code, bucket = owner[order], code[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(code) else np.zeros(2, np.int64)
+        out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            own = sha[a:b]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out["bucket"].append(int(bucket[a]))
-            out["shas"].append(own[first].tobytes())
-            out["sizes"].append(np.diff(np.concatenate([first, [b - a]])).astype(np.int32).tobytes())
-            out["keys"].append((code[a:b] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_pydict(out, schema=schema)
+            new = np.flatnonzero(np.diff(owner[a:b].astype(np.int64), prepend=-1))
+            row = {
+                "bucket": int(bucket[a]) if b > a else 0,
+                "batch": sha[0].tobytes(),
+                "owners": owner[a:b][new].tobytes(),
+                "sizes": np.diff(np.append(new, b - a)).astype(np.int32).tobytes(),
+                "keys": (code[a:b] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+            }
+            out.append({"shas": b"", "of_known": b"", "known": b""} | row | (first if not out else {}))
+        return pa.RecordBatch.from_pylist(out, schema=_KEYS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, texts = [], 0, 0
         for batch in batches:
             shas = _digests(batch)
-            for at, _, data, lengths in _chunks(batch):
+            for at, to, data, lengths in _chunks(batch):
                 text, _, _, seed = pieces(data, lengths, length)
                 text, seed = _seeds_by_text(text, seed)
-                code = _code(seed, counted)
-                rare = ~_among(code, frequent.value)
-                held.append((shas[at + text[rare]], code[rare]))
+                held.append((shas[at:to], (text + texts).astype(np.uint32), _code(seed, counted)))
+                texts += to - at
                 size += len(data)
                 if size >= SENT:
                     yield rows(held)
-                    held, size = [], 0
+                    held, size, texts = [], 0, 0
         if held:
             yield rows(held)
 
     return run
 
 
-ANSWERS = "sha binary, shared binary, common binary"
+COUNTS = "batch binary, shas binary, owners binary, shared binary, of_common binary, common binary"
 
 
 def _count(common: int):
-    """Per group of seeds: for each text its seeds that several texts have, and those that very many have."""
+    """Per group of seeds: for each batch the seeds that several texts have, and those that very many have, with their texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        shas = np.frombuffer(b"".join(group["shas"].to_pylist()), f"V{DIGEST}")
-        sizes = np.frombuffer(b"".join(group["sizes"].to_pylist()), np.int32)
-        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint32)
-        found, n = np.unique(keys, return_counts=True)
-        found, n = found[n > 1], n[n > 1]
-        some = np.flatnonzero(_among(keys, found))
-        keys, owner = keys[some], np.searchsorted(np.cumsum(sizes), some, "right")
-        many = _among(keys, found[n > common])
-        code = keys.astype(_U) | _U(group["bucket"][0].as_py() << 32)
-        new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-        own, place = owner[new], np.cumsum(new) - 1
-        cells = [_ragged(code[part], np.bincount(place[part], minlength=len(own))) for part in (~many, many)]
-        named = pa.array([x.tobytes() for x in shas[own]], pa.binary())
-        return pa.table({"sha": named, "shared": cells[0], "common": cells[1]})
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"].to_pylist()])
+        keys.sort()
+        again = keys[1:] == keys[:-1]
+        begins = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]])[: len(again)])
+        n = np.flatnonzero(again & ~np.append(again[1:], False)[: len(again)]) - begins + 2
+        found = keys[begins]
+        many = found[n > common]
+        del keys, again
+        high = _U(group["bucket"][0].as_py() << 32)
+        out: dict[str, list] = {c.split()[0]: [] for c in COUNTS.split(", ")}
+        for row in (x for b in group.to_batches(max_chunksize=16) for x in b.to_pylist()):
+            own = np.frombuffer(row["keys"], np.uint32)
+            owner = np.repeat(np.frombuffer(row["owners"], np.uint32), np.frombuffer(row["sizes"], np.int32))
+            some = _among(own, found)
+            own, owner = own[some], owner[some]
+            often = _among(own, many)
+            code = own.astype(_U) | high
+            out["batch"].append(row["batch"])
+            out["shas"].append(row["shas"])
+            out["owners"].append(owner[~often].tobytes())
+            out["shared"].append(code[~often].tobytes())
+            out["of_common"].append(row["of_known"] + owner[often].tobytes())
+            out["common"].append(row["known"] + code[often].tobytes())
+        return pa.table({c: pa.array(x, pa.binary()) for c, x in out.items()})
 
     return run
 
 
+ANSWERS = "sha binary, shared binary, common binary"
+
+
+def _by_text(group: pa.Table) -> pa.Table:
+    """Per batch of texts: the seeds of each text that several texts have, and those that very many have."""
+    c = {k: b"".join(group[k].to_pylist()) for k in group.column_names if k != "batch"}
+    shas = np.frombuffer(c["shas"], f"V{DIGEST}")
+    cells, counts = [], []
+    for owners, codes in (("owners", "shared"), ("of_common", "common")):
+        owner = np.frombuffer(c[owners], np.uint32)
+        cells.append(np.frombuffer(c[codes], _U)[np.argsort(owner, kind="stable")])
+        counts.append(np.bincount(owner, minlength=len(shas)))
+    some = np.flatnonzero(counts[0] + counts[1])
+    named = pa.array([x.tobytes() for x in shas[some]], pa.binary())
+    shared, common = (_ragged(x, n[some]) for x, n in zip(cells, counts, strict=True))
+    return pa.table({"sha": named, "shared": shared, "common": common})
+
+
 def _among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Which of x are in found (in order), a part of x at a time."""
     out = np.zeros(len(x), bool)
@@ -261,8 +311,6 @@ def _piece_rows(held: list[dict[str, np.ndarray]], salt: int, length: int) -> pa
     heads = (np.cumsum(widths) - widths)[order]
     own = {k: c[k][order] for k in ("bucket", "sha", "ord", "start", "n", "seed")}
     widths = widths[order]
-    ends = np.cumsum(widths)
-    data = c["data"][np.arange(ends[-1] if len(ends) else 0) + np.repeat(heads - (ends - widths), widths)].tobytes()
     cuts = np.flatnonzero(np.diff(own["bucket"], prepend=-1, append=-1))
     packer = zstandard.ZstdCompressor(level=1)
     rows = []
@@ -279,7 +327,7 @@ def _piece_rows(held: list[dict[str, np.ndarray]], salt: int, length: int) -> pa
                 "start": own["start"][a:b].astype(np.int32).tobytes(),
                 "strings": own["n"][a:b].astype(np.uint8).tobytes(),
                 "seed": own["seed"][a:b].tobytes(),
-                "data": packer.compress(data[ends[a] - widths[a] : ends[b - 1]]),
+                "data": packer.compress(_gather(c["data"], heads[a:b], widths[a:b]).tobytes()),
             }
         )
     return pa.RecordBatch.from_pylist(rows, schema=_PIECES_ARROW)
@@ -287,13 +335,19 @@ def _piece_rows(held: list[dict[str, np.ndarray]], salt: int, length: int) -> pa
 
 def _gather(data: np.ndarray, start: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """Substrings laid end to end."""
-    return data[np.arange(int(widths.sum())) + np.repeat(start - (np.cumsum(widths) - widths), widths)]
+    out = np.empty(int(widths.sum()), data.dtype)
+    at = 0
+    for part in _in_parts(np.arange(len(widths)), widths):
+        w = widths[part]
+        to = at + int(w.sum())
+        out[at:to] = data[np.arange(to - at) + np.repeat(start[part] - (np.cumsum(w) - w), w)]
+        at = to
+    return out
 
 
 def _answered(batch: pa.RecordBatch, column: str, at: int, to: int) -> np.ndarray:
     """The seeds (their codes) that came back for some texts. A seed is as common for one text as for all others."""
-    cells = batch.column(column).slice(at, to - at).flatten()
-    return np.frombuffer(b"".join(cells.to_pylist()), _U)
+    return np.frombuffer(b"".join(batch.column(column).slice(at, to - at).to_pylist()), _U)
 
 
 def _shared_pieces(length: int, counted: int, compared: int):
@@ -328,39 +382,49 @@ def _shared_pieces(length: int, counted: int, compared: int):
     return run
 
 
-def _common_strings(length: int, counted: int, groups: int, salts: int, frequent):
-    """Texts with the counts' answers to their strings whose seed very many texts have, each a piece of its own.
-
-    frequent: a broadcast of seeds that were not counted.
-    """
+def _common_pieces(length: int, counted: int, groups: int, salts: int):
+    """Texts with the counts' answers to the pieces whose seed very many texts have, cut by longer seeds, by group and salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             shas, ords = _digests(batch), batch.column("ord").to_numpy()
             for at, to, data, lengths in _chunks(batch):
-                text, start, n, seed = pieces(data, lengths, length)
-                code = _code(seed, counted)
-                some = np.flatnonzero(np.isin(code, _answered(batch, "common", at, to)) | _among(code, frequent.value))
-                if not len(some):
+                known = _answered(batch, "common", at, to)
+                if not len(known):
                     continue
-                piece = np.repeat(some, n[some])
-                begin = start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-                text, seed = text[piece], seed[piece]
-                held = {
-                    "bucket": (window_hashes(data, length)[begin] % _U(groups)).astype(np.int64),
-                    "sha": shas[at + text],
-                    "ord": ords[at + text],
-                    "start": begin - (np.cumsum(lengths) - lengths)[text],
-                    "n": np.ones(len(begin), np.int64),
-                    "seed": seed,
-                    "data": _gather(data, begin, np.full(len(begin), length)),
-                }
-                salt = int.from_bytes(shas[at].tobytes()[:6], "big") % salts
-                yield _piece_rows([held], salt, length)
+                text, start, n, seed = pieces(data, lengths, length)
+                some = np.flatnonzero(np.isin(_code(seed, counted), known))
+                start, text = start[some], text[some]
+                own = _gather(data, start, n[some] + length - 1)
+                piece, first, n, key = refined(own, n[some], seed[some], length, FINEST)
+                text, start = text[piece], start[piece] + first
+                held.append(
+                    {
+                        "bucket": (key % _U(groups)).astype(np.int64),
+                        "sha": shas[at + text],
+                        "ord": ords[at + text],
+                        "start": start - (np.cumsum(lengths) - lengths)[text],
+                        "n": n,
+                        "seed": key,
+                        "data": _gather(data, start, n + length - 1),
+                    }
+                )
+                size += len(held[-1]["data"])
+                if size >= SENT:
+                    yield _piece_rows(held, _salt(held, salts), length)
+                    held, size = [], 0
+        if size:
+            yield _piece_rows(held, _salt(held, salts), length)
 
     return run
 
 
+def _salt(held: list[dict[str, np.ndarray]], salts: int) -> int:
+    sha = next(h["sha"] for h in held if len(h["sha"]))
+    return int.from_bytes(sha[0].tobytes()[:6], "big") % salts
+
+
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     """The pieces of some rows as arrays; data: their bytes end to end."""
     kinds = {"shas": f"V{DIGEST}", "ords": np.int64, "sizes": np.int32, "start": np.int32, "strings": np.uint8, "seed": _U}
@@ -368,24 +432,136 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     out["n"] = out.pop("strings").astype(np.int64)
     out["text"] = np.repeat(np.arange(len(out["sizes"])), out["sizes"])
     packer = zstandard.ZstdDecompressor()
-    out["data"] = b"".join(packer.decompress(x) for x in table["data"].to_pylist())
+    out["data"] = np.frombuffer(b"".join(packer.decompress(x) for x in table["data"].to_pylist()), np.uint8)
     return out
 
 
-def _distinct(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Which distinct piece each piece is; the distinct pieces by seed and bytes, their seeds and smallest ids."""
-    bounds = np.concatenate([[0], np.cumsum(c["n"] + length - 1)])
-    found: dict[tuple[int, bytes], int] = {}
-    which = np.empty(len(c["n"]), np.int64)
-    for k, (seed, a, b) in enumerate(zip(c["seed"].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        which[k] = found.setdefault((seed, c["data"][a:b]), len(found))
-    keys = sorted(found)
-    place = np.empty(len(found), np.int64)
-    place[[found[k] for k in keys]] = np.arange(len(keys))
-    which = place[which]
-    ids = np.full(len(keys), LAST, np.int64)
-    np.minimum.at(ids, which, c["ords"][c["text"]])
-    return which, [s for _, s in keys], np.array([k for k, _ in keys], _U), ids
+def _in_parts(items: np.ndarray, widths: np.ndarray, whole: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Some items at a time, of about PART bytes; items that are next to each other and equal in `whole` stay together."""
+    at = 0
+    ends = np.cumsum(widths[items])
+    stops = np.arange(1, len(items) + 1)
+    if whole is not None and len(items):
+        stops = np.flatnonzero(np.append(whole[items][1:] != whole[items][:-1], True)) + 1
+    while at < len(items):
+        k = int(np.searchsorted(ends[stops - 1], (ends[at - 1] if at else 0) + PART, "right"))
+        to = int(stops[min(max(k - 1, int(np.searchsorted(stops, at, "right"))), len(stops) - 1)])
+        yield items[at:to]
+        at = to
+
+
+def _hashes(data: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """A hash of each of some strings laid end to end, none of them empty."""
+    out = np.zeros(len(widths), _U)
+    starts = np.cumsum(widths) - widths
+    powers = _powers(_BASE, int(widths.max(initial=0)))
+    for part in _in_parts(np.arange(len(widths)), widths):
+        own = data[starts[part[0]] : starts[part[-1]] + widths[part[-1]]]
+        heads = starts[part] - starts[part[0]]
+        place = np.arange(len(own)) - np.repeat(heads, widths[part])
+        out[part] = np.add.reduceat((own.astype(_U) + _U(1)) * powers[place], heads)
+    return _mix(out + widths.astype(_U))
+
+
+def _distinct(data: np.ndarray, widths: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct piece (key and bytes) each of some pieces laid end to end is; one piece of each, by key.
+
+    The order of distinct pieces depends on what they are, not on the order of the pieces.
+    """
+    starts = np.cumsum(widths) - widths
+    hashes = _hashes(data, widths)
+    order = np.lexsort((hashes, key))
+    k, h = key[order], hashes[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])[: len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    again = order[~new]
+    if (widths[again] == widths[one[which[again]]]).all() and all(
+        np.array_equal(_gather(data, starts[x], widths[x]), _gather(data, starts[one[which[x]]], widths[x]))
+        for x in _in_parts(again, widths)
+    ):
+        return which, one
+    # two strings with one hash
+    raw = data.tobytes()
+    strings = [(q, raw[a : a + w]) for q, a, w in zip(key.tolist(), starts.tolist(), widths.tolist(), strict=True)]
+    found = {s: k for k, s in enumerate(sorted(set(strings)))}
+    which = np.array([found[s] for s in strings], np.int64)
+    return which, np.unique(which, return_index=True)[1]
+
+
+def refined(data: np.ndarray, n: np.ndarray, seed: np.ndarray, length: int, levels: int) -> tuple[np.ndarray, ...]:
+    """Pieces laid end to end, cut by longer seeds: piece, first string, number of strings, hash of the longer seed.
+
+    A string's seed grows at each level by half of the bytes that the string has beside it: to the left if there are
+    so many, else to the right. So equal strings have equal longer seeds, and neighbours mostly share one.
+    """
+    widths = n + length - 1
+    starts = np.cumsum(widths) - widths
+    span = length - SEED + 1
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, len(data)), dtype=_U)])
+    inverse = _powers(_INVERSE, len(data) + 1)
+    low = _mix((sums[SEED:] - sums[:-SEED]) * inverse[: len(data) + 1 - SEED])
+    # each string's first seed
+    places = n + span - 1
+    heads = np.cumsum(places) - places
+    at = np.arange(int(places.sum())) + np.repeat(starts - heads, places)
+    hit = np.where(low[at] == np.repeat(seed, places), at, len(data))
+    hit = np.minimum.accumulate(hit[::-1])[::-1]
+    piece = np.repeat(np.arange(len(n)), n)
+    string = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    begin = starts[piece] + string
+    lo = hit[heads[piece] + string]
+    hi = lo + SEED
+    for _ in range(levels):
+        rest = length - (hi - lo)
+        half = (rest + 1) // 2
+        left = lo - begin >= half
+        lo, hi = np.where(left, lo - half, lo), np.where(left, hi, hi + rest - half + 1)
+    new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(piece)]
+    run = np.flatnonzero(new)
+    key = _mix((sums[hi[run]] - sums[lo[run]]) * inverse[lo[run]])
+    return piece[run], string[run], np.diff(np.append(run, len(piece))), key
+
+
+def _strings_of(n: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Places of some pieces' strings among the strings of all pieces."""
+    return _gather(np.arange(int(n.sum())), (np.cumsum(n) - n)[some], n[some])
+
+
+def smallest_by_string(
+    data: np.ndarray, n: np.ndarray, key: np.ndarray, seed: np.ndarray, ids: np.ndarray, length: int, levels: tuple[int, ...]
+) -> np.ndarray:
+    """For distinct pieces in order of their keys: for all their strings in turn the smallest id of an equal string.
+
+    Pieces are compared if they share a key. levels: of the longer seeds by which they are cut before, where their arrays are long.
+    """
+    widths = n + length - 1
+    starts = np.cumsum(widths) - widths
+    least = np.repeat(ids, n)
+    if not len(n):
+        return least
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pieces_of = np.diff(np.append(head, len(key)))
+    symbols = np.repeat(np.add.reduceat(widths, head), pieces_of)
+    several = np.repeat(pieces_of > 1, pieces_of)  # a key with one piece has nothing to compare
+    cut = several & (len(levels) > 0) & ((symbols > LONG) | (len(levels) == len(LEVELS)))
+    whole = np.flatnonzero(several & ~cut)
+    if len(whole):
+        raw = data.tobytes()
+        strings = [raw[a : a + w] for a, w in zip(starts[whole].tolist(), widths[whole].tolist(), strict=True)]
+        least[_strings_of(n, whole)] = np.concatenate(smallest_ids(strings, key[whole], ids[whole], length))
+    for part in _in_parts(np.flatnonzero(cut), widths, key):
+        own = _gather(data, starts[part], widths[part])
+        piece, first, m, longer = refined(own, n[part], seed[part], length, levels[0])
+        fine = _gather(own, (np.cumsum(widths[part]) - widths[part])[piece] + first, m + length - 1)
+        which, one = _distinct(fine, m + length - 1, longer)
+        lowest = np.full(len(one), LAST, np.int64)
+        np.minimum.at(lowest, which, ids[part][piece])
+        finer = _gather(fine, (np.cumsum(m + length - 1) - (m + length - 1))[one], m[one] + length - 1)
+        found = smallest_by_string(finer, m[one], longer[one], seed[part][piece][one], lowest, length, levels[1:])
+        least[_strings_of(n, part)] = found[_strings_of(m[one], which)]
+    return least
 
 
 def smallest_ids(strings: list[bytes], seeds: list[int], ids: np.ndarray, length: int) -> list[np.ndarray]:
@@ -451,14 +627,14 @@ def smallest_ids(strings: list[bytes], seeds: list[int], ids: np.ndarray, length
 RANGES = "sha binary, ranges binary"
 
 
-def _lost(c: dict[str, np.ndarray], which: np.ndarray, least: list[np.ndarray], length: int) -> pa.Table:
-    """The byte ranges (lo, hi) that each text loses."""
+def _lost(c: dict[str, np.ndarray], which: np.ndarray, n: np.ndarray, least: np.ndarray, length: int) -> pa.Table:
+    """The byte ranges (lo, hi) that each text loses; n: strings of the distinct pieces, least: their smallest ids."""
     if not len(which):
         return pa.table({"sha": pa.array([], pa.binary()), "ranges": pa.array([], pa.binary())})
+    least = least[_strings_of(n, which)]
     n, ord_ = c["n"], c["ords"][c["text"]]
-    sizes = np.array([len(x) for x in least])
-    flat, head, base = np.concatenate(least), np.cumsum(sizes) - sizes, np.cumsum(n) - n
-    lost = flat[np.repeat(head[which] - base, n) + np.arange(n.sum())] < np.repeat(ord_, n)
+    base = np.cumsum(n) - n
+    lost = least < np.repeat(ord_, n)
     owner = np.repeat(np.arange(len(n)), n)
     # runs of lost strings within a piece
     same = np.concatenate([[False], owner[1:] == owner[:-1]])
@@ -473,57 +649,88 @@ def _lost(c: dict[str, np.ndarray], which: np.ndarray, least: list[np.ndarray],
     return pa.table({"sha": named, "ranges": _ragged(np.column_stack([lo, hi]).astype(np.int32).ravel(), 2 * counts[some])})
 
 
+def _laid_down(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which distinct piece each piece is; the distinct pieces: seeds (in order), strings, smallest ids, bytes."""
+    widths = c["n"] + length - 1
+    which, one = _distinct(c["data"], widths, c["seed"])
+    ids = np.full(len(one), LAST, np.int64)
+    np.minimum.at(ids, which, c["ords"][c["text"]])
+    data = _gather(c["data"], (np.cumsum(widths) - widths)[one], widths[one])
+    return which, {"seed": c["seed"][one], "n": c["n"][one], "ids": ids, "data": data}
+
+
 def _lost_ranges(length: int):
     """Per group of pieces: the byte ranges that are lost, by text."""
 
     def run(group: pa.Table) -> pa.Table:
         c = _columns(group)
-        which, strings, seeds, ids = _distinct(c, length)
-        return _lost(c, which, smallest_ids(strings, seeds, ids, length), length)
+        which, one = _laid_down(c, length)
+        least = smallest_by_string(one["data"], one["n"], one["seed"], one["seed"], one["ids"], length, LEVELS)
+        return _lost(c, which, one["n"], least, length)
 
     return run
 
 
-COMBINED = "bucket int, salt int, ords binary, seed binary, data binary"
+COMBINED = "bucket int, salt int, fine int, ords binary, strings binary, seed binary, data binary"
+
 
+def _fine(seed: np.ndarray, groups: int, salts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a salted group by the group in which they are compared: their order, groups."""
+    fine = (seed // _U(groups) % _U(salts)).astype(np.int64)
+    order = np.argsort(fine, kind="stable")
+    return order, fine[order]
 
-def _combine(length: int):
-    """Per salted group of common seeds' strings: equal strings once, with their smallest id."""
+
+def _combine(length: int, groups: int, salts: int):
+    """Per salted group of common seeds' pieces: equal pieces once, with their smallest id, by the group that compares them."""
 
     def run(group: pa.Table) -> pa.Table:
-        _, strings, seeds, ids = _distinct(_columns(group), length)
-        one = {"ords": ids.tobytes(), "seed": seeds.tobytes(), "data": b"".join(strings)}
-        return pa.table({"bucket": group["bucket"][:1], "salt": group["salt"][:1], **{k: [v] for k, v in one.items()}})
+        _, one = _laid_down(_columns(group), length)
+        order, fine = _fine(one["seed"], groups, salts)
+        widths = one["n"] + length - 1
+        starts = (np.cumsum(widths) - widths)[order]
+        own = {"ords": one["ids"][order], "strings": one["n"][order].astype(np.uint8), "seed": one["seed"][order]}
+        cuts = np.flatnonzero(np.diff(fine, prepend=-1, append=-1))
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        packer = zstandard.ZstdCompressor(level=1)
+        out = {k: [x[a:b].tobytes() for a, b in spans] for k, x in own.items()}
+        out["data"] = [packer.compress(_gather(one["data"], starts[a:b], widths[order[a:b]]).tobytes()) for a, b in spans]
+        same = {k: pa.array([group[k][0].as_py()] * len(spans), pa.int32()) for k in ("bucket", "salt")}
+        return pa.table({**same, "fine": pa.array(fine[cuts[:-1]], pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in out.items()}})
 
     return run
 
 
 def _smallest_of_common(length: int):
-    """Per group, over its salted groups: the smallest ids of their strings, in their order."""
+    """Per group, over its salted groups: the smallest ids of their pieces' strings, in their order."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        ids = np.concatenate([np.frombuffer(r["ords"], np.int64) for r in rows])
-        seed = np.concatenate([np.frombuffer(r["seed"], _U) for r in rows])
-        data = b"".join(r["data"] for r in rows)
-        one = {"ords": ids, "text": np.arange(len(ids)), "n": np.ones(len(ids), np.int64), "seed": seed, "data": data}
-        which, strings, seeds, least = _distinct(one, length)
-        found = np.concatenate(smallest_ids(strings, seeds, least, length))[which]
-        cuts = np.cumsum([0, *[len(r["ords"]) // 8 for r in rows]])
+        kinds = {"ords": np.int64, "strings": np.uint8, "seed": _U}
+        c = {k: np.frombuffer(b"".join(group[k].to_pylist()), kind) for k, kind in kinds.items()}
+        c["n"], c["text"] = c["strings"].astype(np.int64), np.arange(len(c["ords"]))
+        unpacker = zstandard.ZstdDecompressor()
+        c["data"] = np.frombuffer(b"".join(unpacker.decompress(x) for x in group["data"].to_pylist()), np.uint8)
+        which, one = _laid_down(c, length)
+        least = smallest_by_string(one["data"], one["n"], one["seed"], one["seed"], one["ids"], length, ())
+        found = least[_strings_of(one["n"], which)]
+        cuts = np.concatenate([[0], np.cumsum(c["n"])])[np.cumsum([0, *[len(x) for x in group["strings"].to_pylist()]])]
         cells = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"bucket": group["bucket"], "salt": group["salt"], "least": pa.array(cells, pa.binary())})
+        return pa.table({"bucket": group["bucket"], "salt": group["salt"], "fine": group["fine"], "least": pa.array(cells, pa.binary())})
 
     return run
 
 
-def _lost_common(length: int):
+def _lost_common(length: int, groups: int, salts: int):
     """Per salted group and its smallest ids: the byte ranges that are lost, by text."""
 
-    def run(strings: pa.Table, least: pa.Table) -> pa.Table:
-        c = _columns(strings)
-        which, *_ = _distinct(c, length)
-        found = np.frombuffer(b"".join(least["least"].to_pylist()), np.int64)
-        return _lost(c, which, list(found[:, None]), length)
+    def run(pieces_: pa.Table, least: pa.Table) -> pa.Table:
+        c = _columns(pieces_)
+        which, one = _laid_down(c, length)
+        order, _ = _fine(one["seed"], groups, salts)
+        found = np.frombuffer(b"".join(least.sort_by("fine")["least"].to_pylist()), np.int64)
+        by_piece = np.empty(len(found), np.int64)
+        by_piece[_strings_of(one["n"], order)] = found
+        return _lost(c, which, one["n"], by_piece, length)
 
     return run
 
@@ -545,6 +752,23 @@ def _digest(raw: Column) -> Column:
     return F.coalesce(F.substring(F.unhex(F.sha2(raw, 256)), 1, DIGEST), F.lit(b""))
 
 
+def _answers(heads: DataFrame, length: int, counted: int, frequent: np.ndarray) -> DataFrame:
+    """One row for each distinct text with seeds that other texts have: sha, shared, common.
+
+    A batch of texts must be the same if a task is run again, so its texts are in order.
+    """
+    known = heads.sparkSession.sparkContext.broadcast(frequent)
+    keys = heads.sortWithinPartitions("sha").mapInArrow(_count_rows(length, counted, known), KEYS)
+    counts = keys.groupBy("bucket").applyInArrow(_count(COMMON), COUNTS)
+    return counts.groupBy("batch").applyInArrow(_by_text, ANSWERS)
+
+
+def salted(rows: int, compared: int) -> tuple[int, int]:
+    """Groups and salts of common seeds' pieces. Their product follows the bytes of text, not its square."""
+    salts = 1 + rows // SALTED
+    return max(1, compared // salts), salts
+
+
 def per_text(
     docs: DataFrame, length: int, id_col: str, text_col: str, fn: Callable[[bytes, np.ndarray], dict], schema: str
 ) -> DataFrame:
@@ -553,24 +777,21 @@ def per_text(
         raise ValueError(f"strings of fewer than {SEED + 4} bytes have no seeds")
     texts = _texts(docs, id_col, text_col)
     rows, total = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()
-    counted, compared, salts = (1 + total // x for x in (COUNTED, COMPARED, 16 * COMPARED))
+    counted, compared = (1 + total // x for x in (COUNTED, COMPARED))
+    groups, salts = salted(rows, compared)
     frequent = _frequent_seeds(texts, rows, total, length, counted)
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
     heads = _heads(texts)
-    keys = heads.mapInArrow(_count_rows(length, counted, known), KEYS)
-    answers = keys.groupBy("bucket").applyInArrow(_count(COMMON), ANSWERS)
-    answers = answers.groupBy("sha").agg(F.collect_list("shared").alias("shared"), F.collect_list("common").alias("common"))
-    shared = heads.join(answers, "sha").mapInArrow(_shared_pieces(length, counted, compared), PIECES)
+    answers = _answers(heads, length, counted, frequent)
+    both = heads.join(answers, "sha")
+    shared = both.mapInArrow(_shared_pieces(length, counted, compared), PIECES)
     lost = shared.groupBy("bucket").applyInArrow(_lost_ranges(length), RANGES)
-    if len(frequent):  # any text may have one
-        with_common = heads.join(answers, "sha", "left")
-    else:
-        with_common = heads.join(answers.where(F.exists("common", lambda c: F.octet_length(c) > 0)), "sha")
-    strings = with_common.mapInArrow(_common_strings(length, counted, 8 * compared, salts, known), PIECES)
+    # on both sides of the join, so that the filter stays above it and the exchanges below are those of `shared`
+    with_common = both.where((F.octet_length("common") > 0) | F.col("raw").isNull())
+    strings = with_common.mapInArrow(_common_pieces(length, counted, groups, salts), PIECES)
     dealt = strings.groupBy("bucket", "salt")
-    combined = dealt.applyInArrow(_combine(length), COMBINED)
-    least = combined.groupBy("bucket").applyInArrow(_smallest_of_common(length), "bucket int, salt int, least binary")
-    lost_common = dealt.cogroup(least.groupBy("bucket", "salt")).applyInArrow(_lost_common(length), RANGES)
+    combined = dealt.applyInArrow(_combine(length, groups, salts), COMBINED)
+    least = combined.groupBy("bucket", "fine").applyInArrow(_smallest_of_common(length), "bucket int, salt int, fine int, least binary")
+    lost_common = dealt.cogroup(least.groupBy("bucket", "salt")).applyInArrow(_lost_common(length, groups, salts), RANGES)
     ranges = lost.unionByName(lost_common).groupBy("sha").agg(F.collect_list("ranges").alias("ranges"))
     fields = StructType.fromDDL("sha binary, ord long, " + schema)
 

@@ -91,3 +91,17 @@ def test_many_groups_and_salts_give_the_same(spark, odd, monkeypatch):
         monkeypatch.setattr(suffix_dedup, name, value)
     monkeypatch.setattr(suffix_dedup, "COMMON", 2)
     assert digests(odd) == brute(odd_rows())
+
+
+def test_stage_three_of_the_pipeline_with_many_groups_and_salts(spark, odd, monkeypatch):
+    """Its salted groups followed the square of the input, and a text had an answer from each group."""
+    import corpus_pipeline
+
+    for name, value in (("COUNTED", 1 << 17), ("COMPARED", 1 << 16), ("SALTED", 200), ("SENT", 1 << 14), ("COMMON", 2)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    lost = {r[0]: (r[1], r[2]) for r in brute(odd_rows()) if r[0] is not None}
+    for r in corpus_pipeline.suffix_dedup(spark, odd, "").where("doc_id is not null").collect():
+        n_bytes, removed = lost[r["doc_id"]]
+        left = len((r["text"] or "").encode())
+        assert n_bytes - removed - 6 * 40 <= left <= n_bytes - removed  # parts of characters go as a whole
+        assert r["text"] is None or r["n_chars"] == len(r["text"])
